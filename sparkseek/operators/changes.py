@@ -71,7 +71,7 @@ def current_state(
     batches: int = 4,
     with_key: bool = True,
 ) -> DataFrame:
-    """The rows that exist after all changes: key (unless with_key is off), order and values of each row's last change.
+    """The rows that exist after all changes: key (without with_key only scope), order and values of each row's last change.
 
     Newest-first resolution. The feed is cut into batches along the change order; each batch is reduced to one image per
     key before anything moves (so repeats and a hot key are combined on the map side). Going backwards, a batch
@@ -86,7 +86,7 @@ def current_state(
     if not set(scope) <= set(key):
         raise ValueError("scope must be part of key")
     major, minor = order
-    carried = [*key, *values] if with_key else list(values)
+    carried = [*key, *values] if with_key else [*scope, *values]
     batched = order_batches(feed.select(*dict.fromkeys([*key, *order, op, *values])), scope, major, minor, batches)
     image = F.max(F.struct(*order, op, *[c for c in carried if c not in order]))
     images = batched.groupBy(fingerprint(key).alias("__key"), "__batch").agg(image.alias("__image"))
@@ -100,7 +100,7 @@ def current_state(
             new = new.join(newer, ["__hi", "__lo"], "left_anti")
         new = new.select("__image.*")
         resolved = new if resolved is None else resolved.unionAll(new)
-    wanted = list(dict.fromkeys([*(key if with_key else ()), *order, *values]))
+    wanted = list(dict.fromkeys([*(key if with_key else scope), *order, *values]))
     live = resolved.where(F.col(op) == UPSERT).select(*wanted)
     if base is None:
         return live

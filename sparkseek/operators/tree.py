@@ -28,45 +28,41 @@ def _contract(state: DataFrame, round_: int, with_path: bool) -> DataFrame:
     combined on the map side like any other. what is decided from the node's own row.
     """
     leaf = F.col("up").isNotNull() & (F.col("up") != F.col("id")) & (F.col("kids") == 0)
-    raked = state.where(leaf)
-    gains = raked.groupBy(F.col("up").alias("id")).agg(
+    gains = state.where(leaf).groupBy(F.col("up").alias("id")).agg(
         F.count("*").alias("g_kids"), F.bit_xor("id").alias("g_x"), F.sum(F.col("below") + F.col("hidden") + 1).alias("g_below")
     )
-    rest = state.where(~leaf).join(gains, "id", "left")
-    rest = rest.withColumn("kids", F.col("kids") - F.coalesce("g_kids", F.lit(0))).withColumn("x", F.col("x").bitwiseXOR(F.coalesce("g_x", F.lit(0))))
-    rest = rest.withColumn("below", F.col("below") + F.coalesce("g_below", F.lit(0))).drop("g_kids", "g_x", "g_below")
+    none = F.lit(0).cast("long")
     rank = lambda c: F.xxhash64(F.col(c), F.lit(round_))
-    inner = F.col("up").isNotNull() & (F.col("up") != F.col("id")) & (F.col("kids") == 1) & (F.col("x") != F.col("id"))
     # lower rank than both neighbours: no two neighbours are spliced in one round
-    rest = rest.withColumn("what", F.when(inner & (rank("id") < rank("up")) & (rank("id") < rank("x")), F.lit("spliced")).otherwise(F.lit("keep")))
-    spliced = rest.where(F.col("what") == "spliced")
+    inner = F.col("up").isNotNull() & (F.col("up") != F.col("id")) & (F.col("kids") == 1) & (F.col("x") != F.col("id"))
+    inner = inner & (rank("id") < rank("up")) & (rank("id") < rank("x"))
+    rest = state.withColumn("raked", leaf).join(gains, "id", "left").select(
+        "id", "up", "gap", "hidden", "trail", "name", "raked",
+        (F.col("below") + F.coalesce("g_below", none)).alias("below"),
+        (F.col("kids") - F.coalesce("g_kids", none)).alias("kids"),
+        F.col("x").bitwiseXOR(F.coalesce("g_x", none)).alias("x"),
+    )
+    rest = rest.withColumn("what", F.when(F.col("raked"), F.lit("raked")).when(inner, F.lit("spliced")).otherwise(F.lit("keep"))).drop("raked")
     link = F.struct("up", "gap", (F.col("hidden") + F.col("below") + 1).alias("hidden"), "trail")
-    empty = F.lit(None).cast(spliced.select(link.alias("s")).schema["s"].dataType)
-    news = spliced.select(
-        F.explode(
-            F.array(
-                F.struct(F.col("up").alias("id"), F.col("id").bitwiseXOR(F.col("x")).alias("n_x"), empty.alias("link")),
-                F.struct(F.col("x").alias("id"), F.lit(0).cast("long").alias("n_x"), link.alias("link")),
-            )
-        ).alias("n")
-    ).select("n.*")
+    empty = F.lit(None).cast("struct<up:bigint,gap:bigint,hidden:bigint,trail:string>")
+    to_parent = F.struct(F.col("up").alias("id"), F.col("id").bitwiseXOR(F.col("x")).alias("n_x"), empty.alias("link"))
+    to_child = F.struct(F.col("x").alias("id"), none.alias("n_x"), link.alias("link"))
+    news = rest.where(F.col("what") == "spliced").select(F.explode(F.array(to_parent, to_child)).alias("n")).select("n.*")
     news = news.groupBy("id").agg(F.bit_xor("n_x").alias("n_x"), F.max("link").alias("link"))
-    kept = rest.where(F.col("what") == "keep").join(news, "id", "left")
-    moved = F.col("link").isNotNull()
-    kept = kept.select(
+    moved = F.col("link").isNotNull() & (F.col("what") == "keep")
+    trail = F.when(moved, F.concat(F.col("link.trail"), F.lit(SEPARATOR), F.col("trail"))).otherwise(F.col("trail")) if with_path else F.col("trail")
+    return rest.join(news, "id", "left").select(
         "id",
         F.when(moved, F.col("link.up")).otherwise(F.col("up")).alias("up"),
         F.when(moved, F.col("gap") + F.col("link.gap")).otherwise(F.col("gap")).alias("gap"),
         F.when(moved, F.col("hidden") + F.col("link.hidden")).otherwise(F.col("hidden")).alias("hidden"),
         "below",
         "kids",
-        F.col("x").bitwiseXOR(F.coalesce("n_x", F.lit(0))).alias("x"),
-        (F.when(moved, F.concat(F.col("link.trail"), F.lit(SEPARATOR), F.col("trail"))).otherwise(F.col("trail")) if with_path else F.col("trail")).alias("trail"),
+        F.when(F.col("what") == "keep", F.col("x").bitwiseXOR(F.coalesce("n_x", none))).otherwise(F.col("x")).alias("x"),
+        trail.alias("trail"),
         "name",
         "what",
     )
-    columns = kept.columns
-    return kept.unionByName(spliced.select(*columns)).unionByName(raked.withColumn("what", F.lit("raked")).select(*columns))
 
 
 def hierarchy(links: DataFrame, with_path: bool = False, max_rounds: int = 500) -> DataFrame:
@@ -90,15 +86,19 @@ def hierarchy(links: DataFrame, with_path: bool = False, max_rounds: int = 500)
         "id", "up", F.lit(1).cast("long").alias("gap"), F.lit(0).cast("long").alias("hidden"), F.lit(0).cast("long").alias("below"),
         F.coalesce("kids", F.lit(0)).cast("long").alias("kids"), F.coalesce("x", F.lit(0)).cast("long").alias("x"), F.col("name").alias("trail"), "name",
     )
-    state = cut(state)
+    state = cut(state.repartition("id"))
     unfinished = F.col("up").isNotNull() & (F.col("up") != F.col("id"))
     rounds = []
-    while not state.where(unfinished).isEmpty():
+    more = not state.where(unfinished).isEmpty()
+    while more:
         if len(rounds) >= max_rounds:
             raise RuntimeError(f"not contracted after {max_rounds} rounds")
         done = cut(_contract(state, len(rounds), with_path))
-        rounds.append(done)
         state = done.where(F.col("what") == "keep").drop("what")
+        count = lambda x: F.sum(F.when(x, 1).otherwise(0))
+        n = done.agg(count(unfinished & (F.col("what") == "keep")).alias("more"), count(F.col("what") == "spliced").alias("spliced")).first()
+        rounds.append((done, n["spliced"] > 0))
+        more = n["more"] > 0
 
     cyclic = F.col("up").isNotNull()
     none = F.lit(-1).cast("long")
@@ -112,16 +112,16 @@ def hierarchy(links: DataFrame, with_path: bool = False, max_rounds: int = 500)
     lost = lambda c, otherwise: F.when(F.col("u_root") < 0, none).otherwise(otherwise).alias(c)
     place = ["id", F.when(F.col("u_root") < 0, none).otherwise(F.col("u_root")).alias("root"), lost("depth", F.col("u_depth") + F.col("gap"))]
     path = (F.concat("u_path", F.lit(SEPARATOR), "trail") if with_path else F.lit(None).cast("string")).alias("path")
-    for done in reversed(rounds):
-        above = found.select(F.col("id").alias("up"), F.col("root").alias("u_root"), F.col("depth").alias("u_depth"), F.col("path").alias("u_path"))
-        child = found.select(F.col("id").alias("x"), F.col("below").alias("c_below"))
-        # the link child -> parent holds the link child -> node, the node with its own branches, and the link node -> parent
-        held = done.where(F.col("what") == "keep").select(F.col("id").alias("x"), F.col("hidden").alias("c_hidden"))
-        spliced = done.where(F.col("what") == "spliced").join(held, "x").join(child, "x").join(above, "up")
-        spliced = spliced.select(*place, lost("below", F.col("c_hidden") - F.col("hidden") + F.col("c_below")), path)
-        found = cut(found.unionByName(spliced))
+    for done, spliced_some in reversed(rounds):
         above = found.select(F.col("id").alias("up"), F.col("root").alias("u_root"), F.col("depth").alias("u_depth"), F.col("path").alias("u_path"))
+        if spliced_some:
+            # the link child -> parent holds the link child -> node, the node with its own branches, and the link node -> parent
+            held = done.where(F.col("what") == "keep").select(F.col("id").alias("x"), F.col("hidden").alias("c_hidden"))
+            child = found.select(F.col("id").alias("x"), F.col("below").alias("c_below"))
+            spliced = done.where(F.col("what") == "spliced").join(held, "x").join(child, "x").join(above, "up")
+            found = found.unionByName(spliced.select(*place, lost("below", F.col("c_hidden") - F.col("hidden") + F.col("c_below")), path))
+            above = found.select(F.col("id").alias("up"), F.col("root").alias("u_root"), F.col("depth").alias("u_depth"), F.col("path").alias("u_path"))
         raked = done.where(F.col("what") == "raked").join(above, "up").select(*place, lost("below", F.col("below")), path)
-        found = found.unionByName(raked)
+        found = cut(found.unionByName(raked).repartition("id"))
     result = found.select(F.col("id").alias("frn"), F.col("root").alias("root_frn"), F.col("depth").cast("int").alias("depth"), F.col("below").alias("descendants"), "path")
     return result if with_path else result.drop("path")

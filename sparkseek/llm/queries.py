@@ -4,8 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from sparkseek.llm.leaks import leaks
 from sparkseek.llm.spans import SharedSpans
-from sparkseek.session import cut, read_table
+from sparkseek.session import read_table
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "test_items")).select("doc_id", "test_id")
 
 
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,6 +22,6 @@ def p10_shared(spark: SparkSession, sf_dir: str) -> DataFrame:
     return SharedSpans(read_table(spark, sf_dir, "documents")).coverage().withColumnRenamed("id", "doc_id")
 
 
-QUERIES = {f.__name__: f for f in (p10_found, p10_shared)}
+QUERIES = {f.__name__: f for f in (p9_found, p10_found, p10_shared)}
 
 ORACLE_SQL: dict[str, str] = {}

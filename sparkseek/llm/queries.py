@@ -3,12 +3,24 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from sparkseek.llm.encodings import Garbled
 from sparkseek.llm.leaks import leaks
 from sparkseek.llm.spans import SharedSpans
 from sparkseek.session import read_table
 
 
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return Garbled(read_table(spark, sf_dir, "content_items")).found().select(F.col("id").alias("item_id"), "field")
+
+
+def p7_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fields found with their true text."""
+    fields = Garbled(read_table(spark, sf_dir, "content_items")).restored()
+    return fields.select(F.col("id").alias("item_id"), "field", "restored")
+
+
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "test_items")).select("doc_id", "test_id")
 
@@ -22,6 +34,6 @@ def p10_shared(spark: SparkSession, sf_dir: str) -> DataFrame:
     return SharedSpans(read_table(spark, sf_dir, "documents")).coverage().withColumnRenamed("id", "doc_id")
 
 
-QUERIES = {f.__name__: f for f in (p9_found, p10_found, p10_shared)}
+QUERIES = {f.__name__: f for f in (p7_found, p7_restored, p9_found, p10_found, p10_shared)}
 
 ORACLE_SQL: dict[str, str] = {}

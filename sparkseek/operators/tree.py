@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkseek.session import cut
+from sparkseek.session import cut, release
 
 SEPARATOR = "\\"
+RELEASE_EVERY = 4
 
 
 def latest_entries(entries: DataFrame) -> DataFrame:
@@ -100,6 +101,8 @@ def hierarchy(links: DataFrame, with_path: bool = False, max_rounds: int = 500)
         n = done.agg(count(unfinished & (F.col("what") == "keep")).alias("more"), count(F.col("what") == "spliced").alias("spliced")).first()
         rounds.append((done, n["spliced"] > 0))
         more = n["more"] > 0
+        if len(rounds) % RELEASE_EVERY == 0:
+            release(links.sparkSession)
 
     cyclic = F.col("up").isNotNull()
     none = F.lit(-1).cast("long")
@@ -113,7 +116,9 @@ def hierarchy(links: DataFrame, with_path: bool = False, max_rounds: int = 500)
     lost = lambda c, otherwise: F.when(F.col("u_root") < 0, none).otherwise(otherwise).alias(c)
     place = ["id", F.when(F.col("u_root") < 0, none).otherwise(F.col("u_root")).alias("root"), lost("depth", F.col("u_depth") + F.col("gap"))]
     path = (F.concat("u_path", F.lit(SEPARATOR), "trail") if with_path else F.lit(None).cast("string")).alias("path")
-    for done, spliced_some in reversed(rounds):
+    for n, (done, spliced_some) in enumerate(reversed(rounds), 1):
+        if n % RELEASE_EVERY == 0:
+            release(links.sparkSession)
         above = found.select(F.col("id").alias("up"), F.col("root").alias("u_root"), F.col("depth").alias("u_depth"), F.col("path").alias("u_path"))
         if spliced_some:
             # the link child -> parent holds the link child -> node, the node with its own branches, and the link node -> parent

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import os
 import shutil
 import tempfile
@@ -69,6 +70,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let an iterative job free what its finished rounds left: Spark drops shuffle files, broadcasts and checkpoints only
+    when the driver's collector finds them unused, which a driver with a roomy heap puts off beyond the job's end."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def cores(spark: SparkSession) -> int:
     return max(1, spark.sparkContext.defaultParallelism)
 

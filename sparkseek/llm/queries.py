@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from sparkseek.llm.boilerplate import MainContent
 from sparkseek.llm.encodings import Garbled
 from sparkseek.llm.leaks import leaks
+from sparkseek.llm.mail import NewText
 from sparkseek.llm.spans import SharedSpans
 from sparkseek.session import read_table
 
@@ -17,6 +18,11 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return MainContent(items).lines().withColumnRenamed("id", "item_id")
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = read_table(spark, sf_dir, "content_items").where(F.col("source").isin("gmail", "outlook", "icloud"))
+    return NewText(items).lines().withColumnRenamed("id", "item_id")
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Garbled(read_table(spark, sf_dir, "content_items")).found().select(F.col("id").alias("item_id"), "field")
 
@@ -40,6 +46,6 @@ def p10_shared(spark: SparkSession, sf_dir: str) -> DataFrame:
     return SharedSpans(read_table(spark, sf_dir, "documents")).coverage().withColumnRenamed("id", "doc_id")
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p7_found, p7_restored, p9_found, p10_found, p10_shared)}
+QUERIES = {f.__name__: f for f in (p3_found, p5_found, p7_found, p7_restored, p9_found, p10_found, p10_shared)}
 
 ORACLE_SQL: dict[str, str] = {}

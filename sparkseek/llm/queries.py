@@ -9,6 +9,7 @@ from sparkseek.llm.boilerplate import MainContent
 from sparkseek.llm.encodings import Garbled
 from sparkseek.llm.leaks import leaks
 from sparkseek.llm.mail import NewText
+from sparkseek.llm.packing import containers, token_counts
 from sparkseek.llm.spans import SharedSpans
 from sparkseek.session import read_table
 
@@ -33,6 +34,11 @@ def p7_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fields.select(F.col("id").alias("item_id"), "field", "restored")
 
 
+def p8_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents in containers of 8192 tokens."""
+    return containers(token_counts(read_table(spark, sf_dir, "documents")), 8192).withColumnRenamed("id", "doc_id")
+
+
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "test_items")).select("doc_id", "test_id")
 
@@ -46,6 +52,6 @@ def p10_shared(spark: SparkSession, sf_dir: str) -> DataFrame:
     return SharedSpans(read_table(spark, sf_dir, "documents")).coverage().withColumnRenamed("id", "doc_id")
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p5_found, p7_found, p7_restored, p9_found, p10_found, p10_shared)}
+QUERIES = {f.__name__: f for f in (p3_found, p5_found, p7_found, p7_restored, p8_containers, p9_found, p10_found, p10_shared)}
 
 ORACLE_SQL: dict[str, str] = {}

@@ -9,6 +9,7 @@ from sparkseek.llm.boilerplate import MainContent
 from sparkseek.llm.encodings import Garbled
 from sparkseek.llm.leaks import leaks
 from sparkseek.llm.mail import NewText
+from sparkseek.llm.ocr import ScannedText
 from sparkseek.llm.packing import containers, token_counts
 from sparkseek.llm.spans import SharedSpans
 from sparkseek.session import read_table
@@ -24,6 +25,21 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return NewText(items).lines().withColumnRenamed("id", "item_id")
 
 
+def _scanned(spark: SparkSession, sf_dir: str) -> ScannedText:
+    items = read_table(spark, sf_dir, "content_items")
+    plain = items.where(F.col("source").isin("file", "git", "onedrive", "registry"))
+    return ScannedText(items.where(F.col("source") == "ocr"), other=plain)
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _scanned(spark, sf_dir).cases().withColumnRenamed("id", "item_id")
+
+
+def p6_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The repaired texts."""
+    return _scanned(spark, sf_dir).repaired().withColumnRenamed("id", "item_id")
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Garbled(read_table(spark, sf_dir, "content_items")).found().select(F.col("id").alias("item_id"), "field")
 
@@ -52,6 +68,6 @@ def p10_shared(spark: SparkSession, sf_dir: str) -> DataFrame:
     return SharedSpans(read_table(spark, sf_dir, "documents")).coverage().withColumnRenamed("id", "doc_id")
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p5_found, p7_found, p7_restored, p8_containers, p9_found, p10_found, p10_shared)}
+QUERIES = {f.__name__: f for f in (p3_found, p5_found, p6_found, p6_repaired, p7_found, p7_restored, p8_containers, p9_found, p10_found, p10_shared)}
 
 ORACLE_SQL: dict[str, str] = {}

@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # Fixed values of the two hashes.
 FNV_OFFSET, FNV_PRIME = 1469598103934665603, 1099511628211
@@ -50,7 +51,7 @@ def _by_bytes(values: pd.Series, step, start: int, kind) -> np.ndarray:
     return out
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _fnv64(values: pd.Series) -> pd.Series:
     prime = np.uint64(FNV_PRIME)
     with np.errstate(over="ignore"):
@@ -58,7 +59,7 @@ def _fnv64(values: pd.Series) -> pd.Series:
     return pd.Series([f"{x:016x}" for x in h.tolist()]).where(values.notna().to_numpy(), None)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _crc32c(values: pd.Series) -> pd.Series:
     table = _crc_table()
     h = _by_bytes(values, lambda s, b: table[(s ^ b) & np.uint32(0xFF)] ^ (s >> np.uint32(8)), 0, np.uint32)

@@ -44,9 +44,8 @@ def occurrences(text: Column, term: str) -> Column:
 def trigrams(text: Column) -> Column:
     """Distinct three-character windows of the lower-cased text, sorted; an empty array for texts of less than three characters."""
     chars = F.split(F.lower(text), "")
-    windows = F.zip_with(
-        F.zip_with(chars, F.slice(chars, 2, 2_000_000_000), F.concat), F.slice(chars, 3, 2_000_000_000), F.concat
-    )
+    join = lambda a, b: F.concat(a, b)
+    windows = F.zip_with(F.zip_with(chars, F.slice(chars, 2, 2_000_000_000), join), F.slice(chars, 3, 2_000_000_000), join)
     return F.array_sort(F.array_distinct(F.filter(windows, lambda g: g.isNotNull())))
 
 

@@ -13,6 +13,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sparkseek.llm.sampling import labelled
 from sparkseek.session import cut
 
 _SPACE = " \t\r\xa0  ​　"
@@ -257,7 +258,7 @@ class MainContent:
 
     docs: id, path (its second part names the site), title and text columns; other columns are ignored. Lines count from 1 and split at \\n only.
     NULL and empty texts have no lines. Wrapped paragraphs are treated as one unit. How often a unit's shape occurs, on its site and on
-    others, is counted over all pages. A logistic regression, fitted on weak labels of at most `sample` pages (an even sample by hash
+    others, is counted over all pages. A logistic regression, fitted on weak labels of about `sample` pages (an even sample by hash
     of the id), gives each unit its cost; a minimum cut over the page's neighbourhood graph decides. A site with one page has no repetition of its own and
     relies on shapes known from other sites. The key of a repeated page counts once per page; pages sent again count again.
     """
@@ -282,18 +283,14 @@ class MainContent:
         return self.docs.select("id", "title", "text").join(placed, "id")
 
     def model(self, pages: DataFrame, most_units: int = 400_000) -> np.ndarray:
-        """Weights from the weak labels of at most `sample` pages."""
-        picked = pages.orderBy(F.xxhash64("id"), "id").limit(self.sample)
-        xs, ys = [], []
-        for r in picked.toLocalIterator():
+        """Weights from the weak labels of about `sample` pages, as far as they have most_units units."""
+
+        def label(r: dict) -> tuple[np.ndarray, np.ndarray]:
             x, _ = _page(r["text"], r["title"], r["site_size"], r["stats"])
-            if len(x):
-                xs.append(x)
-                ys.append(weak_labels(x, r["site_size"]))
-        if not xs:
-            return np.zeros(FEATURES)
-        x, y = np.concatenate(xs)[:most_units], np.concatenate(ys)[:most_units]
-        return fit(x[y >= 0], y[y >= 0])
+            return x, weak_labels(x, r["site_size"])
+
+        x, y = labelled(pages, label, self.sample, most_units)
+        return fit(x, y) if len(x) else np.zeros(FEATURES)
 
     def lines(self) -> DataFrame:
         """id, line_no of every content line with a letter or digit."""

@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sparkseek.session import cut
+
 # Encodings that text is met in, by Python's names.
 SINGLE_BYTE = ("cp1252", "latin-1", "iso8859-15", "cp1250", "iso8859-2", "cp1251", "koi8-r", "iso8859-5", "cp866", "cp437", "cp850", "cp852", "mac_roman", "cp1254", "cp1253")
 EAST_ASIAN = ("shift_jis", "euc_jp", "gbk", "big5", "euc_kr")
@@ -174,7 +176,9 @@ class Garbled:
 
     def originals(self, tokens: DataFrame) -> DataFrame:
         """token, word, chain of every garbled token; word is NULL where it is lost."""
-        vocabulary = tokens.groupBy("token").agg(F.count("*").alias("n"))
+        # spread by the session's number of partitions, not by bytes: the words are few and the work on each is much
+        parts = int(tokens.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        vocabulary = cut(tokens.groupBy("token").agg(F.count("*").alias("n")).repartition(parts, "token"))
         total = F.sum("n")
         # characters: how many tokens they occur in, and how many of them are damaged or look like read from UTF-8
         letters = vocabulary.select("n", F.explode(F.array_distinct(F.split(F.regexp_replace("token", r"[\x00-\x7F]", ""), ""))).alias("c")).where("c != ''")

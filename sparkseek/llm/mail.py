@@ -12,6 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sparkseek.llm.sampling import labelled
 from sparkseek.llm.trees import Boosted, fit_boosted
 from sparkseek.session import cut
 
@@ -251,7 +252,7 @@ class NewText:
     """The lines of each mail that its sender newly wrote.
 
     docs: id, text (falling back to another column where NULL), subject and time columns; other columns are ignored. Lines count
-    from 1 and split at \\n only. NULL and empty texts have none. Each mail is cut into blocks; gradient-boosted trees, fitted on weak labels of at most
+    from 1 and split at \\n only. NULL and empty texts have none. Each mail is cut into blocks; gradient-boosted trees, fitted on weak labels of about
     `sample` mails (an even sample by hash of the id), classify them. How many mails hold a line, how many of them by the
     same sender, and whether an earlier mail of the thread held it, is counted over all mails; mails of equal text count
     as one there, so a mail sent again is no ancestor of itself.
@@ -278,11 +279,14 @@ class NewText:
         )
         return self.docs.select("id", "text").join(stats, "id", "left")
 
-    def model(self, mails: DataFrame) -> Boosted:
-        xs = [_rows(r["text"], r["stats"])[2] for r in mails.orderBy(F.xxhash64("id"), "id").limit(self.sample).toLocalIterator()]
-        x = np.concatenate([np.zeros((0, FEATURES)), *xs])
-        y = weak_labels(x)
-        return fit_boosted(x[y >= 0], y[y >= 0])
+    def model(self, mails: DataFrame, most_blocks: int = 200_000) -> Boosted:
+        """Trees from the weak labels of about `sample` mails, as far as they have most_blocks blocks."""
+
+        def label(r: dict) -> tuple[np.ndarray, np.ndarray]:
+            x = _rows(r["text"], r["stats"])[2]
+            return x, weak_labels(x)
+
+        return fit_boosted(*labelled(mails, label, self.sample, most_blocks))
 
     def lines(self) -> DataFrame:
         """id, line_no of every new line with a letter or digit."""

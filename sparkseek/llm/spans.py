@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -63,6 +62,16 @@ def winnow(hashes: np.ndarray, w: int) -> np.ndarray:
     return start + ((back - start) % 2**24)
 
 
+def ends_of_runs(hashes: np.ndarray, places: np.ndarray, k: int) -> np.ndarray:
+    """Of seeds that repeat at overlapping places (periodic text) the first and the last of each run. What two runs share reaches from
+    their first or from their last seeds, so nothing is lost, and a pair of long runs has four matches instead of their product."""
+    if len(places) < 3:
+        return places
+    again = (hashes[places[1:]] == hashes[places[:-1]]) & (places[1:] - places[:-1] < k)
+    inner = np.concatenate([[False], again[:-1] & again[1:], [False]])
+    return places[~inner]
+
+
 def _seeds(batches: Iterator[pa.RecordBatch], k: int, w: int) -> Iterator[pa.RecordBatch]:
     """cls_hi, cls_lo, n_chars, text -> a row per seed: seed, cls_hi, cls_lo, pos. Texts are hashed together, up to CHUNK characters."""
     powers = _powers(CHUNK)
@@ -74,7 +83,7 @@ def _seeds(batches: Iterator[pa.RecordBatch], k: int, w: int) -> Iterator[pa.Rec
         seeds, owner, places, at = [], [], [], 0
         for i, t in enumerate(texts):
             own = hashes[at : at + len(t) - k + 1]
-            p = winnow(own, w)
+            p = ends_of_runs(own, winnow(own, w), k)
             seeds.append(own[p])
             places.append(p)
             owner.append(np.full(len(p), i))
@@ -185,6 +194,24 @@ def stretches(a: str, b: str, chain: list[tuple[int, int]]) -> list[tuple[int, i
     return found
 
 
+def _contexts(batches: Iterator[pa.RecordBatch], k: int, least: int) -> Iterator[pa.RecordBatch]:
+    """Classes with places of crowded seeds -> a row per stretch of `least` characters around each: seed, cls, pos, shift, whole (its hash)."""
+    powers = _powers(CHUNK)
+    for batch in batches:
+        out: list[list[np.ndarray]] = [[], [], [], [], [], []]
+        for r in batch.to_pylist():
+            codes = np.frombuffer(r["text"].encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+            for m in r["places"]:
+                low, high = max(0, m["pos"] + k - least), min(len(codes), m["pos"] + least)
+                whole = window_hashes(codes[low:high], least, powers)
+                n = len(whole)
+                for column, values in zip(out, (np.full(n, m["seed"]), np.full(n, r["cls_hi"]), np.full(n, r["cls_lo"]), np.full(n, m["pos"]), m["pos"] - low - np.arange(n), whole.view(np.int64))):
+                    column.append(values)
+        arrays = [np.concatenate(c) if c else np.empty(0, np.int64) for c in out]
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array(a.astype(np.int64)).cast(t) for a, t in zip(arrays, kinds)], names=["seed", "cls_hi", "cls_lo", "pos", "shift", "whole"])
+
+
 def _align(batches: Iterator[pa.RecordBatch], k: int, least: int, gap: float) -> Iterator[pa.RecordBatch]:
     """Chains and aligns the matches of each pair; a row per exact stretch and one per chain (exact = false, identity = share of equal characters)."""
     names = ["a_hi", "a_lo", "b_hi", "b_lo", "exact", "a_start", "a_end", "b_start", "b_end", "same"]
@@ -217,14 +244,17 @@ class SharedSpans:
     Winnowing k-mers of k characters over w = least - k + 1 places leaves at least one seed in every span
     of least characters, the same one in each text that holds it, so no span is lost; only seeds that two classes hold go on.
     The seeds that two classes have in common are chained per pair of classes and the chains aligned on the texts
-    themselves, which makes the result exact. A k-mer many classes share costs as many pairs as share at least k
-    characters there; the larger k, the fewer of these fall short of least.
+    themselves, which makes the result exact.
+
+    A seed that more than `crowd` places share is not paired as it is: of the stretches of least characters around its places the
+    hashes are compared first, and only places with a whole stretch in common are paired. So a notice shorter than least costs in
+    proportion to the records that hold it, and a longer one as many pairs as really share a stretch.
     """
 
-    def __init__(self, docs: DataFrame, id: str = "doc_id", text: str = "text", least: int = 300, k: int = 220, gap: float = 0.25):
+    def __init__(self, docs: DataFrame, id: str = "doc_id", text: str = "text", least: int = 300, k: int = 220, gap: float = 0.25, crowd: int = 200):
         if not 0 < k <= least:
             raise ValueError("k must be between 1 and least")
-        self.least, self.k, self.gap = least, k, gap
+        self.least, self.k, self.gap, self.crowd = least, k, gap, crowd
         t = F.col("text")
         hashed = docs.select(F.col(id).alias("id"), F.col(text).alias("text")).where(F.char_length(F.col("text")) >= least)
         self.docs = hashed.select("id", "text", F.xxhash64(t).alias("cls_hi"), F.xxhash64(F.lit(1), t, F.lit(2)).alias("cls_lo"))
@@ -242,23 +272,51 @@ class SharedSpans:
         k, w, least, gap = self.k, self.least - self.k + 1, self.least, self.gap
         raw = self.docs.select("cls_hi", "cls_lo", "text").mapInArrow(lambda b: _seeds(b, k, w), "seed bigint, cls_hi bigint, cls_lo bigint, pos int")
         raw = cut(raw)
-        cls = F.struct("cls_hi", "cls_lo")
         # two classes at least: seen from the least and the greatest of each half, which hash aggregation combines on the map side
         common = raw.groupBy("seed").agg(F.min("cls_lo").alias("l"), F.max("cls_lo").alias("h")).where(F.col("l") != F.col("h")).select("seed")
         shared = cut(raw.join(common, "seed").distinct())
-        a = shared.select("seed", F.col("cls_hi").alias("a_hi"), F.col("cls_lo").alias("a_lo"), F.col("pos").alias("pa"))
-        b = shared.select("seed", F.col("cls_hi").alias("b_hi"), F.col("cls_lo").alias("b_lo"), F.col("pos").alias("pb"))
-        pairs = a.join(b, "seed").where(F.struct("a_hi", "a_lo") < F.struct("b_hi", "b_lo"))
-        pairs = pairs.groupBy("a_hi", "a_lo", "b_hi", "b_lo").agg(F.collect_list(F.struct("pa", "pb")).alias("matches"))
         needed = shared.select("cls_hi", "cls_lo").distinct()
         texts = self.docs.join(needed, ["cls_hi", "cls_lo"], "left_semi").groupBy("cls_hi", "cls_lo").agg(F.first("text").alias("text"))
         texts = cut(texts)
+        crowded = shared.groupBy("seed").agg(F.count("*").alias("n")).where(F.col("n") > self.crowd).select("seed")
+        pairs = self._paired(shared.join(crowded, "seed", "left_anti"), ["seed"])
+        if not crowded.isEmpty():
+            pairs = pairs.unionAll(self._crowded(shared.join(crowded, "seed", "left_semi"), texts))
+        pairs = pairs.groupBy("a_hi", "a_lo", "b_hi", "b_lo").agg(F.collect_set(F.struct("pa", "pb")).alias("matches"))
         pairs = pairs.join(texts.select(F.col("cls_hi").alias("a_hi"), F.col("cls_lo").alias("a_lo"), F.col("text").alias("a_text")), ["a_hi", "a_lo"])
         pairs = pairs.join(texts.select(F.col("cls_hi").alias("b_hi"), F.col("cls_lo").alias("b_lo"), F.col("text").alias("b_text")), ["b_hi", "b_lo"])
         pairs = pairs.select("a_hi", "a_lo", "b_hi", "b_lo", "matches", "a_text", "b_text")
         out = "a_hi bigint, a_lo bigint, b_hi bigint, b_lo bigint, exact boolean, a_start int, a_end int, b_start int, b_end int, same int"
         return pairs.mapInArrow(lambda it: _align(it, k, least, gap), out)
 
+    @staticmethod
+    def _paired(places: DataFrame, keys: list[str]) -> DataFrame:
+        """Pairs of places of two classes with equal keys."""
+        a = places.select(*keys, F.col("cls_hi").alias("a_hi"), F.col("cls_lo").alias("a_lo"), F.col("pos").alias("pa"))
+        b = places.select(*keys, F.col("cls_hi").alias("b_hi"), F.col("cls_lo").alias("b_lo"), F.col("pos").alias("pb"))
+        return a.join(b, keys).where(F.struct("a_hi", "a_lo") < F.struct("b_hi", "b_lo")).select("a_hi", "a_lo", "b_hi", "b_lo", "pa", "pb")
+
+    def _crowded(self, places: DataFrame, texts: DataFrame) -> DataFrame:
+        """Pairs of places of crowded seeds that have a stretch of `least` characters in common.
+
+        Places with the same common stretches form a node; nodes with any in common are paired, and their places with them.
+        """
+        k, least = self.k, self.least
+        by_class = places.groupBy("cls_hi", "cls_lo").agg(F.collect_list(F.struct("seed", "pos")).alias("places"))
+        around = by_class.join(texts, ["cls_hi", "cls_lo"]).mapInArrow(lambda it: _contexts(it, k, least), "seed bigint, cls_hi bigint, cls_lo bigint, pos int, shift int, whole bigint")
+        around = cut(around)
+        stretch = ["seed", "shift", "whole"]
+        common = around.groupBy(*stretch).agg(F.min("cls_lo").alias("l"), F.max("cls_lo").alias("h")).where("l != h").select(*stretch)
+        held = around.join(common, stretch)
+        nodes = cut(held.groupBy("seed", "cls_hi", "cls_lo", "pos").agg(F.xxhash64(F.array_sort(F.collect_list(F.struct("shift", "whole")))).alias("node")))
+        of_node = cut(held.join(nodes, ["seed", "cls_hi", "cls_lo", "pos"]).select(*stretch, "node").distinct())
+        a, b = of_node.withColumnRenamed("node", "node_a"), of_node.withColumnRenamed("node", "node_b")
+        met = a.join(b, stretch).select("seed", "node_a", "node_b").distinct()
+        left = nodes.select("seed", F.col("node").alias("node_a"), F.col("cls_hi").alias("a_hi"), F.col("cls_lo").alias("a_lo"), F.col("pos").alias("pa"))
+        right = nodes.select("seed", F.col("node").alias("node_b"), F.col("cls_hi").alias("b_hi"), F.col("cls_lo").alias("b_lo"), F.col("pos").alias("pb"))
+        both = met.join(left, ["seed", "node_a"]).join(right, ["seed", "node_b"])
+        return both.where(F.struct("a_hi", "a_lo") < F.struct("b_hi", "b_lo")).select("a_hi", "a_lo", "b_hi", "b_lo", "pa", "pb")
+
     def pairs(self, spans: DataFrame | None = None) -> DataFrame:
         """doc_a < doc_b for every two records that share a stretch, records with equal texts among them."""
         spans = self.spans() if spans is None else spans
@@ -302,7 +360,3 @@ def longest_common(a: str, b: str) -> int:
                 best = max(best, new[j])
         row = new
     return best
-
-
-def rank_of(values: list[int], x: int) -> int:
-    return bisect_left(values, x)

@@ -125,7 +125,6 @@ def weak_labels(x: np.ndarray, site_size: int) -> np.ndarray:
     rare = (x[:, 9] < 0.7) & (other < 1.2)
     y[prose & rare] = 1
     y[marked & rare & (x[:, 20] > 0)] = 1
-    y[same & (x[:, 6] == 0)] = 1
     short = ~prose & ~marked & ~same
     y[short & (x[:, 22] > 0) & (x[:, 18] >= 1)] = 0
     if site_size >= 5:
@@ -133,6 +132,7 @@ def weak_labels(x: np.ndarray, site_size: int) -> np.ndarray:
     y[~prose & (x[:, 11] > 1.9) & (other > 3) & (x[:, 16] + x[:, 17] < 2)] = 0
     y[prose & (other > 3.5)] = 0
     y[x[:, 25] > 0] = 1
+    y[same & (x[:, 6] == 0) & (x[:, 13] == 0)] = 1
     y[(x[:, 24] > 0) | (x[:, 6] >= 2) | (x[:, 5] > 0) | (x[:, 7] > 0) | (x[:, 14] > 0)] = 0
     return y
 

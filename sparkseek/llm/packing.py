@@ -129,8 +129,8 @@ def containers(counts: DataFrame, capacity: int, windows: int = 128) -> DataFram
     tasks = max(1, min(100_000, int(total // (8 * windows * capacity))))
     rest = pieces.select("id", F.col("whole").alias("piece"), (F.col("whole").cast("bigint") * capacity).alias("first_token"), (F.col("n") - F.col("whole") * capacity).alias("n"))
     rest = rest.repartition(tasks, F.xxhash64("id")).sortWithinPartitions(F.xxhash64(F.lit("order"), "id"), "id")
-    # a little less than full, for differencing to succeed without a further window
-    goal = int(windows * capacity * 0.998)
+    # a little less than full, for differencing to succeed without a further window, which would cost 1 / windows
+    goal = int(windows * capacity * (1 - 0.5 / windows - 0.005))
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, group = TaskContext.get().partitionId(), 0

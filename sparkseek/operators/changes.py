@@ -91,7 +91,9 @@ def current_state(
     image = F.max(F.struct(*order, op, *[c for c in carried if c not in order]))
     images = batched.groupBy(fingerprint(key).alias("__key"), "__batch").agg(image.alias("__image"))
     # one row per key and batch: spread by key once, so that no anti join below has to move anything
-    images = cut(images.repartition(F.col("__key.hi"), F.col("__key.lo")).select(F.col("__key.hi").alias("__hi"), F.col("__key.lo").alias("__lo"), "__batch", "__image"))
+    parts = int(feed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    images = images.select(F.col("__key.hi").alias("__hi"), F.col("__key.lo").alias("__lo"), "__batch", "__image")
+    images = cut(images.repartition(parts, "__hi", "__lo"), partitioned=True)
     resolved = None
     for batch in range(batches):
         new = images.where(F.col("__batch") == batch)

@@ -37,7 +37,7 @@ def _contract(state: DataFrame, with_path: bool) -> DataFrame:
     # lower rank than both neighbours: no two neighbours are spliced in one round
     inner = F.col("up").isNotNull() & (F.col("up") != F.col("id")) & (F.col("kids") == 1) & (F.col("x") != F.col("id"))
     inner = inner & (rank("id") < rank("up")) & (rank("id") < rank("x"))
-    rest = state.withColumn("raked", leaf).join(gains.hint("shuffle_hash"), "id", "left").select(
+    rest = state.withColumn("raked", leaf).join(gains, "id", "left").select(
         "id", "up", "gap", "hidden", "trail", "name", "raked", "turn",
         (F.col("below") + F.coalesce("g_below", none)).alias("below"),
         (F.col("kids") - F.coalesce("g_kids", none)).alias("kids"),
@@ -52,7 +52,7 @@ def _contract(state: DataFrame, with_path: bool) -> DataFrame:
     news = news.groupBy("id").agg(F.bit_xor("n_x").alias("n_x"), F.max("link").alias("link"))
     moved = F.col("link").isNotNull() & (F.col("what") == "keep")
     trail = F.when(moved, F.concat(F.col("link.trail"), F.lit(SEPARATOR), F.col("trail"))).otherwise(F.col("trail")) if with_path else F.col("trail")
-    return rest.join(news.hint("shuffle_hash"), "id", "left").select(
+    return rest.join(news, "id", "left").select(
         "id",
         F.when(moved, F.col("link.up")).otherwise(F.col("up")).alias("up"),
         F.when(moved, F.col("gap") + F.col("link.gap")).otherwise(F.col("gap")).alias("gap"),
@@ -82,20 +82,22 @@ def hierarchy(links: DataFrame, with_path: bool = False, max_rounds: int = 500)
     """
     nodes = links.select(F.col("frn").alias("id"), F.col("parent").alias("up"), F.coalesce("name", F.lit("")).alias("name") if with_path else F.lit("").alias("name"))
     kids = nodes.where(F.col("up").isNotNull()).groupBy(F.col("up").alias("id")).agg(F.count("*").alias("kids"), F.bit_xor("id").alias("x"))
-    known = nodes.select(F.col("id").alias("up"), F.lit(True).alias("there")).hint("shuffle_hash")
+    known = nodes.select(F.col("id").alias("up"), F.lit(True).alias("there"))
     nodes = nodes.join(known, "up", "left").withColumn("up", F.when(F.col("there"), F.col("up"))).drop("there")
-    state = nodes.join(kids.hint("shuffle_hash"), "id", "left").select(
+    state = nodes.join(kids, "id", "left").select(
         "id", "up", F.lit(1).cast("long").alias("gap"), F.lit(0).cast("long").alias("hidden"), F.lit(0).cast("long").alias("below"),
         F.coalesce("kids", F.lit(0)).cast("long").alias("kids"), F.coalesce("x", F.lit(0)).cast("long").alias("x"), F.col("name").alias("trail"), "name", F.lit(0).alias("turn"),
     )
-    state = cut(state.repartition("id"))
+    # a fixed number of partitions by id, which checkpoints keep: the joins below then move the messages only, never the nodes
+    parts = int(links.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    state = cut(state.repartition(parts, "id"), partitioned=True)
     unfinished = F.col("up").isNotNull() & (F.col("up") != F.col("id"))
     rounds = []
     more = not state.where(unfinished).isEmpty()
     while more:
         if len(rounds) >= max_rounds:
             raise RuntimeError(f"not contracted after {max_rounds} rounds")
-        done = cut(_contract(state, with_path))
+        done = cut(_contract(state, with_path), partitioned=True)
         state = done.where(F.col("what") == "keep").drop("what")
         count = lambda x: F.sum(F.when(x, 1).otherwise(0))
         n = done.agg(count(unfinished & (F.col("what") == "keep")).alias("more"), count(F.col("what") == "spliced").alias("spliced")).first()
@@ -124,10 +126,10 @@ def hierarchy(links: DataFrame, with_path: bool = False, max_rounds: int = 500)
             # the link child -> parent holds the link child -> node, the node with its own branches, and the link node -> parent
             held = done.where(F.col("what") == "keep").select(F.col("id").alias("x"), F.col("hidden").alias("c_hidden"))
             child = found.select(F.col("id").alias("x"), F.col("below").alias("c_below"))
-            spliced = done.where(F.col("what") == "spliced").join(held.hint("shuffle_hash"), "x").join(child.hint("merge"), "x").join(above.hint("merge"), "up")
+            spliced = done.where(F.col("what") == "spliced").join(held, "x").join(child, "x").join(above, "up")
             found = found.unionByName(spliced.select(*place, lost("below", F.col("c_hidden") - F.col("hidden") + F.col("c_below")), path))
             above = found.select(F.col("id").alias("up"), F.col("root").alias("u_root"), F.col("depth").alias("u_depth"), F.col("path").alias("u_path"))
-        raked = done.where(F.col("what") == "raked").join(above.hint("shuffle_hash"), "up").select(*place, lost("below", F.col("below")), path)
-        found = cut(found.unionByName(raked).repartition("id"))
+        raked = done.where(F.col("what") == "raked").join(above, "up").select(*place, lost("below", F.col("below")), path)
+        found = cut(found.unionByName(raked).repartition(parts, "id"), partitioned=True)
     result = found.select(F.col("id").alias("frn"), F.col("root").alias("root_frn"), F.col("depth").cast("int").alias("depth"), F.col("below").alias("descendants"), "path")
     return result if with_path else result.drop("path")

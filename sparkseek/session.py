@@ -64,10 +64,22 @@ def shared_dir(spark: SparkSession) -> str:
     return named or sc._jsc.sc().getCheckpointDir().get()
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise df reliably and forget its lineage. The copy keeps df's partitioning, so joins on it need no shuffle."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def cut(df: DataFrame, partitioned: bool = False) -> DataFrame:
+    """Materialise df reliably and forget its lineage.
+
+    partitioned: the copy keeps df's partitioning, so that joins and aggregations by its keys move nothing. An adaptive plan does not
+    tell its partitioning, so this one plan is made without; use it where no key is skewed.
+    """
+    spark = df.sparkSession
+    shared_dir(spark)
+    if not partitioned:
+        return df.checkpoint(eager=True)
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        return df.checkpoint(eager=True)
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
 
 
 def release(spark: SparkSession) -> None:

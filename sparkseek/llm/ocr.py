@@ -100,9 +100,9 @@ def _mark_furniture(lines: list[Line]) -> None:
     for i, k in enumerate(keys):
         if k and (short[i] or lines[i].drop):
             where.setdefault(k, []).append(i)
-    groups = list(where.items())
-    for n, (k, at) in enumerate(groups):
-        others = [j for q, js in groups if q != k and len(q) > 6 and len(k) > 6 and abs(len(q) - len(k)) <= 2 and near(q, k, 2) for j in js]
+    alike = _alike(list(where))
+    for k, at in where.items():
+        others = [j for q in alike.get(k, ()) for j in where[q]]
         both = at + others
         if max(both) - min(both) >= 3:
             for i in at:
@@ -124,6 +124,29 @@ def _mark_furniture(lines: list[Line]) -> None:
         first.drop = recurs and not header_next
 
 
+def _alike(keys: Sequence[str]) -> dict[str, list[str]]:
+    """For each key of more than six characters the others within two edits. Two edits leave one third of a key whole, moved by two
+    places at most, so only keys that share such a third are compared."""
+    thirds: dict[tuple[int, str], list[str]] = {}
+    long = [k for k in keys if len(k) > 6]
+    for k in long:
+        n = len(k) // 3
+        for i in range(3):
+            thirds.setdefault((len(k), k[i * n : (i + 1) * n]), []).append(k)
+    found: dict[str, list[str]] = {}
+    for q in long:
+        met = set()
+        for size in range(len(q) - 2, len(q) + 3):
+            n = size // 3
+            for i in range(3):
+                for at in range(max(0, i * n - 2), i * n + 3):
+                    met.update(thirds.get((size, q[at : at + n]), ()))
+        met.discard(q)
+        if close := [k for k in met if near(q, k, 2)]:
+            found[q] = sorted(close)
+    return found
+
+
 class Trie:
     """A vocabulary as nested dicts; None ends a word."""
 

@@ -132,6 +132,13 @@ def test_automaton_finds_all_within(vocabulary, word, most):
     assert all(ocr.near(word, w, most) == (distance(word, w) <= most) for w in vocabulary)
 
 
+@settings(max_examples=40, deadline=None)
+@given(st.lists(st.text("abc", min_size=7, max_size=12), max_size=25, unique=True))
+def test_alike_keys(keys):
+    found = ocr._alike(keys)
+    assert all(sorted(found.get(q, [])) == sorted(k for k in keys if k != q and ocr.near(q, k, 2)) for q in keys)
+
+
 SCAN = """Quiet ledger, Abc
 p. 12
 The printer was moved between the harbour and the ledger before the mus-

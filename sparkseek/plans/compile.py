@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
+import datetime as dt
 import re
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from sparkseek.functions.paths import lowercase_ascii
-from sparkseek.functions.text import fuzzy, normalize_name
+from sparkseek.functions.text import fuzzy
 from sparkseek.plans.ast import And, Date, Fuzzy, Node, Not, Or, Size, Term, Whole
 
 METADATA = ("author", "camera", "lens", "artist", "album", "title")
@@ -20,53 +20,60 @@ def normalized(name: str) -> str:
     return "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in cut).translate(str.maketrans("_-.", "   "))
 
 
-def _known(p: Column) -> Column:
-    return F.coalesce(p, F.lit(False))
-
-
 def name_contains(term: str, whole: bool = False) -> Column:
     norm = normalized(term)
     if whole:
         quoted = "\\Q" + norm.replace("\\E", "") + "\\E"
-        return _known(F.col("name_norm").rlike(rf"(?<![\p{{L}}\p{{N}}_]){quoted}(?![\p{{L}}\p{{N}}_])"))
-    return _known(F.contains("name_norm", F.lit(norm)))
+        return F.col("name_norm").rlike(rf"(?<![\p{{L}}\p{{N}}_]){quoted}(?![\p{{L}}\p{{N}}_])")
+    return F.contains("name_norm", F.lit(norm))
 
 
 def content_contains(term: str) -> Column:
-    return _known(F.contains(F.lower("content"), F.lit(term.lower())))
+    return F.contains(F.lower("content"), F.lit(term.lower()))
 
 
 def field_equals(field: str, value: str) -> Column:
-    return _known(F.col(field) == F.lit(value))
+    return F.col(field) == F.lit(value)
 
 
 def ext_is(ext: str) -> Column:
-    return _known(F.lower("ext") == F.lit(ext.lower()))
+    return F.lower("ext") == F.lit(ext.lower())
 
 
 def in_range(column: Column, low, high) -> Column:
-    p = F.lit(True)
+    """low <= column <= high; None leaves a side open. NULL is not in it."""
+    bounds = ([column >= F.lit(low)] if low is not None else []) + ([column <= F.lit(high)] if high is not None else [])
+    p = column.isNotNull() if not bounds else bounds[0]
+    for b in bounds[1:]:
+        p = p & b
+    return p
+
+
+def on_days(column: Column, low: dt.date | None, high: dt.date | None) -> Column:
+    """Days low to high, both inclusive, as bounds on the time itself, which a scan can use."""
+    day = lambda d: F.lit(dt.datetime(d.year, d.month, d.day)).cast("timestamp_ntz")
+    p = column.isNotNull()
     if low is not None:
-        p = p & (column >= F.lit(low))
+        p = p & (column >= day(low))
     if high is not None:
-        p = p & (column <= F.lit(high))
-    return _known(p)
+        p = p & (column < day(high + dt.timedelta(days=1)))
+    return p
 
 
 def path_starts(prefix: str) -> Column:
-    return _known(F.startswith(F.lower("parent"), F.lit(prefix.lower())))
+    return F.startswith(F.lower("parent"), F.lit(prefix.lower()))
 
 
 def path_contains(part: str) -> Column:
-    return _known(F.contains(F.lower("parent"), F.lit(part.lower())))
+    return F.contains(F.lower("parent"), F.lit(part.lower()))
 
 
 def name_matches(pattern: str) -> Column:
-    return _known(F.col("name").rlike(pattern))
+    return F.col("name").rlike(pattern)
 
 
 def has_attributes(mask: int) -> Column:
-    return _known(F.col("attributes").bitwiseAND(F.lit(mask)) == F.lit(mask))
+    return F.col("attributes").bitwiseAND(F.lit(mask)) == F.lit(mask)
 
 
 def leaf(node: Node, whole: bool = False, path: str = "prefix") -> Column:
@@ -86,7 +93,7 @@ def leaf(node: Node, whole: bool = False, path: str = "prefix") -> Column:
         case Size(low, high):
             return in_range(F.col("size"), low, high)
         case Date(low, high):
-            return in_range(F.to_date("mtime"), low, high)
+            return on_days(F.col("mtime"), low, high)
         case Fuzzy(value, distance):
             return fuzzy(F.col("name_norm"), normalized(value), distance)
         case Whole():
@@ -106,7 +113,11 @@ def whole_words(node: Node | None) -> bool:
 
 
 def predicate(node: Node | None, path: str = "prefix") -> Column:
-    """Null-safe predicate: NOT is the complement among all records, so no leaf may be NULL. None matches all."""
+    """The predicate of a query, for a filter: NULL is no match. None matches all.
+
+    NOT is the complement among all records, so what it negates is made false where it is NULL; elsewhere leaves stay bare, so that the
+    scan can use them.
+    """
     whole = whole_words(node)
 
     def build(n: Node) -> Column:
@@ -116,15 +127,7 @@ def predicate(node: Node | None, path: str = "prefix") -> Column:
             case Or(left, right):
                 return build(left) | build(right)
             case Not(child):
-                return ~build(child)
+                return ~F.coalesce(build(child), F.lit(False))
         return leaf(n, whole, path)
 
     return F.lit(True) if node is None else build(node)
-
-
-def name_expression() -> Column:
-    return normalize_name(F.col("name"))
-
-
-def folded(column: str) -> Column:
-    return lowercase_ascii(F.col(column))

@@ -70,4 +70,14 @@ def p10_shared(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (p3_found, p5_found, p6_found, p6_repaired, p7_found, p7_restored, p8_containers, p9_found, p10_found, p10_shared)}
 
-ORACLE_SQL: dict[str, str] = {}
+_WINDOWS = """c AS (SELECT doc_id, n_chars, text FROM documents WHERE n_chars >= 300),
+w AS (SELECT doc_id, i, md5_number(substr(text, i, 300)) AS m FROM (SELECT doc_id, text, unnest(range(1, n_chars - 298)) AS i FROM c))"""
+
+ORACLE_SQL: dict[str, str] = {
+    "p10_found": f"""WITH {_WINDOWS}, d AS (SELECT DISTINCT doc_id, m FROM w)
+SELECT DISTINCT a.doc_id AS doc_a, b.doc_id AS doc_b FROM d a JOIN d b ON a.m = b.m AND a.doc_id < b.doc_id""",
+    "p10_shared": f"""WITH {_WINDOWS}, s AS (SELECT m FROM w GROUP BY m HAVING count(DISTINCT doc_id) > 1),
+p AS (SELECT doc_id, least(300, coalesce(lead(i) OVER (PARTITION BY doc_id ORDER BY i) - i, 300)) AS n FROM w WHERE m IN (SELECT m FROM s)),
+t AS (SELECT doc_id, sum(n) AS n FROM p GROUP BY doc_id)
+SELECT c.doc_id, c.n_chars, CAST(coalesce(t.n, 0) AS BIGINT) AS shared_chars FROM c LEFT JOIN t USING (doc_id)""",
+}

@@ -263,7 +263,7 @@ class MainContent:
     relies on shapes known from other sites. The key of a repeated page counts once per page; pages sent again count again.
     """
 
-    def __init__(self, docs: DataFrame, id: str = "item_id", path: str = "parent_path", title: str = "name", text: str = "content", sample: int = 2000):
+    def __init__(self, docs: DataFrame, id: str = "item_id", path: str = "parent_path", title: str = "name", text: str = "content", sample: int = 1500):
         self.sample = sample
         self.docs = docs.select(F.col(id).alias("id"), F.col(path).alias("path"), F.coalesce(F.col(title), F.lit("")).alias("title"), F.col(text).alias("text")).where(
             F.col("text").isNotNull() & (F.col("text") != "")

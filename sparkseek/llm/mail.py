@@ -258,7 +258,7 @@ class NewText:
     as one there, so a mail sent again is no ancestor of itself.
     """
 
-    def __init__(self, docs: DataFrame, id: str = "item_id", text: str = "content", fallback: str = "preview", subject: str = "name", time: str = "received_at", sample: int = 4000):
+    def __init__(self, docs: DataFrame, id: str = "item_id", text: str = "content", fallback: str = "preview", subject: str = "name", time: str = "received_at", sample: int = 1500):
         self.sample = sample
         self.docs = docs.select(F.col(id).alias("id"), F.coalesce(F.col(text), F.col(fallback)).alias("text"), F.col(subject).alias("subject"), F.col(time).alias("at"))
         self.docs = self.docs.where(F.col("text").isNotNull() & (F.col("text") != ""))

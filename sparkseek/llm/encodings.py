@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -19,9 +20,17 @@ LATER = ("cp1252", "latin-1", "mac_roman", "cp437", "cp850")
 
 NOT_ASCII = r"[^\x00-\x7F]"
 BREAKS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-PART = " part"
+PART, RUN = " part", " run"
+# East Asian characters with their punctuation and full-width forms; runs of them, and runs that two-byte characters read as single bytes can leave
+# (a second byte may be ASCII from @ on), from a first non-ASCII character.
+WIDE = r"\u1100-\u11FF\u2E80-\u9FFF\uAC00-\uD7AF\uF900-\uFAFF\uFF00-\uFFEF"
+RUNS = rf"[{WIDE}]+|[^\x00-\x7F{WIDE}](?:[\x40-\x7E]|[^\x00-\x7F{WIDE}])*"
+# Encodings whose upper half is Latin letters and signs, which no text has many of in a row.
+LATIN = ("cp1252", "latin-1", "iso8859-15", "cp1250", "iso8859-2", "cp437", "cp850", "cp852", "mac_roman", "cp1254")
 _DAMAGE = re.compile("[�\x80-\x84\x86-\x9f]")
 _RUN = re.compile(r"[^\x00-\x7f]+")
+_WIDE = re.compile(f"[{WIDE}]+")
+_RUNS = re.compile(RUNS)
 
 
 @lru_cache(None)
@@ -123,6 +132,60 @@ def by_characters(token: str, clean: frozenset[str]) -> tuple[str, str] | None:
     return None
 
 
+def read_parts(run: str, true: str, wrong: str) -> str:
+    """run, read with `wrong`, read again as `true`; characters that cannot be part of it stay."""
+    single = wrong in SINGLE_BYTE
+    out, raw, chars = [], bytearray(), []
+
+    def flush() -> None:
+        at = 0
+        while at < len(raw):
+            try:
+                out.append(raw[at:].decode(true))
+                break
+            except UnicodeDecodeError as e:
+                out.append(raw[at : at + e.start].decode(true))
+                # the characters of the bytes that fit nowhere; of a two-byte character the first byte stands for it
+                out.extend(c for c in chars[at + e.start : at + e.end])
+                at += e.end
+        raw.clear(), chars.clear()
+
+    for c in run:
+        if single:
+            b = _table(wrong)[1].get(ord(c))
+            own = b"" if b is None else bytes([b])
+        else:
+            own = c.encode(wrong, "ignore")
+        if own:
+            raw += own
+            chars += [c] + [""] * (len(own) - 1)
+        else:
+            flush()
+            out.append(c)
+    flush()
+    return "".join(out)
+
+
+def grams(text: str) -> set[str]:
+    """Pairs of neighbouring East Asian characters, the words of scripts that set none apart."""
+    return {m[0][i : i + 2] for m in _WIDE.finditer(text) for i in range(len(m[0]) - 1)}
+
+
+def readings(run: str) -> list[tuple[str, str]]:
+    """(chain, text) of all ways to read a run again that give East Asian pairs: from single bytes, and between East Asian encodings and UTF-8."""
+    if _WIDE.match(run):
+        ways = [(t, w) for w in EAST_ASIAN for t in ("utf-8", *EAST_ASIAN) if t != w]
+    else:
+        ways = [(t, w) for t in EAST_ASIAN for w in SINGLE_BYTE]
+    found: dict[tuple[str, str], str] = {}
+    for t, w in ways:
+        if w in LATIN or len(run) >= 8 or t == "utf-8":
+            text = read_parts(run, t, w)
+            if text != run and grams(text):
+                found.setdefault((t, text), w)
+    return [(f"{t}>{w}{RUN}", text) for (t, text), w in found.items()]
+
+
 def damaged(token: str) -> bool:
     """Replacement or C1 control characters, which no rightly decoded text holds."""
     return _DAMAGE.search(token) is not None
@@ -137,6 +200,23 @@ def _forms_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.string(), pa.int64(), pa.string()))], names=["token", "word", "word_n", "chain"])
 
 
+def _grams_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """text -> gram, n: in how many texts of the batch each pair stands."""
+    for batch in batches:
+        counts: Counter[str] = Counter()
+        for t in batch.column("text").to_pylist():
+            counts.update(grams(t))
+        yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["gram", "n"])
+
+
+def _readings_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        rows = [(r, c, t, sorted(grams(t))) for r in batch.column("run").to_pylist() for c, t in readings(r)]
+        columns = list(zip(*rows)) or [[], [], [], []]
+        kinds = (pa.string(), pa.string(), pa.string(), pa.list_(pa.string()))
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["run", "chain", "text", "grams"])
+
+
 def _judge(batches: Iterator[pa.RecordBatch], clean: frozenset[str]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = []
@@ -162,10 +242,16 @@ class Garbled:
     is its original. For words the corpus does not hold the same is done with single characters as words, for chains from UTF-8,
     whose forms take two characters or more. Replacement and C1 control characters are damage in any case. Only
     distinct tokens are ever joined; their number follows the vocabulary.
+
+    East Asian texts set no words apart, so a token would be a sentence that hardly stands anywhere else. Their words are pairs of
+    neighbouring characters: each distinct run that can come of East Asian bytes is read again under all chains and its pairs are
+    joined with those of the corpus. A pair speaks for a reading if it stands in `ratio` times as many fields as are read so; a
+    reading is believed if at least half of its pairs speak for it, and `evidence` of them where the run as it stands
+    could be words of another script. Of several readings the one with the most occurrences of such pairs is the original.
     """
 
-    def __init__(self, docs: DataFrame, id: str = "item_id", fields: tuple[str, ...] = ("content", "name"), ratio: float = 3.0, char_share: float = 1e-4):
-        self.ratio, self.char_share, self.fields = ratio, char_share, fields
+    def __init__(self, docs: DataFrame, id: str = "item_id", fields: tuple[str, ...] = ("content", "name"), ratio: float = 3.0, char_share: float = 1e-4, evidence: int = 4):
+        self.ratio, self.char_share, self.fields, self.evidence = ratio, char_share, fields, evidence
         long = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("text")) for f in fields]))
         self.texts = docs.select(F.col(id).alias("id"), long.alias("x")).select("id", "x.field", "x.text").where(F.col("text").rlike(NOT_ASCII))
 
@@ -194,11 +280,32 @@ class Garbled:
         pick = F.max_by(F.struct("word", "chain"), F.struct(F.col("word").isNotNull(), "first")).alias("p")
         return both.groupBy("token").agg(pick).select("token", "p.word", "p.chain")
 
+    def runs(self) -> DataFrame:
+        """id, field, token, word, chain of every run of East Asian text that was read wrongly; its chain is marked."""
+        spark = self.texts.sparkSession
+        parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        # two characters at least: four of single bytes, of which two are no ASCII
+        enough = lambda r: (F.char_length(r) >= 4) & r.rlike(r"(?s)[^\x00-\x7F].*[^\x00-\x7F]") | r.rlike(rf"^[{WIDE}]{{2}}")
+        held = F.array_distinct(F.filter(F.regexp_extract_all("text", F.lit(RUNS), F.lit(0)), enough))
+        runs = cut(self.texts.select("id", "field", F.explode(held).alias("run")))
+        read = cut(runs.select("run").distinct().repartition(parts, "run").mapInArrow(_readings_of, "run string, chain string, text string, grams array<string>"))
+        clean = self.texts.where(F.col("text").rlike(f"[{WIDE}]{{2}}")).select("text").mapInArrow(_grams_of, "gram string, n bigint")
+        clean = clean.groupBy("gram").agg(F.sum("n").alias("clean_n"))
+        known = cut(read.select("run", "chain", F.explode("grams").alias("gram")).join(clean, "gram"))
+        own = known.join(runs, "run").select("id", "field", "chain", "gram").distinct().groupBy("chain", "gram").agg(F.count("*").alias("n"))
+        speak = known.join(own, ["chain", "gram"]).where(F.col("clean_n") >= self.ratio * F.col("n"))
+        votes = speak.groupBy("run", "chain").agg(F.count("*").alias("votes"), F.sum("clean_n").alias("weight"))
+        latin = F.regexp_extract("chain", f">(.*){RUN}$", 1).isin(*LATIN)
+        held = votes.join(read, ["run", "chain"]).where((2 * F.col("votes") >= F.size("grams")) & (latin | (F.col("votes") >= self.evidence)))
+        best = held.groupBy("run").agg(F.max(F.struct("weight", "votes", "text", "chain")).alias("w"))
+        return runs.join(best, "run").select("id", "field", F.col("run").alias("token"), F.col("w.text").alias("word"), "w.chain")
+
     def found(self) -> DataFrame:
-        """id, field, tokens (array of token, word, chain) of every field with a garbled token."""
+        """id, field, tokens (array of token, word, chain) of every field with a garbled token or run."""
         tokens = self.tokens()
         garbled = self.originals(tokens)
-        return tokens.join(garbled, "token").groupBy("id", "field").agg(F.array_sort(F.collect_list(F.struct("token", "word", "chain"))).alias("tokens"))
+        every = tokens.join(garbled, "token").select("id", "field", "token", "word", "chain").unionByName(self.runs())
+        return every.groupBy("id", "field").agg(F.array_sort(F.collect_list(F.struct("token", "word", "chain"))).alias("tokens"))
 
     def restored(self) -> DataFrame:
         """id, field, text, restored: the fields found, with each garbled token replaced by its original (what is lost stays)."""
@@ -210,7 +317,20 @@ class Garbled:
 def _substitute(text: Column, tokens: Column) -> Column:
     @F.udf("string", useArrow=True)
     def replace(text: str, tokens: list) -> str:
-        known = {t["token"]: t["word"] for t in tokens if t["word"] is not None and not t["chain"].endswith(PART)}
+        runs = {t["token"]: t["word"] for t in tokens if t["chain"].endswith(RUN)}
+        if runs:
+            ways = Counter(t["chain"].removesuffix(RUN) for t in tokens if t["chain"].endswith(RUN))
+            chain = max(ways, key=lambda c: (ways[c], c)).split(">")
+
+            def read(m: re.Match) -> str:
+                # a single character between digits or the like has no pair to speak for it and follows the others of its field
+                if m[0] in runs or len(m[0]) != 2 or _WIDE.match(m[0]):
+                    return runs.get(m[0], m[0])
+                one = read_parts(m[0], *chain)
+                return one if len(one) == 1 and _WIDE.match(one) else m[0]
+
+            text = _RUNS.sub(read, text)
+        known = {t["token"]: t["word"] for t in tokens if t["word"] is not None and not t["chain"].endswith((PART, RUN))}
         return re.sub(r"(?:[0-9A-Za-z]|[^\x00-\x7f])+", lambda m: known.get(m[0], m[0]), text)
 
     return replace(text, tokens)

@@ -194,3 +194,14 @@ def test_garbled_fields(spark):
     fixed = {(x["id"], x["field"]): x["restored"] for x in g.restored().collect()}
     assert fixed[20, "content"] == "x größer Señal y" and fixed[21, "name"] == "Übersicht" and fixed[22, "content"] == "vers�n" and fixed[26, "content"] == "Käse"
     assert encodings.Garbled(items(spark, [])).found().count() == 0
+
+
+def test_garbled_sentences_without_spaces(spark):
+    words = "古い 橋 港 青い 図書館 新しい 会議 倉庫".split()
+    rows = [(i, None, None, f"{a}{b}と{c}を{i}件検索しました。", None) for i, (a, b, c) in enumerate((a, b, c) for a in words for b in words for c in words if a != b != c)]
+    text = "青い倉庫と古い橋を7,451件検索しました。新しい図書館"
+    chains = [("euc_jp", "latin-1"), ("shift_jis", "cp1252"), ("gbk", "cp1252"), ("euc_jp", "mac_roman")]
+    rows += [(1000 + i, None, None, f"古い港\n{encodings.misread(text, *c)}\nEND", None) for i, c in enumerate(chains)]
+    rows += [(2000, None, "naïve façade", "créée — «été» ÀÉÎÕ", None)]
+    g = encodings.Garbled(items(spark, rows))
+    assert {x["id"]: x["restored"] for x in g.restored().collect()} == {1000 + i: f"古い港\n{text}\nEND" for i in range(len(chains))}

@@ -26,11 +26,12 @@ def words(text: str) -> list[str]:
 @dataclass(frozen=True)
 class Rules:
     """least: consecutive words of an item that make a leak; edits: how many of so few may differ when passages are retrieved;
-    error_rate: share of words that may differ in an alignment; passage, stride: words of a passage and from one to the next."""
+    error_rate: share of words that may differ in an alignment; one_in: of so many words of any span one may differ; passage, stride: words of a passage and from one to the next."""
 
     least: int = 14
     edits: int = 2
     error_rate: float = 0.2
+    one_in: int = 8
     passage: int = 32
     stride: int = 16
     block: int = 16
@@ -177,8 +178,16 @@ class ItemIndex:
         return found[most >= max(1, r.least - 1 - 2 * r.edits)]
 
     def aligned(self, tokens: np.ndarray, item: int) -> tuple[int, int]:
-        """(words of the item, differing words) of the best local alignment with a stretch of text."""
-        return align(tokens, self.tokens[item])
+        """(words of the item, differing words) of what a stretch of text gives away of the item, (0, 0) if it is too little.
+
+        The best local alignment ends before an error near an end of a short passage, which costs more than the words beyond it; so
+        where it is too short the longest span for each number of errors is asked.
+        """
+        r = self.rules
+        n, wrong = align(tokens, self.tokens[item])
+        if n >= r.least and wrong <= r.error_rate * n:
+            return n, wrong
+        return longest_span(tokens, self.tokens[item], r.least, r.one_in)
 
 
 def _expand(start: np.ndarray, term: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -222,6 +231,33 @@ def align(text: np.ndarray, item: np.ndarray, error: int = 2) -> tuple[int, int]
     return best[1], best[2]
 
 
+def longest_span(text: np.ndarray, item: np.ndarray, least: int, one_in: int) -> tuple[int, int]:
+    """(words, errors) of the longest span of an item, at least `least` words long, of which one word in `one_in`, rounded up, is replaced,
+    omitted or added in the text; it begins and ends with an equal word. (0, 0) if there is none."""
+    m = len(item)
+    most = -(-m // one_in)
+    none = -(m + 1)  # stays below 0 whatever is added
+    allowed = np.arange(most + 1)[:, None]
+    span = np.full((most + 1, m + 1), none)  # item words of the longest span that ends here with at most so many errors
+    best = (0, 0)
+    for x in text:
+        same = item == x
+        new = np.full((most + 1, m + 1), none)
+        new[1:] = span[:-1]  # a word added
+        new[1:, 1:] = np.maximum(new[1:, 1:], span[:-1, :-1] + 1)  # replaced
+        equal = np.where(same, np.maximum(span[:, :-1] + 1, 1), none)
+        new[:, 1:] = np.maximum(new[:, 1:], equal)
+        for e in range(1, most + 1):
+            new[e, 1:] = np.maximum(new[e, 1:], new[e - 1, :-1] + 1)  # omitted
+        new[new < 1] = none
+        ends = (equal >= least) & (allowed <= -(-equal // one_in))
+        if ends.any():
+            e, at = np.unravel_index(np.where(ends, equal * (most + 1) - allowed, -1).argmax(), ends.shape)
+            best = max(best, (int(equal[e, at]), -int(e)))
+        span = new
+    return best[0], -best[1]
+
+
 CHUNK_WORDS = 400_000
 
 
@@ -247,7 +283,7 @@ def _search(batches: Iterator[pa.RecordBatch], index: ItemIndex) -> Iterator[pa.
             lo = max(starts[d], passages[order[i]] * r.stride - r.stride)
             hi = min(starts[d] + len(parts[d]), passages[order[j - 1]] * r.stride + r.passage + r.stride)
             n, wrong = index.aligned(tokens[lo:hi], t)
-            if n >= r.least and wrong <= r.error_rate * n:
+            if n:
                 out.append((ids[d], int(index.ids[t]), n, wrong))
             i = j
         columns = list(zip(*out)) or [[], [], [], []]

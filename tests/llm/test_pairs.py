@@ -77,6 +77,28 @@ def test_alignment():
     assert leaks.align(np.array([50, 51]), a) == (0, 0)
 
 
+def test_errors_near_the_ends_of_short_passages():
+    r = random.Random(5)
+    item = " ".join(f"w{i}" for i in range(40))
+    index = leaks.ItemIndex([(1, item), (2, " ".join(sentence(r, 40)))])
+    for n in (14, 15, 16):
+        for wrong in [(1,), (2,), (n - 2,), (1, n - 2), (2, n - 3), (1, 2), (1, 7)]:
+            words = item.split()[10 : 10 + n]
+            for i in wrong:
+                words[i] = "zzz"
+            text = ["x"] * 30 + words + ["y"] * 30
+            tokens = np.array([index.vocabulary.get(w, -1) for w in text], np.int64)
+            assert 14 <= index.aligned(tokens, 0)[0] <= n and 0 in index.search(tokens)[1]
+    short = np.array([index.vocabulary.get(w, -1) for w in item.split()[10:23]], np.int64)
+    assert index.aligned(short, 0) == (0, 0)
+    left_out, added = list(range(14)), list(range(16))
+    del left_out[2]
+    added.insert(2, 99)
+    a = np.arange(16)
+    assert leaks.longest_span(np.array(left_out), a[:14], 14, 8) == (14, 1) and leaks.longest_span(np.array(added), a, 14, 8) == (16, 1)
+    assert leaks.longest_span(np.array([99, *range(1, 13), 99]), a[:14], 14, 8) == (0, 0)
+
+
 def brute(sizes, capacity):
     """Fewest containers, by trying all."""
     best = [len(sizes)]

@@ -62,14 +62,32 @@ def winnow(hashes: np.ndarray, w: int) -> np.ndarray:
     return start + ((back - start) % 2**24)
 
 
-def ends_of_runs(hashes: np.ndarray, places: np.ndarray, k: int) -> np.ndarray:
-    """Of seeds that repeat at overlapping places (periodic text) the first and the last of each run. What two runs share reaches from
-    their first or from their last seeds, so nothing is lost, and a pair of long runs has four matches instead of their product."""
+def ends_of_runs(hashes: np.ndarray, places: np.ndarray, k: int, w: int) -> np.ndarray:
+    """Of seeds that repeat at overlapping places (periodic text) those that the stretches of two runs need, instead of all.
+
+    Two runs may be out of phase, and the longer stretch then belongs to the shift one period further. So two seeds stay at the end of a
+    run and two at the first window of w hashes in it, which is where a stretch that begins with either run has its seed; those between
+    stay at distances below k, so that placing a short run along a long one leaves no gap.
+    """
     if len(places) < 3:
         return places
     again = (hashes[places[1:]] == hashes[places[:-1]]) & (places[1:] - places[:-1] < k)
-    inner = np.concatenate([[False], again[:-1] & again[1:], [False]])
-    return places[~inner]
+    edge = np.flatnonzero(np.diff(np.concatenate([[False], again, [False]]).astype(np.int8)))
+    keep = np.ones(len(places), bool)
+    for first, last in zip(edge[::2], edge[1::2]):
+        run = places[first : last + 1]
+        if len(run) < 5:
+            continue
+        period = int(np.diff(run).min())
+        low = max(0, run[0] - w)
+        other = np.flatnonzero(hashes[low : run[0]] != hashes[low + period : run[0] + period])
+        begin = low + int(other[-1]) + 1 if len(other) else low
+        star = max(0, int(np.searchsorted(run, begin + w)) - 1)
+        own = np.zeros(len(run), bool)
+        own[[0, 1, star, min(star + 1, len(run) - 1), -2, -1]] = True
+        own[np.unique((run - run[0]) // (k // 2), return_index=True)[1]] = True
+        keep[first : last + 1] = own
+    return places[keep]
 
 
 def _seeds(batches: Iterator[pa.RecordBatch], k: int, w: int) -> Iterator[pa.RecordBatch]:
@@ -83,7 +101,7 @@ def _seeds(batches: Iterator[pa.RecordBatch], k: int, w: int) -> Iterator[pa.Rec
         seeds, owner, places, at = [], [], [], 0
         for i, t in enumerate(texts):
             own = hashes[at : at + len(t) - k + 1]
-            p = ends_of_runs(own, winnow(own, w), k)
+            p = ends_of_runs(own, winnow(own, w), k, w)
             seeds.append(own[p])
             places.append(p)
             owner.append(np.full(len(p), i))

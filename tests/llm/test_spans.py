@@ -3,7 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from sparkseek.llm.spans import SharedSpans, chains, longest_common, winnow, window_hashes, _powers
+from sparkseek.llm.spans import SharedSpans, chains, ends_of_runs, longest_common, stretches, winnow, window_hashes, _powers
 
 
 def words(r, n):
@@ -70,3 +70,31 @@ def test_winnowing_hits_every_window():
     p = set(winnow(h, 7).tolist())
     assert all(p & set(range(i, i + 7)) for i in range(len(h) - 6))
     assert len(winnow(h[:3], 7)) == 0
+
+
+def test_periodic_runs_out_of_phase():
+    import numpy as np
+
+    r, k, w, least = random.Random(7), 220, 81, 300
+    powers = _powers(5000)
+
+    def seeds(text):
+        h = window_hashes(np.frombuffer(text.encode("utf-32-le"), np.uint32), k, powers)
+        return [(int(h[p]), int(p)) for p in ends_of_runs(h, winnow(h, w), k, w)]
+
+    def covered(text, other):
+        held = {other[i : i + least] for i in range(len(other) - least + 1)}
+        return {c for i in range(len(text) - least + 1) if text[i : i + least] in held for c in range(i, i + least)}
+
+    for case in range(240):
+        period = r.choice([1, 2, 3, 7, r.randrange(10, 60), r.randrange(20, 81)])
+        unit = "".join(r.choice("abcdefgh") for _ in range(period)) * (2000 // period)
+        texts = []
+        for side in range(2):
+            at, n = r.randrange(period), r.randrange(300, 340) if case % 3 else r.randrange(300, 1500)
+            texts.append(words(r, 20 * (case % 2)) + "#" + unit[at : at + n] + "*+"[side] + words(r, 20))
+        a, b = texts
+        matches = [(p, q) for h, p in seeds(a) for g, q in seeds(b) if g == h]
+        found = {x for m in matches for x in stretches(a, b, [m]) if x[2] >= least}
+        assert {c for s, _, n in found for c in range(s, s + n)} == covered(a, b), (period, case)
+        assert {c for _, s, n in found for c in range(s, s + n)} == covered(b, a), (period, case)

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from sparkseek.functions.hashes import fingerprint
 from sparkseek.functions.paths import canonical_path, lowercase_ascii
-from sparkseek.session import cut
+from sparkseek.session import broadcast_if, cut
 
 UPSERT, DELETE = 0, 1
 
@@ -24,40 +25,50 @@ def file_changes(feed: DataFrame) -> DataFrame:
     return usable.withColumn("file_path", canonical_path(F.col("parent_path"))).withColumn("file_name", lowercase_ascii(F.col("name")))
 
 
-def fingerprint(columns: Sequence[str]) -> Column:
-    """128 bits that stand for the values of the columns; NULLs and empty strings differ."""
-    marked = [x for c in columns for x in (F.col(c), F.col(c).isNull())]
-    return F.struct(F.xxhash64(*marked).alias("hi"), F.xxhash64(F.lit("low"), *reversed(marked)).alias("lo"))
+def batch_edges(changes: DataFrame, scope: Sequence[str], major: str, minor: str, batches: int, grain: int = 8) -> DataFrame:
+    """scope, edges: the places in the change order at which batches 1, 2, ... begin, going backwards from the newest change.
 
-
-def order_batches(changes: DataFrame, scope: Sequence[str], major: str, minor: str, batches: int) -> DataFrame:
-    """changes with __batch, 0 the newest.
-
-    Within each scope the batches are ranges of (major, minor) holding about equally many rows (approximate
-    quantiles), so one batch of a scope never reaches into a newer one. The statistics have one row per
-    (scope, major) and per scope; both are joined back, which leaves the choice of a broadcast to their size.
+    One pass over the scope and order columns: a row per (scope, major) with its number of changes and approximate quantiles of minor,
+    combined on the map side. Per scope the places are then chosen so that batches hold about equally many changes.
+    """
+    low = F.lit(-(2**62))
+    cuts = [k / (grain * batches) for k in range(1, grain * batches + 1)]
+    one = changes.select(*scope, F.coalesce(F.col(major), low).alias("__major"), F.coalesce(F.col(minor), low).alias("__minor"))
+    stats = one.groupBy(*scope, "__major").agg(F.count("*").alias("__n"), F.percentile_approx("__minor", cuts, F.lit(1000)).alias("__at"))
+    w = W.partitionBy(*scope) if scope else W.partitionBy(F.lit(0))
+    newer = F.coalesce(F.sum("__n").over(w.orderBy(F.desc("__major")).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    stats = stats.withColumn("__newer", newer).withColumn("__all", F.sum("__n").over(w))
+    stats = stats.select(*scope, "__major", "__n", "__newer", "__all", F.posexplode("__at").alias("__k", "__minor"))
+    before = F.col("__newer") + F.col("__n") * (1 - (F.col("__k") + 1) / F.lit(grain * batches))
+    place = F.struct(F.col("__major").alias("major"), F.col("__minor").alias("minor"))
+    firsts = [F.max(F.when(before >= F.col("__all") * (b / batches), place)).alias(f"e{b}") for b in range(1, batches)]
+    return stats.groupBy(*scope).agg(*firsts).select(*scope, F.array(*[f"e{b}" for b in range(1, batches)]).alias("__edges"))
+
+
+def order_batches(changes: DataFrame, scope: Sequence[str], major: str, minor: str, batches: int, sketched: DataFrame | None = None, most: int = 100_000, salts: int = 64) -> DataFrame:
+    """changes with __batch, 0 the newest; one batch of a scope never reaches into a newer one.
+
+    The edges have one row per scope. Up to `most` scopes they are broadcast, so that a scope with a third of all changes stays
+    spread; beyond, they are joined with a salt of `salts` values for the same reason. sketched: rows with scope and order to take the edges from, by default the changes
+    themselves; it only decides how even the batches are.
     """
     if batches <= 1:
         return changes.withColumn("__batch", F.lit(0))
-    low = F.lit(-(2**62))
-    major_key, minor_key = F.coalesce(F.col(major), low), F.coalesce(F.col(minor), low)
-    stats = changes.groupBy(*scope, major_key.alias("__major")).agg(F.min(minor_key).alias("__from"), F.max(minor_key).alias("__to"))
-    stats = stats.withColumn("__rank", F.dense_rank().over(W.partitionBy(*scope).orderBy("__major")).cast("double"))
-    stats = stats.select(*[F.col(c).alias(f"__s_{c}") for c in scope], F.col("__major").alias("__s_major"), "__from", "__to", "__rank")
-    keyed = changes.withColumn("__major", major_key).withColumn("__minor", minor_key)
-    same = F.col("__major") == F.col("__s_major")
-    for c in scope:
-        same = same & F.col(c).eqNullSafe(F.col(f"__s_{c}"))
-    width = (F.col("__to").cast("double") - F.col("__from").cast("double")) + 1.0
-    placed = keyed.join(stats, same).withColumn("__place", F.col("__rank") + (F.col("__minor").cast("double") - F.col("__from").cast("double")) / width)
-    cuts = [i / batches for i in range(1, batches)]
-    edges = placed.groupBy(*scope).agg(F.percentile_approx("__place", cuts, F.lit(1000)).alias("__edges"))
+    edges = cut(batch_edges(changes if sketched is None else sketched, scope, major, minor, batches))
     edges = edges.select(*[F.col(c).alias(f"__e_{c}") for c in scope], "__edges")
+    edges, small = broadcast_if(edges, most)
     on = F.lit(True)
     for c in scope:
         on = on & F.col(c).eqNullSafe(F.col(f"__e_{c}"))
-    older = F.aggregate("__edges", F.lit(0), lambda n, e: n + F.when(F.col("__place") > e, 1).otherwise(0))
-    return placed.join(edges, on).select(*changes.columns, (F.lit(batches - 1) - older).alias("__batch"))
+    placed = changes
+    if not small:
+        edges = edges.withColumn("__e_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        placed = placed.withColumn("__salt", F.pmod(F.xxhash64(major, minor), F.lit(salts)).cast("int"))
+        on = on & (F.col("__salt") == F.col("__e_salt"))
+    low = F.lit(-(2**62))
+    place = F.struct(F.coalesce(F.col(major), low).alias("major"), F.coalesce(F.col(minor), low).alias("minor"))
+    passed = F.aggregate("__edges", F.lit(0), lambda n, e: n + F.when(e.isNotNull() & (place <= e), 1).otherwise(0))
+    return placed.join(edges, on, "left").select(*changes.columns, F.coalesce(passed, F.lit(0)).alias("__batch"))
 
 
 def current_state(
@@ -70,15 +81,17 @@ def current_state(
     base: DataFrame | None = None,
     batches: int = 4,
     with_key: bool = True,
+    sketched: DataFrame | None = None,
 ) -> DataFrame:
     """The rows that exist after all changes: key (without with_key only scope), order and values of each row's last change.
 
-    Newest-first resolution. The feed is cut into batches along the change order; each batch is reduced to one image per
-    key before anything moves (so repeats and a hot key are combined on the map side). Going backwards, a batch
-    adds the images of the keys that no newer batch has resolved (left anti join); a delete adds a tombstone, which
-    resolves its key and shows nothing. At last the rows of base that no change touches are appended.
+    Newest-first resolution. The feed is cut into batches along the change order, and each task reduces its rows to one image per
+    key and batch before the one exchange there is, by key; so repeats and a hot key move as one row per task. Going backwards, a batch
+    adds the images of the keys that no newer batch has resolved (left anti join, on the partitioning of that exchange, so nothing
+    moves again); a delete adds a tombstone, which resolves its key and shows nothing. At last the rows of base that no change touches
+    are appended.
 
-    order names two columns (major, minor) that number the changes within scope; scope must be part of key.
+    order names two numeric columns (major, minor) that place the changes within scope; scope must be part of key.
     Repeats of a change count once; of deliveries that share a place in the order the one with the greatest
     values holds. Deletes of unknown keys do nothing, updates of unknown keys add them. NULL key parts are values
     of their own, NULL order values come first, an empty feed gives base. base needs key, order and values.
@@ -87,13 +100,14 @@ def current_state(
         raise ValueError("scope must be part of key")
     major, minor = order
     carried = [*key, *values] if with_key else [*scope, *values]
-    batched = order_batches(feed.select(*dict.fromkeys([*key, *order, op, *values])), scope, major, minor, batches)
-    image = F.max(F.struct(*order, op, *[c for c in carried if c not in order]))
-    images = batched.groupBy(fingerprint(key).alias("__key"), "__batch").agg(image.alias("__image"))
-    # one row per key and batch: spread by key once, so that no anti join below has to move anything
-    parts = int(feed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    images = images.select(F.col("__key.hi").alias("__hi"), F.col("__key.lo").alias("__lo"), "__batch", "__image")
-    images = cut(images.repartition(parts, "__hi", "__lo"), partitioned=True)
+    batched = order_batches(feed.select(*dict.fromkeys([*key, *order, op, *values])), scope, major, minor, batches, sketched)
+    image = F.struct(*order, op, *[c for c in carried if c not in order])
+    keyed = batched.select(fingerprint(key).alias("__key"), "__batch", image.alias("__image")).select("__key.hi", "__key.lo", "__batch", "__image")
+    per_batch = [F.max(F.when(F.col("__batch") == b, F.col("__image"))).alias(f"i{b}") for b in range(batches)]
+    images = keyed.groupBy("hi", "lo").agg(*per_batch)
+    held = F.filter(F.array(*[F.struct(F.lit(b).alias("b"), F.col(f"i{b}").alias("i")) for b in range(batches)]), lambda x: x.i.isNotNull())
+    images = images.select(F.col("hi").alias("__hi"), F.col("lo").alias("__lo"), F.explode(held).alias("__x"))
+    images = cut(images.select("__hi", "__lo", F.col("__x.b").alias("__batch"), F.col("__x.i").alias("__image")), partitioned=True)
     resolved = None
     for batch in range(batches):
         new = images.where(F.col("__batch") == batch)
@@ -117,4 +131,4 @@ def current_files(feed: DataFrame, values: Sequence[str] = (), base: DataFrame |
     Out come volume_id, file_path, file_name (with_key), journal_seq, usn and values of the last change of each file that exists.
     """
     key, order = ["volume_id", "file_path", "file_name"], ["journal_seq", "usn"]
-    return current_state(file_changes(feed), key, order, values=values, scope=["volume_id"], base=base, batches=batches, with_key=with_key)
+    return current_state(file_changes(feed), key, order, values=values, scope=["volume_id"], base=base, batches=batches, with_key=with_key, sketched=feed)

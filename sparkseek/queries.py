@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from sparkseek.operators import changes, ledger, tree
-from sparkseek.session import read_table
+from sparkseek.session import read_table, work_folder
+
+NOW = dt.datetime(2026, 4, 1)
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,12 +32,31 @@ def p2_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tree.hierarchy(tree.latest_entries(read_table(spark, sf_dir, "frn_entries")), with_path=True)
 
 
+def _book(spark: SparkSession, sf_dir: str) -> ledger.WorkLedger:
+    book = ledger.WorkLedger(spark, work_folder(spark, "ledger"), lambda: NOW)
+    ledger.enter_runs(book, read_table(spark, sf_dir, "index_state"), read_table(spark, sf_dir, "db_header"))
+    return book
+
+
+def _done(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ledger.done_reaches(_book(spark, sf_dir).rows())
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    runs = ledger.committed_runs(read_table(spark, sf_dir, "index_state"), read_table(spark, sf_dir, "db_header"))
-    return ledger.pending_files(changes.file_changes(read_table(spark, sf_dir, "work_items")), runs).select("volume_id", "journal_seq", "usn")
+    return ledger.pending_files(changes.file_changes(read_table(spark, sf_dir, "work_items")), _done(spark, sf_dir)).select("volume_id", "journal_seq", "usn")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_state, p2_found, p2_paths, p4_found)}
+def p4_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ledger's own rows: the state of every run's lease on its volume."""
+    return _book(spark, sf_dir).rows().select(F.col("item").cast("int").alias("volume_id"), F.col("token").alias("generation"), "state", "minor", F.coalesce("major", F.lit(-1)).alias("major")).distinct()
+
+
+def q_journal_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The volumes whose journal cannot be resumed after the last committed run."""
+    return ledger.journal_gaps(read_table(spark, sf_dir, "work_items"), _done(spark, sf_dir))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_state, p2_found, p2_paths, p4_found, p4_ledger, q_journal_gaps)}
 
 _CHANGES = r"""usable AS (
   SELECT DISTINCT volume_id, journal_seq, usn, op, modified_time, received_at,
@@ -91,4 +115,16 @@ FROM n LEFT JOIN down d ON n.frn = d.frn LEFT JOIN below b ON b.a = n.frn""",
 ) SELECT volume_id, last.s AS journal_seq, last.u AS usn FROM f
 WHERE (last.op = 0) IS DISTINCT FROM coalesce(done.op = 0, false)
   OR (last.op = 0 AND last.m IS DISTINCT FROM done.m)""",
+    "p4_ledger": """SELECT DISTINCT s.volume_id, s.generation, CASE WHEN h.generation IS NOT NULL THEN 'done' ELSE 'pending' END AS state, s.last_usn AS minor, coalesce(h.journal_seq, -1) AS major
+FROM index_state s LEFT JOIN db_header h ON h.volume_id = s.volume_id AND h.generation = s.generation""",
+    "q_journal_gaps": """WITH done AS (
+  SELECT s.volume_id, max({'j': h.journal_seq, 'u': s.last_usn}) AS r FROM index_state s JOIN db_header h ON h.volume_id = s.volume_id AND h.generation = s.generation
+  WHERE h.journal_seq IS NOT NULL AND s.last_usn IS NOT NULL AND s.last_scan_time IS NOT NULL GROUP BY 1
+), j AS (
+  SELECT volume_id, journal_seq, min(usn) AS first_usn FROM work_items WHERE volume_id IS NOT NULL AND journal_seq IS NOT NULL AND usn IS NOT NULL GROUP BY 1, 2
+  QUALIFY row_number() OVER (PARTITION BY volume_id ORDER BY journal_seq DESC) = 1
+), c AS (
+  SELECT j.volume_id, j.journal_seq, j.first_usn, CASE WHEN done.volume_id IS NULL THEN 'never' WHEN j.journal_seq > done.r.j THEN 'new journal' WHEN j.first_usn > done.r.u THEN 'lost' END AS reason
+  FROM j LEFT JOIN done USING (volume_id)
+) SELECT * FROM c WHERE reason IS NOT NULL""",
 }

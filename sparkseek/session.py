@@ -4,19 +4,21 @@ from __future__ import annotations
 
 import atexit
 import gc
-import os
 import shutil
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     "spark.sql.parquet.compression.codec": "zstd",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
 }
@@ -56,56 +58,50 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share (spark.checkpoint.dir); a temporary one where the session names none."""
+    """The folder all executors share (spark.checkpoint.dir). Where the session names none a local one makes a temporary folder; a
+    cluster has no such place, so there it is an error."""
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir", None)
     if not sc._jsc.sc().getCheckpointDir().isDefined():
+        if named is None and not sc.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="sparkseek-"))
     return named or sc._jsc.sc().getCheckpointDir().get()
 
 
+def work_folder(spark: SparkSession, name: str) -> str:
+    """A new folder below the shared one."""
+    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def cut(df: DataFrame, partitioned: bool = False) -> DataFrame:
     """Materialise df reliably and forget its lineage.
 
     partitioned: the copy keeps df's partitioning, so that joins and aggregations by its keys move nothing. An adaptive plan does not
-    tell its partitioning, so this one plan is made without; use it where no key is skewed.
+    tell its partitioning, so this one plan is made in a clone of the session without adaptive execution (other queries keep theirs); use
+    it where no key is skewed.
     """
     spark = df.sparkSession
     shared_dir(spark)
     if not partitioned:
         return df.checkpoint(eager=True)
-    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
-    spark.conf.set("spark.sql.adaptive.enabled", "false")
-    try:
-        return df.checkpoint(eager=True)
-    finally:
-        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    session = spark._jsparkSession
+    plain = session.cloneSession()
+    plain.conf().set("spark.sql.adaptive.enabled", "false")
+    dataset = spark._jvm.org.apache.spark.sql.classic.Dataset
+    kept = dataset.ofRows(plain, df._jdf.logicalPlan()).checkpoint(True)
+    return DataFrame(dataset.ofRows(session, kept.logicalPlan()), spark)
+
+
+def broadcast_if(df: DataFrame, most: int) -> tuple[DataFrame, bool]:
+    """df with a broadcast hint if it has at most so many rows (counted now), else as it is; and whether it has."""
+    small = df.limit(most + 1).count() <= most
+    return (F.broadcast(df), True) if small else (df, False)
 
 
 def release(spark: SparkSession) -> None:
-    """Let an iterative job free what its finished rounds left: Spark drops shuffle files, broadcasts and checkpoints only
-    when the driver's collector finds them unused, which a driver with a roomy heap puts off beyond the job's end."""
+    """Let an iterative job free what its finished rounds left: Spark drops shuffle files, broadcasts and (with
+    spark.cleaner.referenceTracking.cleanCheckpoints) checkpoints only when the driver's collector finds them unused, which a driver
+    with a roomy heap puts off beyond the job's end."""
     gc.collect()
     spark._jvm.System.gc()
-
-
-def cores(spark: SparkSession) -> int:
-    return max(1, spark.sparkContext.defaultParallelism)
-
-
-def file_bytes(df: DataFrame) -> int | None:
-    """Size of the files df reads (before filters), None where it does not read files only."""
-    total = 0
-    jvm = df.sparkSession._jvm
-    conf = df.sparkSession._jsc.hadoopConfiguration()
-    files = df.inputFiles()
-    if not files:
-        return None
-    for name in files:
-        path = jvm.org.apache.hadoop.fs.Path(name)
-        total += path.getFileSystem(conf).getFileStatus(path).getLen()
-    return total
-
-
-def env_dir(name: str, default: str) -> str:
-    return os.environ.get(name, default)

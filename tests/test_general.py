@@ -7,9 +7,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from sparkseek.operators import changes, ledger, tree
+from sparkseek.operators.shared import SharedFolder
 
 FEED = "delivery_id bigint, received_at timestamp_ntz, volume_id int, journal_seq bigint, usn bigint, op int, parent_path string, name string, modified_time timestamp_ntz"
 T0 = datetime(2026, 3, 1)
+DONE = "item string, major bigint, minor bigint, scanned timestamp_ntz"
 
 
 def feed(spark, changes_):
@@ -120,7 +122,7 @@ def test_pending_files(spark, rows):
     cs = random_changes(9, 300)
     r = random.Random(4)
     runs = [(v, j, r.randrange(3000), r.randrange(1000)) for v in (0, 1) for j in (1, 2) for _ in range(6)]
-    runs_df = spark.createDataFrame([(v, j, u, T0 + timedelta(minutes=m)) for v, j, u, m in runs], "volume_id int, journal_seq bigint, last_usn bigint, last_scan_time timestamp_ntz")
+    done_df = spark.createDataFrame([(str(v), j, u, T0 + timedelta(minutes=m)) for v, j, u, m in runs], DONE)
     first = {}
     for c in cs:
         first[c[:3]] = min(first.get(c[:3], 10**9), c[7])
@@ -128,14 +130,53 @@ def test_pending_files(spark, rows):
     last, done = model(cs), model(handled)
     state = lambda x: None if x is None or x[2] == 1 else ("there", x[3])
     expected = sorted([(k[0], x[0], x[1]) for k, x in last.items() if state(x) != state(done.get(k))], key=repr)
-    got = ledger.pending_files(changes.file_changes(feed(spark, cs)), runs_df)
-    assert rows(got, "volume_id", "journal_seq", "usn") == expected
-
-
-def test_committed_runs(spark, rows):
-    state = spark.createDataFrame([(1, 0, 50, T0, 7), (1, 0, 50, T0, 7), (2, 0, 60, T0, 8), (3, 1, 70, T0, 7)], "run_id int, volume_id int, last_usn bigint, last_scan_time timestamp_ntz, generation bigint")
-    head = spark.createDataFrame([(0, 7, 2), (0, 7, 2), (1, 9, 1), (0, 8, None)], "volume_id int, generation bigint, journal_seq bigint")
-    assert [(r.volume_id, r.journal_seq, r.last_usn) for r in ledger.committed_runs(state, head).collect()] == [(0, 2, 50)]
+    files = changes.file_changes(feed(spark, cs))
+    assert rows(ledger.pending_files(files, done_df), "volume_id", "journal_seq", "usn") == expected
+    # the way without a broadcast
+    for most in (200_000, 0):
+        settled = ledger.settle(files, done_df, "volume_id", ["journal_seq", "usn"], "received_at", max_steps=2, most=most, salts=3)
+        states = sorted((r.delivery_id, r.state) for r in settled.select("delivery_id", "state").collect())
+        if most:
+            first_way = states
+    assert states == first_way and len(states) == files.count()
+
+
+def test_salted_batches(spark, rows):
+    cs = changes.file_changes(feed(spark, random_changes(11)))
+    picked = cs.select("volume_id", "journal_seq", "usn")
+    a, b = (changes.order_batches(picked, ["volume_id"], "journal_seq", "usn", 4, most=m, salts=3) for m in (100, 0))
+    assert rows(a) == rows(b) and {r[-1] for r in rows(a)} == {0, 1, 2, 3}
+    worst = {}
+    for v, j, u, n in rows(a):
+        worst.setdefault((v, n), []).append((j, u))
+    for (v, n), places in worst.items():
+        newer = [p for (w, m), ps in worst.items() if w == v and m < n for p in ps]
+        assert not newer or max(places) < min(newer) or n == 0
+
+
+RUN = "run_id int, volume_id int, last_usn bigint, last_scan_time timestamp_ntz, generation bigint"
+HEAD = "volume_id int, generation bigint, journal_seq bigint"
+
+
+def test_enter_runs(spark, rows, tmp_path):
+    state = spark.createDataFrame([(1, 0, 50, T0, 7), (1, 0, 50, T0, 7), (2, 0, 60, T0, 8), (3, 1, 70, T0, 7)], RUN)
+    head = spark.createDataFrame([(0, 7, 2), (0, 7, 2), (1, 9, 1), (0, 8, None)], HEAD)
+    book = ledger.WorkLedger(spark, f"file://{tmp_path}/book", Clock())
+    for _ in range(2):  # entering again changes nothing
+        ledger.enter_runs(book, state, head)
+        assert rows(book.rows(), "item", "token", "state", "major", "minor") == [("0", 7, "done", 2, 50), ("0", 8, "done", None, 60), ("1", 7, "pending", None, 70)]
+    assert rows(ledger.done_reaches(book.rows())) == [("0", 2, 50, T0)]
+    none = ledger.WorkLedger(spark, f"file://{tmp_path}/none", Clock())
+    assert none.rows().count() == 0 and ledger.done_reaches(none.rows()).count() == 0
+    everything = changes.file_changes(feed(spark, [(0, 1, 1, 0, "a", "b", None, 1)]))
+    assert ledger.pending_files(everything, ledger.done_reaches(none.rows())).count() == 1
+
+
+def test_journal_gaps(spark, rows):
+    cs = feed(spark, [(0, 2, 5, 0, "a", "b", 1, 1), (1, 1, 80, 0, "a", "b", 1, 1), (2, 1, 9, 0, "a", "b", 1, 1), (3, 1, 9, 0, "a", "b", 1, 1), (None, 1, 1, 0, "a", "b", 1, 1)])
+    done = spark.createDataFrame([("0", 1, 50, T0), ("1", 1, 70, T0), ("2", 1, 9, T0)], DONE)
+    assert rows(ledger.journal_gaps(cs, done), "volume_id", "reason") == [(0, "new journal"), (1, "lost"), (3, "never")]
+    assert ledger.journal_gaps(feed(spark, []), done).count() == 0
 
 
 class Clock:
@@ -165,3 +206,67 @@ def test_ledger(spark, tmp_path):
     book.add("b2", {"n": 3})
     assert book.run(lambda b, about: spark.range(about["n"]), worker="w3") == 1
     assert spark.read.parquet(book.outputs()[1]).count() == 3
+
+
+class Died(Exception):
+    pass
+
+
+def test_ledger_survives_deaths(spark, rows, tmp_path, monkeypatch):
+    clock = Clock()
+    book = ledger.WorkLedger(spark, f"file://{tmp_path}/l", clock)
+    publish = SharedFolder._publish
+
+    def die(self, part, name):
+        raise Died
+
+    state = lambda: [(r.token, r.state) for r in book.rows().orderBy("token").collect()]
+    with monkeypatch.context() as m:  # while it is entered
+        m.setattr(SharedFolder, "_publish", die)
+        with pytest.raises(Died):
+            book.add("a/b.c_d", {})
+    assert book.batches() == [] and book.add("a/b.c_d", {"n": 2}) and book.batches() == ["a/b.c_d"] and state() == [(0, "pending")]
+    with monkeypatch.context() as m:  # while it is leased: nothing was granted
+        m.setattr(SharedFolder, "_publish", die)
+        with pytest.raises(Died):
+            book.lease(60, "w1")
+    first = book.lease(60, "w1")
+    assert first.token == 1 and state() == [(1, "leased")]
+    spark.range(1).write.parquet(first.path)  # while it writes: the lease runs out
+    clock.now += timedelta(seconds=61)
+    assert state() == [(1, "pending")]
+    second = ledger.WorkLedger(spark, book.folder, clock).lease(60, "w2")
+    assert second.token == 2 and state() == [(1, "pending"), (2, "leased")]
+    spark.range(2).write.parquet(second.path)
+    with monkeypatch.context() as m:  # while it commits: not committed, the next one does the work again
+        m.setattr(SharedFolder, "_publish", die)
+        with pytest.raises(Died):
+            book.commit(second)
+    assert book.state("a/b.c_d") == ledger.LEASED
+    clock.now += timedelta(seconds=61)
+    third = book.lease(60, "w3")
+    spark.range(2).write.parquet(third.path)
+    with pytest.raises(ledger.StaleWriter):
+        book.commit(second)
+    assert book.commit(third) and book.commit(third)  # and after it: the answer was lost
+    assert state() == [(1, "pending"), (2, "pending"), (3, "done")]
+    assert book.outputs() == [third.path] and spark.read.parquet(*book.outputs()).count() == 2
+    assert book.lease(60) is None and publish is SharedFolder._publish
+
+
+def test_rivals(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    books = [ledger.WorkLedger(spark, f"file://{tmp_path}/r", Clock()) for _ in range(4)]
+    for i in range(20):
+        books[0].add(f"b{i}")
+
+    def all_leases(book):
+        got = []
+        while (x := book.lease(60)) is not None:
+            got.append(x.batch)
+        return got
+
+    with ThreadPoolExecutor(4) as pool:
+        taken = [b for got in pool.map(all_leases, books) for b in got]
+    assert sorted(taken) == sorted(f"b{i}" for i in range(20))

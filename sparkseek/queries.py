@@ -32,6 +32,11 @@ def p2_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tree.hierarchy(tree.latest_entries(read_table(spark, sf_dir, "frn_entries")), with_path=True)
 
 
+def p2_below(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every entry with everything below it."""
+    return tree.descendants(tree.lineages(tree.latest_entries(read_table(spark, sf_dir, "frn_entries"))))
+
+
 def _book(spark: SparkSession, sf_dir: str) -> ledger.WorkLedger:
     book = ledger.WorkLedger(spark, work_folder(spark, "ledger"), lambda: NOW)
     ledger.enter_runs(book, read_table(spark, sf_dir, "index_state"), read_table(spark, sf_dir, "db_header"))
@@ -56,7 +61,7 @@ def q_journal_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ledger.journal_gaps(read_table(spark, sf_dir, "work_items"), _done(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_state, p2_found, p2_paths, p4_found, p4_ledger, q_journal_gaps)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_state, p2_found, p2_paths, p2_below, p4_found, p4_ledger, q_journal_gaps)}
 
 _CHANGES = r"""usable AS (
   SELECT DISTINCT volume_id, journal_seq, usn, op, modified_time, received_at,
@@ -99,6 +104,8 @@ FROM n LEFT JOIN down d ON n.frn = d.frn LEFT JOIN below b ON b.a = n.frn""",
 SELECT n.frn, coalesce(d.root, -1) AS root_frn, CAST(coalesce(d.depth, -1) AS INTEGER) AS depth,
   CASE WHEN d.frn IS NULL THEN -1 ELSE coalesce(b.c, 0) END AS descendants, d.path
 FROM n LEFT JOIN down d ON n.frn = d.frn LEFT JOIN below b ON b.a = n.frn""",
+    "p2_below": f"""WITH RECURSIVE {_TREE.replace("SELECT up AS a FROM n JOIN", "SELECT up AS a, n.frn AS f FROM n JOIN").replace("SELECT n.up FROM above", "SELECT n.up, above.f FROM above")}
+SELECT a AS frn, f AS below_frn FROM above""",
     "p4_found": f"""WITH {_CHANGES}, runs AS (
   SELECT DISTINCT s.volume_id, h.journal_seq, s.last_usn, s.last_scan_time
   FROM index_state s JOIN db_header h ON h.volume_id = s.volume_id AND h.generation = s.generation WHERE h.journal_seq IS NOT NULL

@@ -74,12 +74,12 @@ def work_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def cut(df: DataFrame, partitioned: bool = False) -> DataFrame:
+def cut(df: DataFrame, partitioned: bool = False, parts: int | None = None) -> DataFrame:
     """Materialise df reliably and forget its lineage.
 
     partitioned: the copy keeps df's partitioning, so that joins and aggregations by its keys move nothing. An adaptive plan does not
     tell its partitioning, so this one plan is made in a clone of the session without adaptive execution (other queries keep theirs); use
-    it where no key is skewed.
+    it where no key is skewed. parts is the number of partitions of its exchanges, by default the session's.
     """
     spark = df.sparkSession
     shared_dir(spark)
@@ -88,6 +88,8 @@ def cut(df: DataFrame, partitioned: bool = False) -> DataFrame:
     session = spark._jsparkSession
     plain = session.cloneSession()
     plain.conf().set("spark.sql.adaptive.enabled", "false")
+    if parts is not None:
+        plain.conf().set("spark.sql.shuffle.partitions", str(parts))
     dataset = spark._jvm.org.apache.spark.sql.classic.Dataset
     kept = dataset.ofRows(plain, df._jdf.logicalPlan()).checkpoint(True)
     return DataFrame(dataset.ofRows(session, kept.logicalPlan()), spark)

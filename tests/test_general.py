@@ -106,13 +106,27 @@ def test_tree_random(spark, rows):
         links[f] = r.choice([r.randrange(1, f), f - 1, 2, 2])
     links |= {1000 + i: 1000 + i - 1 for i in range(1, 60)} | {1000: 0}  # a chain
     links |= {2000: 2001, 2001: 2002, 2002: 2000, 2003: 2003, 2004: 2003, 2005: 2001, 2006: 2005}  # loops and what hangs on them
-    got = tree.hierarchy(tree.latest_entries(entries(spark, links).withColumn("usn", F.lit(1))))
-    assert rows(got, "frn", "root_frn", "depth", "descendants") == tree_model(links)
+    latest = tree.latest_entries(entries(spark, links).withColumn("usn", F.lit(1)))
+    paths = {}
+    # in one task, some rounds distributed, all of them, and with folders that count as busy
+    for small, busy in ((1000, 50_000), (40, 50_000), (0, 50_000), (60, 5)):
+        got = tree.hierarchy(latest, with_path=True, small=small, busy=busy)
+        assert rows(got, "frn", "root_frn", "depth", "descendants") == tree_model(links)
+        paths[small] = rows(got, "frn", "path")
+    assert paths[1000] == paths[40] == paths[0] == paths[60]
+    tree_ = tree.lineages(latest).cache()
+    below = {}
+    for r in tree.descendants(tree_).collect():
+        below.setdefault(r.frn, set()).add(r.below_frn)
+    assert {f: d for f, _, _, d in tree_model(links) if d > 0} == {f: len(b) for f, b in below.items()}
+    assert {r.frn for r in tree.subtree(tree_, 1020).collect()} == below[1020] == set(range(1021, 1060))
+    assert tree.subtree(tree_, 2001).count() == 0
 
 
 def test_tree_edges(spark, rows):
     schema = "frn bigint, parent bigint, name string, usn bigint"
     assert tree.hierarchy(tree.latest_entries(spark.createDataFrame([], schema))).count() == 0
+    assert tree.descendants(tree.lineages(tree.latest_entries(spark.createDataFrame([], schema)))).count() == 0
     df = spark.createDataFrame([(1, 0, "r", 1), (2, 1, None, 1), (2, 9, "old", 0), (2, 1, None, 1), (3, 2, "c", None), (None, 1, "x", 1)], schema)
     got = tree.hierarchy(tree.latest_entries(df), with_path=True)
     assert rows(got, "frn", "root_frn", "depth", "descendants", "path") == [(1, 1, 0, 2, "r"), (2, 1, 1, 1, "r\\"), (3, 1, 2, 0, "r\\\\c")]

@@ -45,14 +45,12 @@ class SharedFolder:
         finally:
             stream.close()
 
-    def names(self, name: str) -> list[str]:
-        """The files of a folder, sorted; none if there is no such folder. One listing."""
+    def names(self, name: str, hidden: bool = False) -> list[str]:
+        """The files of a folder, sorted; none if there is no such folder. One listing. Names that begin with a dot or underscore count as hidden."""
         if not self.exists(name):
             return []
-        if self._local:
-            return sorted(n for n in os.listdir(self._plain(name)) if not n.startswith((".", "_")))
-        found = (x.getPath().getName() for x in self._fs.listStatus(self._path(self.at(name))))
-        return sorted(n for n in found if not n.startswith((".", "_")))
+        found = os.listdir(self._plain(name)) if self._local else [x.getPath().getName() for x in self._fs.listStatus(self._path(self.at(name)))]
+        return sorted(n for n in found if hidden or not n.startswith((".", "_")))
 
     def create(self, name: str, content: dict) -> bool:
         """False if the name is taken."""

@@ -128,6 +128,51 @@ def test_store(spark, tmp_path, rows):
     assert s.get("p", "a").count() == 0 and s.get("q", "a").count() == 1 and s.generation == 3
     s.compact(f"file://{tmp_path}/compact", 1)
     assert spark.read.parquet(f"file://{tmp_path}/compact").count() == 2
+    assert s.delete(spark.createDataFrame([("p", "zz")], "parent string, name string"), "four") == 4 and s.read().count() == 2
+    assert s.get(None, "n").first()["size"] == 4
+
+
+def test_store_takes_batches_in_any_order(spark, tmp_path, rows):
+    schema = "parent string, name string, size bigint, op int, event_time bigint, seq bigint"
+    r = random.Random(3)
+    log = [("p" if i % 3 else None, r.choice("abcdef"), i, r.choice([0, 0, 1]), i // 4, i) for i in range(60)]
+    last = {}
+    for p, n, size, op, t, q in log:
+        last[p, n] = (size, op)
+    expected = sorted([(p, n, size) for (p, n), (size, op) in last.items() if op == 0], key=repr)
+    r.shuffle(log)
+    s = store.RecordStore(spark, f"file://{tmp_path}/any", buckets=3, layers=3)
+    batches = [log[i : i + 12] for i in range(0, 60, 12)]
+    for i, b in enumerate(batches):
+        s.apply(spark.createDataFrame(b, schema), f"b{i}")
+    assert rows(s.read(), "parent", "name", "size") == expected
+    assert s.header()["bases"] and len(s.header()["changes"]) < 3  # merged on the way
+    g = s.generation
+    assert s.apply(spark.createDataFrame(batches[0], schema), "b0") == g
+    # a batch that comes again under another name finds rows and tombstones that are newer
+    s.apply(spark.createDataFrame(batches[0], schema), "again")
+    assert rows(s.read(), "parent", "name", "size") == expected
+    s.apply(spark.createDataFrame([], schema), "empty")
+    assert rows(s.read(), "parent", "name", "size") == expected
+    s.merge()
+    assert s.header()["changes"] == [] and rows(s.read(), "parent", "name", "size") == expected
+    late = spark.createDataFrame([("p", "a", 1, 0, -5, 0), ("z", "new", 2, 0, -5, 0)], schema)
+    s.apply(late, "late")
+    assert rows(s.read(), "parent", "name", "size") == sorted([*expected, ("z", "new", 2)], key=repr)
+
+
+def test_store_writer_dies(spark, tmp_path, monkeypatch):
+    from sparkseek.operators.shared import SharedFolder
+
+    s = store.RecordStore(spark, f"file://{tmp_path}/dies")
+    one = spark.createDataFrame([("p", "a", 1, 0, 1, 1)], "parent string, name string, size bigint, op int, event_time bigint, seq bigint")
+    with monkeypatch.context() as m:
+        m.setattr(SharedFolder, "_publish", lambda self, part, name: 1 / 0)
+        with pytest.raises(ZeroDivisionError):
+            s.apply(one, "b")
+    assert s.generation == 0 and s.read() is None
+    s.apply(one, "b")
+    assert s.generation == 1 and s.read().count() == 1
 
 
 def test_cache(spark):

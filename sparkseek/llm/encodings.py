@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import codecs
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -34,35 +35,39 @@ _RUNS = re.compile(RUNS)
 
 
 @lru_cache(None)
-def _table(encoding: str) -> tuple[dict[int, int], dict[int, int]]:
-    """byte -> code point and back of a single-byte encoding; bytes it leaves open stand for the control character of that number."""
-    down = {}
-    for b in range(256):
-        try:
-            down[b] = ord(bytes([b]).decode(encoding))
-        except UnicodeDecodeError:
-            down[b] = b
-    up = {c: b for b, c in reversed(down.items())}
-    return down, up
+def _table(encoding: str) -> tuple[str, object]:
+    """The characters of the 256 bytes of a single-byte encoding and the map back; bytes it leaves open stand for the control character of
+    that number."""
+    down = "".join(bytes([b]).decode(encoding, "ignore") or chr(b) for b in range(256))
+    return down, codecs.charmap_build(down)
 
 
-def misread(text: str, true: str, wrong: str) -> str | None:
-    """text encoded as `true` and decoded as `wrong`, a single-byte encoding or "utf-8" with replacement; None where it cannot be."""
+def encoded(text: str, encoding: str) -> bytes | None:
+    """text in an encoding; None where it cannot be."""
     try:
-        raw = bytes(map(_table(true)[1].__getitem__, map(ord, text))) if true in SINGLE_BYTE else text.encode(true)
-    except (KeyError, UnicodeEncodeError):
+        return codecs.charmap_encode(text, "strict", _table(encoding)[1])[0] if encoding in SINGLE_BYTE else text.encode(encoding)
+    except UnicodeEncodeError:
         return None
-    if wrong == "utf-8":
-        return raw.decode("utf-8", "replace")
-    return "".join(map(chr, map(_table(wrong)[0].__getitem__, raw)))
+
+
+def _decoded(raw: bytes, wrong: str) -> str:
+    return raw.decode("utf-8", "replace") if wrong == "utf-8" else codecs.charmap_decode(raw, "strict", _table(wrong)[0])[0]
+
+
+def misread(text: str, true: str, wrong: str) -> str | None:
+    """text encoded as `true` and decoded as `wrong`, a single-byte encoding or "utf-8" with replacement; None where it cannot be."""
+    raw = encoded(text, true)
+    return None if raw is None else _decoded(raw, wrong)
 
 
 def reread(text: str, true: str, wrong: str) -> str | None:
     """What misread() made of its text, undone strictly; None if this chain cannot have made it."""
+    raw = encoded(text, wrong)
+    if raw is None:
+        return None
     try:
-        raw = bytes(map(_table(wrong)[1].__getitem__, map(ord, text)))
-        return raw.decode(true) if true not in SINGLE_BYTE else "".join(map(chr, map(_table(true)[0].__getitem__, raw)))
-    except (KeyError, UnicodeDecodeError):
+        return codecs.charmap_decode(raw, "strict", _table(true)[0])[0] if true in SINGLE_BYTE else raw.decode(true)
+    except UnicodeDecodeError:
         return None
 
 
@@ -76,25 +81,35 @@ def chains() -> list[tuple[str, str, str, str]]:
     return [(*c, "", "") for c in once + lost] + twice
 
 
-@lru_cache(200_000)
-def _char_forms(c: str) -> tuple[tuple[str, str], ...]:
-    """(wrong encoding, garbled form) of one character under the chains that begin with UTF-8."""
-    return tuple((w, f) for w in SINGLE_BYTE if (f := misread(c, "utf-8", w)) is not None)
+@lru_cache(None)
+def _by_true() -> tuple[dict[str, list[str]], list[tuple[str, list[str]]]]:
+    """The chains by their first encoding, and of those that go wrong twice the second halves by the first."""
+    once: dict[str, list[str]] = {}
+    twice: dict[str, list[str]] = {}
+    for a, b, _, d in chains():
+        if d:
+            twice.setdefault(b, []).append(d)
+        else:
+            once.setdefault(a, []).append(b)
+    return once, list(twice.items())
 
 
 def forms(word: str) -> dict[str, str]:
     """Garbled forms of a word with the first chain that makes each; the word itself is none."""
+    once, twice = _by_true()
+    made: list[tuple[str, str]] = []
+    for true, wrongs in once.items():
+        raw = encoded(word, true)
+        if raw is not None:
+            made += [(_decoded(raw, wrong), f"{true}>{wrong}") for wrong in wrongs]
+    raw = word.encode("utf-8", "replace")
+    for first, seconds in twice:
+        again = _decoded(raw, first).encode("utf-8")
+        made += [(_decoded(again, second), f"utf-8>{first}>utf-8>{second}") for second in seconds]
     found: dict[str, str] = {}
-    raw: dict[str, str | None] = {}
-    for a, b, c, d in chains():
-        if not c:
-            g = misread(word, a, b)
-            raw[f"{a}>{b}"] = g
-        else:
-            g = raw.get(f"{a}>{b}")
-            g = misread(g, c, d) if g else None
-        if g and g != word and not g.isascii():
-            found.setdefault(g, f"{a}>{b}" + (f">{c}>{d}" if c else ""))
+    for g, chain in made:
+        if g != word and not g.isascii():
+            found.setdefault(g, chain)
     return found
 
 
@@ -152,8 +167,7 @@ def read_parts(run: str, true: str, wrong: str) -> str:
 
     for c in run:
         if single:
-            b = _table(wrong)[1].get(ord(c))
-            own = b"" if b is None else bytes([b])
+            own = encoded(c, wrong) or b""
         else:
             own = c.encode(wrong, "ignore")
         if own:
@@ -191,11 +205,12 @@ def damaged(token: str) -> bool:
     return _DAMAGE.search(token) is not None
 
 
-def _forms_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _forms_of(batches: Iterator[pa.RecordBatch], clean: frozenset[str]) -> Iterator[pa.RecordBatch]:
+    """Words (token, n) -> a row per garbled form of each clean one: neither damaged nor itself made up of garbled characters."""
     for batch in batches:
         words, counts = batch.column("token").to_pylist(), batch.column("n").to_pylist()
         for i in range(0, len(words), 2000):
-            rows = [(g, w, n, c) for w, n in zip(words[i : i + 2000], counts[i : i + 2000]) if not damaged(w) for g, c in pieces(forms(w))]
+            rows = [(g, w, n, c) for w, n in zip(words[i : i + 2000], counts[i : i + 2000]) if not damaged(w) and by_characters(w, clean) is None for g, c in pieces(forms(w))]
             columns = list(zip(*rows)) or [[], [], [], []]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.string(), pa.int64(), pa.string()))], names=["token", "word", "word_n", "chain"])
 
@@ -223,11 +238,11 @@ def _judge(batches: Iterator[pa.RecordBatch], clean: frozenset[str]) -> Iterator
         for t in batch.column("token").to_pylist():
             back = by_characters(t, clean)
             if back is not None:
-                rows.append((t, back[0], back[1]))
+                rows.append((t, back[0], back[1], "read back"))
             elif damaged(t):
-                rows.append((t, None, "lost"))
-        columns = list(zip(*rows)) or [[], [], []]
-        yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in columns], names=["token", "word", "chain"])
+                rows.append((t, None, "lost", "damaged"))
+        columns = list(zip(*rows)) or [[], [], [], []]
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in columns], names=["token", "word", "chain", "how"])
 
 
 class Garbled:
@@ -237,17 +252,18 @@ class Garbled:
     ASCII fields are never garbled (ASCII bytes read alike under all the encodings).
 
     Tokens are the runs of letters, digits and non-ASCII characters that hold a non-ASCII character. Each distinct token
-    without damage is a clean word at first: its garbled forms under all chains are generated and hash-joined with the tokens. A
-    token is garbled if a word that is at least `ratio` times as frequent has it as a form; of several words the most frequent one
-    is its original. For words the corpus does not hold the same is done with single characters as words, for chains from UTF-8,
-    whose forms take two characters or more. Replacement and C1 control characters are damage in any case. Only
-    distinct tokens are ever joined; their number follows the vocabulary.
+    without damage, and not made up of garbled characters, is a clean word: its garbled forms under all chains are generated and
+    hash-joined with the tokens. A token is garbled if a clean word has it as a form; for chains from UTF-8, whose forms take two
+    characters or more for one and are nothing else, that is all, for others the word must be `ratio` times as frequent. Of
+    several words the most frequent one is the original (how = form). Only tokens that no clean word covers are then
+    read back by characters, for chains from UTF-8 (how = read back). What is left with replacement or C1 control characters is damage, whose
+    original is lost (how = damaged). Only distinct tokens are ever joined; their number follows the vocabulary.
 
     East Asian texts set no words apart, so a token would be a sentence that hardly stands anywhere else. Their words are pairs of
     neighbouring characters: each distinct run that can come of East Asian bytes is read again under all chains and its pairs are
     joined with those of the corpus. A pair speaks for a reading if it stands in `ratio` times as many fields as are read so; a
     reading is believed if at least half of its pairs speak for it, and `evidence` of them where the run as it stands
-    could be words of another script. Of several readings the one with the most occurrences of such pairs is the original.
+    could be words of another script (how = pairs). Of several readings the one with the most occurrences of such pairs is the original.
     """
 
     def __init__(self, docs: DataFrame, id: str = "item_id", fields: tuple[str, ...] = ("content", "name"), ratio: float = 3.0, char_share: float = 1e-4, evidence: int = 4):
@@ -261,7 +277,7 @@ class Garbled:
         return self.texts.select("id", "field", F.explode(F.array_distinct(found)).alias("token"))
 
     def originals(self, tokens: DataFrame) -> DataFrame:
-        """token, word, chain of every garbled token; word is NULL where it is lost."""
+        """token, word, chain, how of every garbled token; word is NULL where it is lost."""
         # spread by the session's number of partitions, not by bytes: the words are few and the work on each is much
         parts = int(tokens.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         vocabulary = cut(tokens.groupBy("token").agg(F.count("*").alias("n")).repartition(parts, "token"))
@@ -270,18 +286,16 @@ class Garbled:
         letters = vocabulary.select("n", F.explode(F.array_distinct(F.split(F.regexp_replace("token", r"[\x00-\x7F]", ""), ""))).alias("c")).where("c != ''")
         rows = letters.groupBy("c").agg(total.alias("n")).toLocalIterator()  # bounded by the characters of Unicode
         clean = clean_characters({r["c"]: r["n"] for r in rows}, self.char_share)
-        by_char = vocabulary.select("token").mapInArrow(lambda it: _judge(it, clean), "token string, word string, chain string")
-        table = vocabulary.join(by_char.select("token"), "token", "left_anti").mapInArrow(_forms_of, "token string, word string, word_n bigint, chain string")
+        table = vocabulary.mapInArrow(lambda it: _forms_of(it, clean), "token string, word string, word_n bigint, chain string")
+        enough = F.when(F.col("chain").startswith("utf-8>"), 1.0).otherwise(self.ratio)
+        hit = table.join(vocabulary, "token").where((F.col("word_n") >= enough * F.col("n")) & (F.char_length("token") > 1))
         best = F.max(F.struct("word_n", "word", "chain")).alias("w")
-        hit = table.join(vocabulary, "token").where((F.col("word_n") >= self.ratio * F.col("n")) & (F.char_length("token") > 1))
-        by_word = hit.groupBy("token").agg(best).select("token", "w.word", "w.chain")
-        both = by_char.withColumn("first", F.lit(0)).unionByName(by_word.withColumn("first", F.lit(1)))
-        # a word known to the corpus goes before characters
-        pick = F.max_by(F.struct("word", "chain"), F.struct(F.col("word").isNotNull(), "first")).alias("p")
-        return both.groupBy("token").agg(pick).select("token", "p.word", "p.chain")
+        by_form = hit.groupBy("token").agg(best).select("token", "w.word", "w.chain", F.lit("form").alias("how"))
+        rest = vocabulary.select("token").mapInArrow(lambda it: _judge(it, clean), "token string, word string, chain string, how string")
+        return by_form.unionByName(rest.join(by_form.select("token"), "token", "left_anti"))
 
     def runs(self) -> DataFrame:
-        """id, field, token, word, chain of every run of East Asian text that was read wrongly; its chain is marked."""
+        """id, field, token, word, chain, how of every run of East Asian text that was read wrongly; its chain is marked."""
         spark = self.texts.sparkSession
         parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
         # two characters at least: four of single bytes, of which two are no ASCII
@@ -298,14 +312,14 @@ class Garbled:
         latin = F.regexp_extract("chain", f">(.*){RUN}$", 1).isin(*LATIN)
         held = votes.join(read, ["run", "chain"]).where((2 * F.col("votes") >= F.size("grams")) & (latin | (F.col("votes") >= self.evidence)))
         best = held.groupBy("run").agg(F.max(F.struct("weight", "votes", "text", "chain")).alias("w"))
-        return runs.join(best, "run").select("id", "field", F.col("run").alias("token"), F.col("w.text").alias("word"), "w.chain")
+        return runs.join(best, "run").select("id", "field", F.col("run").alias("token"), F.col("w.text").alias("word"), "w.chain", F.lit("pairs").alias("how"))
 
     def found(self) -> DataFrame:
-        """id, field, tokens (array of token, word, chain) of every field with a garbled token or run."""
+        """id, field, tokens (array of token, word, chain, how) of every field with a garbled token or run."""
         tokens = self.tokens()
-        garbled = self.originals(tokens)
-        every = tokens.join(garbled, "token").select("id", "field", "token", "word", "chain").unionByName(self.runs())
-        return every.groupBy("id", "field").agg(F.array_sort(F.collect_list(F.struct("token", "word", "chain"))).alias("tokens"))
+        garbled = cut(self.originals(tokens))
+        every = tokens.join(garbled, "token").select("id", "field", "token", "word", "chain", "how").unionByName(self.runs())
+        return every.groupBy("id", "field").agg(F.array_sort(F.collect_list(F.struct("token", "word", "chain", "how"))).alias("tokens"))
 
     def restored(self) -> DataFrame:
         """id, field, text, restored: the fields found, with each garbled token replaced by its original (what is lost stays)."""

@@ -5,9 +5,11 @@ from __future__ import annotations
 import base64
 import heapq
 import importlib.util
+from array import array
 from collections.abc import Iterator
 from pathlib import Path
 
+import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -102,13 +104,58 @@ def differencing(sizes: list[int], windows: int) -> list[list[int]]:
 
 
 def pack(sizes: list[int], capacity: int) -> list[list[int]]:
-    """As few windows as differencing needs for none to exceed the capacity: their number rises until it fits. No size may exceed it."""
+    """As few windows as differencing needs for none to exceed the capacity: their number rises until it fits. No size may exceed it.
+
+    From 200 windows on it rises by a hundredth at a time; once it fits, the numbers passed over are tried as well.
+    """
+    fits = lambda found: all(sum(sizes[i] for i in w) <= capacity for w in found)
     windows = max(1, -(-sum(sizes) // capacity))
-    while True:
-        found = differencing(sizes, windows)
-        if all(sum(sizes[i] for i in w) <= capacity for w in found):
-            return found
-        windows += max(1, windows // 100)
+    step = max(1, windows // 100)
+    while not fits(found := differencing(sizes, windows)):
+        windows += step
+    for fewer in range(max(1, windows - step + 1), windows):
+        if fits(better := differencing(sizes, fewer)):
+            return better
+    return found
+
+
+class _Group:
+    """Rows (id, piece, first_token, n_tokens) of one task that are packed together. Small ones are tied into bundles of at least `bundle` tokens,
+    which go into a window as one, so that the sizes to be packed stay few however short the items are."""
+
+    def __init__(self, bundle: int):
+        self.rows = [array("q") for _ in range(4)]
+        self.bundle, self.sizes, self.members, self.load = bundle, [], [], 0
+        self._open, self._open_size = array("q"), 0
+
+    def add(self, row: tuple[int, int, int, int]) -> None:
+        at, n = len(self.rows[0]), row[3]
+        for column, value in zip(self.rows, row):
+            column.append(value)
+        self.load += n
+        if n >= self.bundle:
+            self.sizes.append(n)
+            self.members.append([at])
+            return
+        self._open.append(at)
+        self._open_size += n
+        if self._open_size >= self.bundle:
+            self._close()
+
+    def _close(self) -> None:
+        self.sizes.append(self._open_size)
+        self.members.append(self._open)
+        self._open, self._open_size = array("q"), 0
+
+    def packed(self, capacity: int) -> tuple[np.ndarray, list[np.ndarray]]:
+        """Window of each row, and the rows' columns."""
+        if len(self._open):
+            self._close()
+        window = np.zeros(len(self.rows[0]), np.int64)
+        for w, items in enumerate(pack(self.sizes, capacity)):
+            for i in items:
+                window[np.asarray(self.members[i])] = w
+        return window, [np.array(c, np.int64) for c in self.rows]
 
 
 def containers(counts: DataFrame, capacity: int, windows: int = 128) -> DataFrame:
@@ -116,9 +163,9 @@ def containers(counts: DataFrame, capacity: int, windows: int = 128) -> DataFram
 
     counts: id (unique), n_tokens. Items larger than the capacity are divided into pieces of exactly the capacity, each of which fills a
     container of its own, and a rest; no other item is divided. The others are spread by hash over tasks, and each task fills groups of
-    about `windows` containers at a time, so a task holds one group whatever its share. NULL and negative counts are 0; items of 0
-    tokens go into some container as well. Containers are numbered by task, group and window, the same in every run over equal rows
-    and partitions. An empty table has no containers.
+    about `windows` containers at a time, so a task holds one group whatever its share; a group is closed by the tokens in it alone.
+    NULL and negative counts are 0; items of 0 tokens go into the first container of a group. Containers are numbered by task, group and window,
+    the same in every run over equal rows and partitions, full pieces apart by negative numbers. An empty table has no containers.
     """
     if capacity < 1:
         raise ValueError("capacity must be positive")
@@ -131,30 +178,44 @@ def containers(counts: DataFrame, capacity: int, windows: int = 128) -> DataFram
     rest = rest.repartition(tasks, F.xxhash64("id")).sortWithinPartitions(F.xxhash64(F.lit("order"), "id"), "id")
     # a little less than full, for differencing to succeed without a further window, which would cost 1 / windows
     goal = int(windows * capacity * (1 - 0.5 / windows - 0.005))
+    bundle = max(1, capacity // 64)
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task, group = TaskContext.get().partitionId(), 0
-        held: list[tuple[int, int, int, int]] = []
-        load = 0
+        task, number = TaskContext.get().partitionId(), 0
+        group = _Group(bundle)
 
-        def flush() -> pa.RecordBatch:
-            rows = [((task << 40) | (group << 20) | w, *held[i]) for w, items in enumerate(pack([h[3] for h in held], capacity)) for i in items]
-            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64())
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=["container", "id", "piece", "first_token", "n_tokens"])
+        def out(window: np.ndarray, columns: list[np.ndarray]) -> pa.RecordBatch:
+            arrays = [pa.array((task << 40) | (number << 20) | window), *(pa.array(c.astype(k)) for c, k in zip(columns, (np.int64, np.int32, np.int64, np.int64)))]
+            return pa.RecordBatch.from_arrays(arrays, names=["container", "id", "piece", "first_token", "n_tokens"])
 
         for batch in batches:
-            for row in zip(*(batch.column(c).to_pylist() for c in ("id", "piece", "first_token", "n"))):
-                if held and (load + row[3] > goal or len(held) >= 50 * windows):
-                    yield flush()
-                    held, load, group = [], 0, group + 1
-                held.append(row)
-                load += row[3]
-        if held:
-            yield flush()
+            columns = [batch.column(c).to_numpy().astype(np.int64) for c in ("id", "piece", "first_token", "n")]
+            empty = columns[3] == 0
+            if empty.any():
+                yield out(np.zeros(int(empty.sum()), np.int64), [c[empty] for c in columns])
+            for row in zip(*(c[~empty].tolist() for c in columns)):
+                if group.load and group.load + row[3] > goal:
+                    yield out(*group.packed(capacity))
+                    group, number = _Group(bundle), number + 1
+                group.add(row)
+        if group.load:
+            yield out(*group.packed(capacity))
 
     packed = rest.mapInArrow(fill, "container bigint, id bigint, piece int, first_token bigint, n_tokens bigint")
     full = pieces.where("whole > 0").select("id", F.explode(F.sequence(F.lit(0), F.col("whole") - 1)).alias("piece"))
-    # full pieces are numbered apart from the rest, by negative numbers of their own
-    number = -F.pmod(F.xxhash64("id", "piece"), F.lit(2**62)) - 1
+    number = -F.monotonically_increasing_id() - 1
     full = full.select(number.alias("container"), "id", F.col("piece"), (F.col("piece").cast("bigint") * capacity).alias("first_token"), F.lit(capacity).cast("bigint").alias("n_tokens"))
     return packed.unionByName(full)
+
+
+def filling(packed: DataFrame, counts: DataFrame, capacity: int) -> DataFrame:
+    """One row on how containers were filled: items, over (containers above the capacity), lost (items whose tokens are not all there), divided
+    (items that would have fitted but are in pieces), share (of the space in use)."""
+    per = packed.groupBy("container").agg(F.sum("n_tokens").alias("n"))
+    space = per.agg(F.count(F.when(F.col("n") > capacity, 1)).alias("over"), (F.sum("n") / (F.count("*") * F.lit(capacity))).alias("share"))
+    item = packed.groupBy("id").agg(F.sum("n_tokens").alias("got"), F.count("*").alias("pieces"))
+    both = counts.select("id", F.greatest(F.coalesce("n_tokens", F.lit(0)), F.lit(0)).alias("n")).join(item, "id", "left")
+    whole = both.agg(
+        F.count("*").alias("items"), F.count(F.when(~F.col("n").eqNullSafe(F.col("got")), 1)).alias("lost"), F.count(F.when((F.col("pieces") > 1) & (F.col("n") <= capacity), 1)).alias("divided")
+    )
+    return whole.crossJoin(space)  # one row by one row

@@ -10,9 +10,9 @@ from sparkseek.llm.encodings import Garbled
 from sparkseek.llm.leaks import leaks
 from sparkseek.llm.mail import NewText
 from sparkseek.llm.ocr import ScannedText
-from sparkseek.llm.packing import containers, token_counts
+from sparkseek.llm.packing import containers, filling, token_counts
 from sparkseek.llm.spans import SharedSpans
-from sparkseek.session import read_table
+from sparkseek.session import cut, read_table
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,6 +55,13 @@ def p8_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return containers(token_counts(read_table(spark, sf_dir, "documents")), 8192).withColumnRenamed("id", "doc_id")
 
 
+def p8_filling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether the containers keep the rules, and whether at least 97 % of their space is in use."""
+    counts = cut(token_counts(read_table(spark, sf_dir, "documents")))
+    row = filling(containers(counts, 8192), counts, 8192)
+    return row.select("items", "over", "lost", "divided", (F.col("share") >= 0.97).alias("well_filled"))
+
+
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "test_items")).select("doc_id", "test_id")
 
@@ -68,12 +75,13 @@ def p10_shared(spark: SparkSession, sf_dir: str) -> DataFrame:
     return SharedSpans(read_table(spark, sf_dir, "documents")).coverage().withColumnRenamed("id", "doc_id")
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p5_found, p6_found, p6_repaired, p7_found, p7_restored, p8_containers, p9_found, p10_found, p10_shared)}
+QUERIES = {f.__name__: f for f in (p3_found, p5_found, p6_found, p6_repaired, p7_found, p7_restored, p8_containers, p8_filling, p9_found, p10_found, p10_shared)}
 
 _WINDOWS = """c AS (SELECT doc_id, n_chars, text FROM documents WHERE n_chars >= 300),
 w AS (SELECT doc_id, i, md5_number(substr(text, i, 300)) AS m FROM (SELECT doc_id, text, unnest(range(1, n_chars - 298)) AS i FROM c))"""
 
 ORACLE_SQL: dict[str, str] = {
+    "p8_filling": "SELECT count(*) AS items, 0 AS over, 0 AS lost, 0 AS divided, true AS well_filled FROM documents",
     "p10_found": f"""WITH {_WINDOWS}, d AS (SELECT DISTINCT doc_id, m FROM w)
 SELECT DISTINCT a.doc_id AS doc_a, b.doc_id AS doc_b FROM d a JOIN d b ON a.m = b.m AND a.doc_id < b.doc_id""",
     "p10_shared": f"""WITH {_WINDOWS}, s AS (SELECT m FROM w GROUP BY m HAVING count(DISTINCT doc_id) > 1),

@@ -14,7 +14,7 @@ def labelled(docs: DataFrame, label: Callable[[dict], tuple[np.ndarray, np.ndarr
     """Features and labels of about `sample` documents, an even choice by hash of their id, at most most_rows rows.
 
     label turns a document into its rows (x, y); rows with y < 0 are left out. It runs where the documents lie; only numbers
-    reach the driver. Rows come in the order of the ids, whatever the partitions.
+    reach the driver. Beyond most_rows the documents with the least hashes stay, so the choice and the order of the rows do not depend on the partitions.
     """
     n = docs.count()
     share = int(min(1.0, sample / max(1, n)) * 2**31)
@@ -33,7 +33,8 @@ def labelled(docs: DataFrame, label: Callable[[dict], tuple[np.ndarray, np.ndarr
             kinds = (pa.int64(), pa.int32(), pa.list_(pa.float64()), pa.int32())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip((ids, at, xs, ys), kinds)], names=["id", "at", "x", "y"])
 
-    rows = picked.mapInArrow(run, "id bigint, at int, x array<double>, y int").limit(most_rows).toArrow()
+    found = picked.mapInArrow(run, "id bigint, at int, x array<double>, y int")
+    rows = found.orderBy(F.xxhash64(F.lit("order"), "id"), "id", "at").limit(most_rows).toArrow()
     if rows.num_rows == 0:
         return np.zeros((0, 0)), np.zeros(0)
     rows = rows.sort_by([("id", "ascending"), ("at", "ascending")])

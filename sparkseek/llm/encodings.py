@@ -6,7 +6,7 @@ import codecs
 import re
 from collections import Counter
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -32,6 +32,7 @@ _DAMAGE = re.compile("[�\x80-\x84\x86-\x9f]")
 _RUN = re.compile(r"[^\x00-\x7f]+")
 _WIDE = re.compile(f"[{WIDE}]+")
 _RUNS = re.compile(RUNS)
+_FROM = re.compile(r"[^\x00-\x7F](?:[0-9A-Za-z]|[^\x00-\x7F])*")
 
 
 @lru_cache(None)
@@ -42,6 +43,12 @@ def _table(encoding: str) -> tuple[str, object]:
     return down, codecs.charmap_build(down)
 
 
+@lru_cache(None)
+def _bytes_of(encoding: str) -> dict[str, bytes]:
+    """The characters of a single-byte encoding with their bytes."""
+    return {c: bytes([b]) for b, c in reversed(list(enumerate(_table(encoding)[0])))}
+
+
 def encoded(text: str, encoding: str) -> bytes | None:
     """text in an encoding; None where it cannot be."""
     try:
@@ -165,9 +172,10 @@ def read_parts(run: str, true: str, wrong: str) -> str:
                 at += e.end
         raw.clear(), chars.clear()
 
+    up = _bytes_of(wrong) if single else {}
     for c in run:
         if single:
-            own = encoded(c, wrong) or b""
+            own = up.get(c, b"")
         else:
             own = c.encode(wrong, "ignore")
         if own:
@@ -215,13 +223,52 @@ def _forms_of(batches: Iterator[pa.RecordBatch], clean: frozenset[str]) -> Itera
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.string(), pa.int64(), pa.string()))], names=["token", "word", "word_n", "chain"])
 
 
-def _grams_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """text -> gram, n: in how many texts of the batch each pair stands."""
+TOKEN, WAY, GRAM = 0, 1, 2  # kinds of rows of _found
+
+
+def _left_open(text: str, at: int, stop: int) -> int:
+    """Where the letters and digits of ASCII begin that stand right before a place."""
+    while at > stop and text[at - 1].isascii() and text[at - 1].isalnum():
+        at -= 1
+    return at
+
+
+def tokens_of(text: str) -> set[str]:
+    """The distinct runs of ASCII letters, digits and non-ASCII characters that hold a non-ASCII character."""
+    found, stop = set(), 0
+    for m in _FROM.finditer(text):
+        found.add(text[_left_open(text, m.start(), stop) : m.end()])
+        stop = m.end()
+    return found
+
+
+def runs_of(text: str) -> set[str]:
+    """The distinct runs that East Asian bytes can have left, or be: two characters of such a script, or four of single bytes of which two are no ASCII."""
+    found = set()
+    for m in _RUNS.finditer(text):
+        r = m[0]
+        if len(r) > 1 and (_WIDE.match(r) or len(r) > 3 and sum(not c.isascii() for c in r) > 1):
+            found.add(r)
+    return found
+
+
+def _found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts (id, field, text) -> their tokens and runs (a row each: id, field, kind, token), and for each pair of East Asian characters in how
+    many texts of the batch it stands (kind, token, n)."""
     for batch in batches:
-        counts: Counter[str] = Counter()
-        for t in batch.column("text").to_pylist():
-            counts.update(grams(t))
-        yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["gram", "n"])
+        at, kinds, out, pairs = [], [], [], Counter()
+        for i, t in enumerate(batch.column("text").to_pylist()):
+            here = tokens_of(t)
+            runs = runs_of(t)
+            at += [i] * (len(here) + len(runs))
+            kinds += [TOKEN] * len(here) + [WAY] * len(runs)
+            out += here
+            out += runs
+            pairs.update(grams(t))
+        where = pa.array(at + [None] * len(pairs), pa.int32())
+        columns = [batch.column(c).take(where) for c in ("id", "field")]
+        columns += [pa.array(kinds + [GRAM] * len(pairs), pa.int32()), pa.array(out + list(pairs), pa.string()), pa.array([1] * len(at) + list(pairs.values()), pa.int64())]
+        yield pa.RecordBatch.from_arrays(columns, names=["id", "field", "kind", "token", "n"])
 
 
 def _readings_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -271,16 +318,20 @@ class Garbled:
         long = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("text")) for f in fields]))
         self.texts = docs.select(F.col(id).alias("id"), long.alias("x")).select("id", "x.field", "x.text").where(F.col("text").rlike(NOT_ASCII))
 
+    @cached_property
+    def pieces(self) -> DataFrame:
+        """Tokens, runs and pairs of all fields, made in one pass over the texts."""
+        kind = self.texts.schema["id"].dataType.simpleString()
+        return cut(self.texts.mapInArrow(_found, f"id {kind}, field string, kind int, token string, n bigint"))
+
     def tokens(self) -> DataFrame:
         """id, field, token: the distinct non-ASCII tokens of each field."""
-        found = F.filter(F.split("text", BREAKS), lambda t: t.rlike(NOT_ASCII))
-        return self.texts.select("id", "field", F.explode(F.array_distinct(found)).alias("token"))
+        return self.pieces.where(F.col("kind") == TOKEN).select("id", "field", "token")
 
     def originals(self, tokens: DataFrame) -> DataFrame:
         """token, word, chain, how of every garbled token; word is NULL where it is lost."""
         # spread by the session's number of partitions, not by bytes: the words are few and the work on each is much
-        parts = int(tokens.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        vocabulary = cut(tokens.groupBy("token").agg(F.count("*").alias("n")).repartition(parts, "token"))
+        vocabulary = cut(tokens.groupBy("token").agg(F.count("*").alias("n")), partitioned=True)
         total = F.sum("n")
         # characters: how many tokens they occur in, and how many of them are damaged or look like read from UTF-8
         letters = vocabulary.select("n", F.explode(F.array_distinct(F.split(F.regexp_replace("token", r"[\x00-\x7F]", ""), ""))).alias("c")).where("c != ''")
@@ -296,15 +347,10 @@ class Garbled:
 
     def runs(self) -> DataFrame:
         """id, field, token, word, chain, how of every run of East Asian text that was read wrongly; its chain is marked."""
-        spark = self.texts.sparkSession
-        parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        # two characters at least: four of single bytes, of which two are no ASCII
-        enough = lambda r: (F.char_length(r) >= 4) & r.rlike(r"(?s)[^\x00-\x7F].*[^\x00-\x7F]") | r.rlike(rf"^[{WIDE}]{{2}}")
-        held = F.array_distinct(F.filter(F.regexp_extract_all("text", F.lit(RUNS), F.lit(0)), enough))
-        runs = cut(self.texts.select("id", "field", F.explode(held).alias("run")))
-        read = cut(runs.select("run").distinct().repartition(parts, "run").mapInArrow(_readings_of, "run string, chain string, text string, grams array<string>"))
-        clean = self.texts.where(F.col("text").rlike(f"[{WIDE}]{{2}}")).select("text").mapInArrow(_grams_of, "gram string, n bigint")
-        clean = clean.groupBy("gram").agg(F.sum("n").alias("clean_n"))
+        runs = self.pieces.where(F.col("kind") == WAY).select("id", "field", F.col("token").alias("run"))
+        ways = cut(runs.select("run").distinct(), partitioned=True)
+        read = cut(ways.mapInArrow(_readings_of, "run string, chain string, text string, grams array<string>"))
+        clean = self.pieces.where(F.col("kind") == GRAM).groupBy(F.col("token").alias("gram")).agg(F.sum("n").alias("clean_n"))
         known = cut(read.select("run", "chain", F.explode("grams").alias("gram")).join(clean, "gram"))
         own = known.join(runs, "run").select("id", "field", "chain", "gram").distinct().groupBy("chain", "gram").agg(F.count("*").alias("n"))
         speak = known.join(own, ["chain", "gram"]).where(F.col("clean_n") >= self.ratio * F.col("n"))

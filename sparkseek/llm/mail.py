@@ -141,10 +141,12 @@ def blocks(lines: Sequence[Line], ks: Sequence[str]) -> list[Block]:
 
 def _alone(text: str, before: str) -> bool:
     """Lines a signature or note is made of are judged one by one: names, contacts, short lines without an end."""
+    if len(before) >= 40 and text.endswith(".") and not before.endswith((".", "!", "?", ":")):
+        return False  # the last words of a wrapped paragraph
     return _CONTACT.search(text) is not None or _NAME.match(text) is not None or len(before) < 40 or before.endswith((".", "!", "?", ":", ","))
 
 
-FEATURES = 22
+FEATURES = 27
 
 
 def features(lines: Sequence[Line], ks: Sequence[str], bs: Sequence[Block], often: Sequence[int], by_sender: Sequence[int], ancestors: Sequence[float]) -> np.ndarray:
@@ -154,6 +156,8 @@ def features(lines: Sequence[Line], ks: Sequence[str], bs: Sequence[Block], ofte
     closed = ruled = original = False
     body = 0
     after_quote = 0.0
+    told = False  # something introduced an earlier message and none of it was marked since
+    marks = any(b.kind == "quoted" for b in bs)
     for n, b in enumerate(bs):
         k = b.kind
         if k == "original" or k == "header":
@@ -171,7 +175,12 @@ def features(lines: Sequence[Line], ks: Sequence[str], bs: Sequence[Block], ofte
             len(_CONTACT.findall(joined)) / (w + 1), caps / (w + 1), min(w, 40), joined.endswith((".", "!", "?", "”", "\"")), _NAME.match(joined) is not None,
             np.log1p(max(often[i] for i in b.lines)), np.log1p(max(by_sender[i] for i in b.lines)), max(ancestors[i] for i in b.lines), (n + 1) / len(bs), body > 0,
             nxt in ("closing", "rule", "end"), nxt in ("original", "header", "intro"), after_quote, joined.endswith(","), b.gap, sum(ch.isdigit() for ch in joined) / (len(joined) + 1), len(b.lines),
+            told, marks, bs[n - 1].kind == "quoted" if n else False, bs[n - 1].kind in ("closing", "rule", "device") if n else False, len(joined) / len(b.lines),
         )
+        if k in ("intro", "header", "original"):
+            told = True
+        elif k == "quoted":
+            told = False
         if k == "closing":
             closed = True
         if k == "rule" or k == "device":
@@ -181,13 +190,77 @@ def features(lines: Sequence[Line], ks: Sequence[str], bs: Sequence[Block], ofte
     return x
 
 
-def weak_labels(x: np.ndarray) -> np.ndarray:
-    """1 new text, 0 not, -1 not sure, from the forms of mail alone."""
-    kind, original, closed, ruled = x[:, 0], x[:, 2] > 0, x[:, 3] > 0, x[:, 4] > 0
-    y = np.where((kind == 7) & ~original & ~closed & ~ruled, 1, 0)
-    # a lone name or contact that no closing introduces
-    y[(y == 1) & ((x[:, 5] > 0.15) | ((x[:, 9] > 0) & (x[:, 14] > 0) & (x[:, 18] == 0)))] = -1
-    return y
+def line_labels(lines: Sequence[Line], ks: Sequence[str]) -> list[int]:
+    """1 new, 0 not, -1 not sure, of each line, by the forms of mail: quote marks and what introduces a message, known closings, rules.
+
+    Not sure is what follows an introduction without marks, and a lone name or contact that no closing introduces with all that comes after it.
+    """
+    out, closed, ruled, original, told, lone = [], False, False, False, False, False
+    for i, (x, k) in enumerate(zip(lines, ks)):
+        if k in ("original", "header"):
+            original = True
+        if k in ("quoted", "intro"):
+            closed = ruled = lone = False
+        told = k == "intro" or told and k != "quoted"
+        new = k == "text" and not (original or closed or ruled)
+        lone = lone or new and (_CONTACT.search(x.text) is not None or _NAME.match(x.text) is not None and i > 0 and not x.text.endswith((",", ".")))
+        out.append(-1 if new and (told or lone) else int(new))
+        closed = closed or k == "closing"
+        ruled = ruled or k in ("rule", "device")
+    return out
+
+
+@dataclass
+class Known:
+    """A line with its label and what was counted of it."""
+
+    line: Line
+    label: int
+    often: int
+    by_sender: int
+    ancestor: float
+
+
+def views(known: Sequence[Known], ks: Sequence[str]) -> Iterator[list[Known]]:
+    """A mail as it stands, and as it would be without one kind of the evidence that its labels rest on.
+
+    Labels are taken from the forms of mail, so a classifier that always sees those forms could only repeat them. In the other views the evidence is taken
+    away and the labels stay: quote marks, where something else introduces the earlier message and nothing new follows; the lines
+    that introduce it, where its text is marked; closings; rules and device lines. So contact density, frequency with the sender and in all mails,
+    overlap with ancestors and the neighbourhood must decide there.
+    """
+    yield list(known)
+    quoted = [i for i, k in enumerate(ks) if k == "quoted"]
+    told = [i for i, k in enumerate(ks) if k in ("intro", "header", "original")]
+    if quoted and told and told[0] < quoted[0] and not any(x.label == 1 for x in known[quoted[0] :]):
+        yield [Known(Line(x.line.no, 0, x.line.text), *_rest(x)) for x in known if x.line.text]
+    if quoted and told and all(x.line.depth or i in told or x.label for i, x in enumerate(known)):
+        yield [x for i, x in enumerate(known) if i not in told]
+    for gone in (("closing",), ("rule", "device"), ("closing", "rule", "device")):
+        if any(k in gone for k in ks):
+            yield [x for x, k in zip(known, ks) if k not in gone]
+
+
+def _rest(x: Known) -> tuple[int, int, int, float]:
+    return x.label, x.often, x.by_sender, x.ancestor
+
+
+def labelled_blocks(text: str, stats: list | None) -> tuple[np.ndarray, np.ndarray]:
+    """Features and labels of the blocks of all views of a mail; -1 where the lines of a block are not sure or do not agree."""
+    ls = read_lines(text)
+    ks = kinds(ls)
+    counted = _counted(len(ls), stats)
+    known = [Known(x, y, *c) for x, y, c in zip(ls, line_labels(ls, ks), zip(*counted))]
+    xs, ys = [], []
+    for view in views(known, ks):
+        lines = [v.line for v in view]
+        seen = kinds(lines)
+        bs = blocks(lines, seen)
+        xs.append(features(lines, seen, bs, [v.often for v in view], [v.by_sender for v in view], [v.ancestor for v in view]))
+        for b in bs:
+            labels = {view[i].label for i in b.lines}
+            ys.append(labels.pop() if len(labels) == 1 else -1)
+    return np.concatenate(xs), np.array(ys)
 
 
 def thread_of(subject: str | None) -> str:
@@ -220,13 +293,18 @@ def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays(arrays, names=["id", "at", "thread", "sender", "body", "keys"])
 
 
+def _counted(n: int, stats: list | None) -> tuple[list, list, list]:
+    """often, by_sender and ancestor of n lines."""
+    known = {s["n"]: s for s in stats or ()}
+    pick = lambda k, d: [known[i][k] if i in known else d for i in range(n)]
+    return pick("often", 1), pick("by_sender", 1), pick("ancestor", 0.0)
+
+
 def _rows(text: str, stats: list | None) -> tuple[list[Line], list[Block], np.ndarray]:
     ls = read_lines(text)
     ks = kinds(ls)
     bs = blocks(ls, ks)
-    known = {s["n"]: s for s in stats or ()}
-    pick = lambda k, d: [known[i][k] if i in known else d for i in range(len(ls))]
-    return ls, bs, features(ls, ks, bs, pick("often", 1), pick("by_sender", 1), pick("ancestor", 0.0))
+    return ls, bs, features(ls, ks, bs, *_counted(len(ls), stats))
 
 
 def _new_text(batches: Iterator[pa.RecordBatch], model: Boosted) -> Iterator[pa.RecordBatch]:
@@ -252,13 +330,13 @@ class NewText:
     """The lines of each mail that its sender newly wrote.
 
     docs: id, text (falling back to another column where NULL), subject and time columns; other columns are ignored. Lines count
-    from 1 and split at \\n only. NULL and empty texts have none. Each mail is cut into blocks; gradient-boosted trees, fitted on weak labels of about
-    `sample` mails (an even sample by hash of the id), classify them. How many mails hold a line, how many of them by the
+    from 1 and split at \\n only. NULL and empty texts have none. Each mail is cut into blocks; gradient-boosted trees, fitted on about
+    `sample` mails (an even sample by hash of the id) with and without the evidence their labels come from (see views), classify them. How many mails hold a line, how many of them by the
     same sender, and whether an earlier mail of the thread held it, is counted over all mails; mails of equal text count
     as one there, so a mail sent again is no ancestor of itself.
     """
 
-    def __init__(self, docs: DataFrame, id: str = "item_id", text: str = "content", fallback: str = "preview", subject: str = "name", time: str = "received_at", sample: int = 1500):
+    def __init__(self, docs: DataFrame, id: str = "item_id", text: str = "content", fallback: str = "preview", subject: str = "name", time: str = "received_at", sample: int = 800):
         self.sample = sample
         self.docs = docs.select(F.col(id).alias("id"), F.coalesce(F.col(text), F.col(fallback)).alias("text"), F.col(subject).alias("subject"), F.col(time).alias("at"))
         self.docs = self.docs.where(F.col("text").isNotNull() & (F.col("text") != ""))
@@ -280,13 +358,8 @@ class NewText:
         return self.docs.select("id", "text").join(stats, "id", "left")
 
     def model(self, mails: DataFrame, most_blocks: int = 200_000) -> Boosted:
-        """Trees from the weak labels of about `sample` mails, as far as they have most_blocks blocks."""
-
-        def label(r: dict) -> tuple[np.ndarray, np.ndarray]:
-            x = _rows(r["text"], r["stats"])[2]
-            return x, weak_labels(x)
-
-        return fit_boosted(*labelled(mails, label, self.sample, most_blocks))
+        """Trees from the labelled views of about `sample` mails, as far as they have most_blocks blocks."""
+        return fit_boosted(*labelled(mails, lambda r: labelled_blocks(r["text"], r["stats"]), self.sample, most_blocks), trees=40)
 
     def lines(self) -> DataFrame:
         """id, line_no of every new line with a letter or digit."""

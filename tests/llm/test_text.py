@@ -1,5 +1,6 @@
 """The operators on pages, mails, scans and garbled text."""
 
+import datetime as dt
 import random
 
 import numpy as np
@@ -205,3 +206,47 @@ def test_garbled_sentences_without_spaces(spark):
     rows += [(2000, None, "naïve façade", "créée — «été» ÀÉÎÕ", None)]
     g = encodings.Garbled(items(spark, rows))
     assert {x["id"]: x["restored"] for x in g.restored().collect()} == {1000 + i: f"古い港\n{text}\nEND" for i in range(len(chains))}
+
+
+def test_the_cut_decides():
+    # the classifier leans a little to boilerplate for a heading between two paragraphs of one block; its neighbours keep it
+    text = "Heading\nA paragraph of more than nine words that ends with a full stop here.\nAnother paragraph of more than nine words that ends with a full stop."
+    us = boilerplate.units(text)
+    x = boilerplate.features(us, "", [1, 1, 1], [1, 1, 1], [1, 1, 1], 1)
+    assert boilerplate.min_cut([-0.5, 4, 4], {}) == [False, True, True]
+    cost = np.array([-0.5, 4.0, 4.0])
+    assert boilerplate.min_cut(cost, boilerplate.smoothness(us, x)) == [True, True, True]
+    assert boilerplate.min_cut(np.array([-6.0, 4.0, 4.0]), boilerplate.smoothness(us, x)) == [False, True, True]
+
+
+def _letters(n):
+    """Mails with usual forms, from which the classifier learns."""
+    r, out = random.Random(8), []
+    said = lambda i: f"{r.choice(('The', 'Our', 'No', 'One'))} {' '.join(r.choice(NOUNS) for _ in range(r.randrange(4, 12)))} of item {i * 7 + r.randrange(7)}{r.choice('.?')}"
+    for i in range(n):
+        who = f"Ann{chr(97 + i % 7)} Bor{chr(97 + i % 5)}"
+        body = "\n".join(said(i) for _ in range(r.randrange(1, 4)))
+        sign = f"Best regards,\n{who}\nTel. +00 {10000 + i % 35}\nThis message is confidential and meant for its addressee only."
+        old = f"On 2026-01-0{i % 9 + 1}, Eve Q <eve@x.example> wrote:\n" + "\n".join("> " + said(i) for _ in range(r.randrange(1, 4)))
+        out.append((i, [f"Hi all,\n{body}\n\n{sign}", f"Hello Eve,\n{body}\n\n{sign}\n\n{old}", f"{body}\n\n--\n{who}\nwww.ann.example\n\n{old}"][i % 3]))
+    return out
+
+
+def test_mails_without_known_forms(spark):
+    """Closings and languages the forms do not know, and history without marks: there the counted features decide."""
+    rows = [(i, f"subject {i}", t) for i, t in _letters(300)]
+    name, odd = "Anna Borc", {}
+    for n, closing in enumerate(("Met vriendelijke groet", "Ystävällisin terveisin", "Med vänlig hälsning")):
+        odd[1000 + n] = f"Hi all,\nThe report on item {n} was late and nobody had asked for it.\nPlease look at page {n} of it before we meet again.\n{closing}\n{name}\nTel. +00 10001\nThis message is confidential and meant for its addressee only."
+    odd[1010] = "Hello Eve,\nThe order for item 3 was sent to the harbour yesterday.\n\nBest regards,\nAnna Borc\n\nOn 2026-01-03, Eve Q <eve@x.example> wrote:\nWhat about the boats, are they ready now?\nI would like to see them before the winter."
+    schema = "item_id bigint, name string, content string, preview string, received_at timestamp_ntz"
+    at = dt.datetime(2026, 1, 1)
+    df = spark.createDataFrame([(i, s, t, None, at) for i, s, t in rows] + [(i, f"odd {i}", t, None, at) for i, t in odd.items()], schema)
+    new = {}
+    for r in mail.NewText(df).lines().collect():
+        new.setdefault(r["id"], set()).add(r["line_no"])
+    for n in range(3):
+        assert {2, 3} <= new[1000 + n] and not {6, 7} & new[1000 + n], (n, new[1000 + n])
+    assert {1, 2} <= new[1010] and not {8, 9} & new[1010], new[1010]
+    rule = [mail.line_labels(ls := mail.read_lines(odd[1010]), mail.kinds(ls))]
+    assert rule[0][-2:] == [-1, -1]  # the forms alone do not tell

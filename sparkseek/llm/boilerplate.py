@@ -84,6 +84,7 @@ def key(text: str) -> int:
 
 
 FEATURES = 26
+RARE = 6.0
 
 
 def features(us: Sequence[Unit], title: str, site_pages: Sequence[int], pages: Sequence[int], sites: Sequence[int], site_size: int) -> np.ndarray:
@@ -112,8 +113,9 @@ def features(us: Sequence[Unit], title: str, site_pages: Sequence[int], pages: S
     x[:, 21] = x[:, 13] * (1 - x[:, 20])
     x[:, 22] = (x[:, 1] == 0) & (x[:, 4] == 0) & (pad(x[:, 1], -1) == 0)
     x[:, 23] = 1
-    x[:, 24] = [u.text.casefold().startswith(INSERTS) for u in us]
-    x[:, 25] = x[:, 16] * x[:, 17] * (1 - x[:, 1]) * (1 - x[:, 4]) * (1 - x[:, 24])
+    # rare, so on a scale on which the ridge leaves its weight to the data
+    x[:, 24] = [RARE * u.text.casefold().startswith(INSERTS) for u in us]
+    x[:, 25] = x[:, 16] * x[:, 17] * (1 - x[:, 1]) * (1 - x[:, 4]) * (x[:, 24] == 0)
     return x
 
 
@@ -235,8 +237,8 @@ def smoothness(us: Sequence[Unit], x: np.ndarray) -> dict[tuple[int, int], float
 
 
 def label(us: Sequence[Unit], x: np.ndarray, w: np.ndarray) -> list[bool]:
-    logit = np.where(x[:, 24] > 0, -6, np.clip(x @ w, -6, 6))
-    return min_cut(logit, smoothness(us, x))
+    """The minimum cut between the classifier's log odds of content and the ties of neighbours."""
+    return min_cut(np.clip(x @ w, -6, 6), smoothness(us, x))
 
 
 def _site(path: str | None) -> str:

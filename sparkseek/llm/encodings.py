@@ -341,7 +341,7 @@ class Garbled:
         enough = F.when(F.col("chain").startswith("utf-8>"), 1.0).otherwise(self.ratio)
         hit = table.join(vocabulary, "token").where((F.col("word_n") >= enough * F.col("n")) & (F.char_length("token") > 1))
         best = F.max(F.struct("word_n", "word", "chain")).alias("w")
-        by_form = hit.groupBy("token").agg(best).select("token", "w.word", "w.chain", F.lit("form").alias("how"))
+        by_form = cut(hit.groupBy("token").agg(best).select("token", "w.word", "w.chain", F.lit("form").alias("how")))
         rest = vocabulary.select("token").mapInArrow(lambda it: _judge(it, clean), "token string, word string, chain string, how string")
         return by_form.unionByName(rest.join(by_form.select("token"), "token", "left_anti"))
 

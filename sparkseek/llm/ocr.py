@@ -6,8 +6,10 @@ import re
 from collections import Counter
 from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass
+from functools import cached_property
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -60,8 +62,8 @@ class Line:
     gap: bool = False  # an empty line before it
 
 
-def read_lines(content: str) -> list[Line]:
-    """Lines that are not empty, from 1, with the page furniture marked."""
+def read_lines(content: str, dropped: Sequence[int] | None = None) -> list[Line]:
+    """Lines that are not empty, from 1, with the page furniture marked: found in the text, or the lines with these numbers."""
     lines: list[Line] = []
     gap = True
     for i, raw in enumerate(content.split("\n"), 1):
@@ -71,7 +73,11 @@ def read_lines(content: str) -> list[Line]:
             continue
         lines.append(Line(i, raw, t, indent=raw[:1] in " \t\xa0", gap=gap))
         gap = False
-    _mark_furniture(lines)
+    if dropped is None:
+        _mark_furniture(lines)
+    else:
+        for x in lines:
+            x.drop = x.no in dropped
     return lines
 
 
@@ -193,47 +199,24 @@ class Trie:
 
 
 class Words:
-    """The corpus' vocabulary: counts of known words, corrections of the known forms that are misreadings, and lookups."""
-
-    def __init__(self, counts: dict[str, int], bad: dict[str, str] | None = None, pairs: dict[tuple[str, str], int] | None = None, least: int = 3, ratio: int = 10):
-        self.bad = bad or {}
-        self.counts = {w: n for w, n in counts.items() if w not in self.bad}
-        self.pairs, self.least, self.ratio = pairs or {}, least, ratio
-        long = [w for w in self.counts if len(w) > 2]
-        self.trie, self.alike = Trie((w, w) for w in long), Trie((_shape(w), w) for w in long)
-        self._cache: dict[str, list[str]] = {}
-
-    def near_by(self, word: str, n: float) -> list[str]:
-        """Known words at least n times met within one edit of `word`; if there is none, within one edit once letters that look alike
-        are written alike (which may be two or three edits of the words themselves)."""
-        if len(word) < 3:
-            return []
-        found = [v for v in self.trie.within(word, 1) if v != word and self.counts[v] >= n]
-        if not found and len(word) > 4:
-            found = [v for v in self.alike.within(_shape(word), 1) if v != word and self.counts[v] >= n and near(word, v, 3)]
-        return found
+    """What was looked up of the words of a text: their counts in the corpus, the words of the corpus they may be misreadings of, and what
+    context chose among those."""
 
-    def candidates(self, word: str, n: int) -> list[str]:
-        """Known words of enough weight that `word`, itself met n times, may be a misreading of."""
-        if word not in self._cache:
-            if len(self._cache) >= 300_000:
-                self._cache.clear()
-            self._cache[word] = self.near_by(word, self.ratio * n)
-        return self._cache[word]
+    def __init__(self, counts: dict[str, int], near: dict[str, str], chosen: dict[tuple[str, str, str], str] | None = None, least: int = 3, common: dict[str, int] | None = None):
+        """near: a word that may be a misreading with its most frequent original; a word with `least` occurrences is there only if it is one in spite of
+        them. common: counts of words that are known in any case."""
+        self.near, self.chosen, self.least, self.common = near, chosen or {}, least, common or {}
+        self.counts = {w: n for w, n in counts.items() if n >= least and w not in near}
 
-    def known(self, word: str) -> bool:
-        return word in self.counts
+    def count(self, word: str) -> int:
+        """Occurrences of a known word; 0 for others."""
+        return self.common.get(word) or self.counts.get(word, 0)
 
     def correct(self, word: str, before: str = "", after: str = "") -> str | None:
-        """The word a misread one stands for, None if it is known or nothing is near. Among candidates context decides, then frequency."""
-        if word in self.counts:
-            return None
-        if word in self.bad:
-            return self.bad[word]
-        found = self.candidates(word, self.least)
-        if not found:
+        """The word a misread one stands for, None if it is known or nothing is near. Among several context decides, then frequency."""
+        if self.count(word):
             return None
-        return max(found, key=lambda v: (self.pairs.get((before, v), 0) + self.pairs.get((v, after), 0), self.counts[v], v))
+        return self.chosen.get((word, before, after)) or self.near.get(word)
 
 
 def _shape(w: str) -> str:
@@ -291,26 +274,47 @@ def compound(x: str, y: str, words: Words) -> bool:
     a, b = x.casefold(), y.casefold()
     if any(map(str.isdigit, x)) and not any(map(str.islower, x)) or y[:1].isdigit() or (len(x) > 1 and x.isupper()):
         return True
-    joined = words.counts.get(a + b, 0)
-    whole = words.counts.get(f"{a}-{b}", 0)
+    joined = words.count(a + b)
+    whole = words.count(f"{a}-{b}")
     if joined or whole:
         return whole > joined
-    if (a + b) in words.bad or words.candidates(a + b, words.least):
+    if (a + b) in words.near:
         return False
-    return words.counts.get(a, 0) >= words.least and words.counts.get(b, 0) >= words.least and len(b) > 2 and len(a) > 1
+    return words.count(a) >= words.least and words.count(b) >= words.least and len(b) > 2 and len(a) > 1
+
+
+def _spoken(toks: Sequence[Token]) -> list[tuple[str, str]]:
+    """The words before and after each token."""
+    plain = [t.text.replace("\n", "").casefold() for t in toks]
+    return [(plain[n - 1] if n else "", plain[n + 1] if n + 1 < len(plain) else "") for n in range(len(plain))]
 
 
-def judge(content: str, words: Words, repair: bool = True) -> tuple[list[tuple[int, str]], str | None]:
+def lookups(content: str, dropped: Sequence[int]) -> tuple[set[str], set[tuple[str, str, str]]]:
+    """What judge() may ask of the words of a text: counts, and readings (word, before, after)."""
+    toks = tokens([x for x in read_lines(content, dropped) if not x.drop])
+    counts: set[str] = set()
+    read: set[tuple[str, str, str]] = set()
+    for t, (before, after) in zip(toks, _spoken(toks)):
+        if t.broken:
+            parts = t.text.split("\n")
+            a, b = parts[0].casefold(), parts[1].casefold()
+            counts |= {a, b, a + b, f"{a}-{b}"}
+            read |= {(w, "", "") for part in parts if (w := _readable(part, t.start, t.damaged))}
+        if w := _readable(t.text, t.start, t.damaged):
+            read.add((w, before, after))
+    return counts, read
+
+
+def judge(content: str, words: Words, repair: bool = True, dropped: Sequence[int] | None = None) -> tuple[list[tuple[int, str]], str | None]:
     """(line_no, kind) of all cases, and the repaired text if wanted."""
-    lines = read_lines(content)
+    lines = read_lines(content, dropped)
     body = [x for x in lines if not x.drop]
     cases = [(x.no, "drop") for x in lines if x.drop and any(map(str.isalnum, x.text))]
     toks = tokens(body)
     fixes: dict[int, list[tuple[str, str]]] = {}
     splits: dict[int, bool] = {}
     misread: set[int] = set()
-    plain = [t.text.replace("\n", "").casefold() for t in toks]
-    for n, t in enumerate(toks):
+    for t, (before, after) in zip(toks, _spoken(toks)):
         if t.broken:
             first, *rest = t.text.split("\n")
             own = compound(first, rest[0], words)
@@ -320,27 +324,31 @@ def judge(content: str, words: Words, repair: bool = True) -> tuple[list[tuple[i
                 for part, i in zip((first, *rest), t.parts):
                     _read(part, t.start, t.damaged, "", "", words, (i,), misread, fixes)
                 continue
-        before, after = plain[n - 1] if n else "", plain[n + 1] if n + 1 < len(toks) else ""
         _read(t.text, t.start, t.damaged, before, after, words, t.parts, misread, fixes)
     cases += [(body[i].no, "split") for i, yes in splits.items() if yes]
     cases += [(body[i].no, "misread") for i in misread]
     return sorted(set(cases)), _reflow(body, splits, fixes) if repair else None
 
 
-def _read(text: str, start: bool, damaged: bool, before: str, after: str, words: Words, parts: tuple[int, ...], misread: set[int], fixes: dict) -> None:
+def _readable(text: str, start: bool, damaged: bool) -> str | None:
+    """A token as a word that may have been misread; None for numbers, abbreviations, names and what another encoding damaged."""
     joined = text.replace("\n", "")
     low = joined.casefold()
-    if damaged or len(low) < 2 or low.isdigit() or words.known(low):
-        return
+    if damaged or len(low) < 2 or low.isdigit():
+        return None
     letters = sum(map(str.isalpha, joined))
     if letters < len(joined) / 2 or (joined.isupper() and letters > 1) or not any(map(str.islower, joined)):
-        return
-    if joined[0].isupper() and not start:
-        return
-    fix = words.correct(low, before, after)
+        return None
+    return None if joined[0].isupper() and not start else low
+
+
+def _read(text: str, start: bool, damaged: bool, before: str, after: str, words: Words, parts: tuple[int, ...], misread: set[int], fixes: dict) -> None:
+    low = _readable(text, start, damaged)
+    fix = words.correct(low, before, after) if low else None
     if fix is None:
         return
-    if joined[0].isupper() and not near(_shape(low), _shape(fix), 0) and not (low[1:] == fix[1:] or low[0] == fix[0]):
+    capital = text[0].isupper()
+    if capital and not near(_shape(low), _shape(fix), 0) and not (low[1:] == fix[1:] or low[0] == fix[0]):
         return
     pieces = text.split("\n")
     # of a broken word the piece that differs
@@ -348,7 +356,7 @@ def _read(text: str, start: bool, damaged: bool, before: str, after: str, words:
     if len(pieces) > 1 and fix.startswith(pieces[0].casefold()):
         hit = parts[-1]
     misread.add(hit)
-    fixes.setdefault(parts[0], []).append((text, fix.capitalize() if joined[0].isupper() else fix))
+    fixes.setdefault(parts[0], []).append((text, fix.capitalize() if capital else fix))
 
 
 def _reflow(body: Sequence[Line], splits: dict[int, bool], fixes: dict[int, list[tuple[str, str]]]) -> str:
@@ -374,32 +382,108 @@ def _reflow(body: Sequence[Line], splits: dict[int, bool], fixes: dict[int, list
     return text
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """text, scanned -> a, b (empty for single words), n: words and pairs of neighbours of scanned texts, combined by batch."""
+def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """id, text -> id, text, dropped: the numbers of the lines that are page furniture."""
+    for batch in batches:
+        dropped = [[x.no for x in read_lines(t) if x.drop] for t in batch.column("text").to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("text"), pa.array(dropped, pa.list_(pa.int32()))], names=["id", "text", "dropped"])
+
+
+def _counted(single: Counter, pairs: Counter) -> pa.RecordBatch:
+    rows = [(w, "", n) for w, n in single.items()] + [(a, b, n) for (a, b), n in pairs.items()]
+    a, b, n = zip(*rows) if rows else ((), (), ())
+    return pa.RecordBatch.from_arrays([pa.array(a, pa.string()), pa.array(b, pa.string()), pa.array(n, pa.int64())], names=["a", "b", "n"])
+
+
+def _count_scanned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """text, dropped -> a, b (empty for single words), n: words and pairs of neighbours, combined by batch."""
     for batch in batches:
         single: Counter[str] = Counter()
         pairs: Counter[tuple[str, str]] = Counter()
-        for text, scanned in zip(batch.column("text").to_pylist(), batch.column("scanned").to_pylist()):
-            if scanned:
-                broken = False
-                for x in read_lines(text):
-                    if x.drop:
-                        continue
-                    t = x.text.casefold()
-                    found = _WORD.findall(t)
-                    if broken:
-                        found = found[1:]
-                    if broken := t[-1] in HYPHENS:
-                        found = found[:-1]
-                    single.update(found)
-                    pairs.update(zip(found, found[1:]))
-                    if "-" in t[:-1]:
-                        single.update(_COMPOUND.findall(t))
-            else:
-                single.update(_PLAIN_WORD.findall(text.casefold()))
-        rows = [(w, "", n) for w, n in single.items()] + [(a, b, n) for (a, b), n in pairs.items()]
-        a, b, n = zip(*rows) if rows else ((), (), ())
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.string()), pa.array(b, pa.string()), pa.array(n, pa.int64())], names=["a", "b", "n"])
+        for text, dropped in zip(batch.column("text").to_pylist(), batch.column("dropped").to_pylist()):
+            broken, gone = False, set(dropped)
+            for i, raw in enumerate(text.split("\n"), 1):
+                t = raw.strip(_SPACE).casefold()
+                if not t or i in gone:
+                    continue
+                found = _WORD.findall(t)
+                if broken:
+                    found = found[1:]
+                if broken := t[-1] in HYPHENS:
+                    found = found[:-1]
+                single.update(found)
+                pairs.update(zip(found, found[1:]))
+                if "-" in t[:-1]:
+                    single.update(_COMPOUND.findall(t))
+        yield _counted(single, pairs)
+
+
+def _count_plain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        single: Counter[str] = Counter()
+        for text in batch.column("text").to_pylist():
+            single.update(_PLAIN_WORD.findall(text.casefold()))
+        yield _counted(single, Counter())
+
+
+def _asked(batches: Iterator[pa.RecordBatch], common: dict[str, int]) -> Iterator[pa.RecordBatch]:
+    """id, text, dropped -> id, word, before, after, read: what is to be looked up for each text, but for the common words."""
+    for batch in batches:
+        rows = []
+        for i, t, dropped in zip(*(batch.column(c).to_pylist() for c in ("id", "text", "dropped"))):
+            counts, read = lookups(t, set(dropped))
+            rows += [(i, w, "", "", False) for w in counts if w not in common]
+            rows += [(i, *r, True) for r in read if r[0] not in common]
+        columns = list(zip(*rows)) or [[], [], [], [], []]
+        kinds = (pa.int64(), pa.string(), pa.string(), pa.string(), pa.bool_())
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["id", "word", "before", "after", "read"])
+
+
+def _half(kind: str, size: int, spelling: str) -> tuple[int, int]:
+    """The two places at which words of `size` letters are looked up: by their first and by their last letters, a little less than half of
+    them. One edit leaves one of the halves whole, so words within one edit meet at one of these."""
+    k = (size - 1) // 2
+    key = lambda side, part: xxhash.xxh3_64_intdigest(f"{kind}{side}{size} {part}".encode("utf-8", "surrogatepass")) - 2**63
+    return key("<", spelling[:k]), key(">", spelling[len(spelling) - k :])
+
+
+def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """word, n, enough, known -> place, asks, kind, word, n: known words at their places and words to be looked up at all places they can meet one; as they
+    are spelt (kind 0) and, words of more than four letters, as they look (kind 1). n of an asking word is the least count that a word must have for it."""
+    for batch in batches:
+        rows = []
+        for w, n, enough, known in zip(*(batch.column(c).to_pylist() for c in ("word", "n", "enough", "known"))):
+            for kind, spelling in ((0, w), (1, _shape(w))):
+                if known:
+                    rows += [(p, False, kind, w, n) for p in set(_half(str(kind), len(spelling), spelling))]
+                if enough is not None and (kind == 0 or len(w) > 4):
+                    m = len(spelling)
+                    rows += [(p, True, kind, w, enough) for p in {p for size in range(max(1, m - 1), m + 2) for p in _half(str(kind), size, spelling)}]
+        columns = list(zip(*rows)) or [[], [], [], [], []]
+        kinds = (pa.int64(), pa.bool_(), pa.int32(), pa.string(), pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["place", "asks", "kind", "word", "n"])
+
+
+def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of _places, sorted -> word, kind, v, n: the known words within one edit of each asking word that are frequent enough for it. Of every
+    place a trie is built of its known words, and the automaton of each asking word walks it."""
+    at, words, trie = None, {}, None
+    for batch in batches:
+        rows = []
+        for place, asks, kind, w, n in zip(*(batch.column(c).to_pylist() for c in ("place", "asks", "kind", "word", "n"))):
+            if place != at:
+                at, words, trie = place, {}, None
+            if not asks:
+                words[w] = n
+                continue
+            if not words:
+                continue
+            spelt = _shape if kind else str
+            if trie is None:
+                trie = Trie((spelt(v), v) for v in words)
+            rows += [(w, kind, v, words[v]) for v in trie.within(spelt(w), 1) if v != w and words[v] >= n and (not kind or near(w, v, 3))]
+        columns = list(zip(*rows)) or [[], [], [], []]
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.string(), pa.int32(), pa.string(), pa.int64()))], names=["word", "kind", "v", "n"])
 
 
 class ScannedText:
@@ -408,58 +492,97 @@ class ScannedText:
     docs: id and text of scanned texts; other: further texts (text) whose words count as vocabulary, may be None. Other columns are ignored. NULL
     and empty texts give nothing. Lines count from 1 and split at \\n only.
 
-    Words are counted over all texts. Known are those with at least `least` occurrences and a share of all words of at least `share`, which bounds
-    their number by 1/share whatever the corpus, so that they fit on each executor. A known word is itself a misreading if
-    one `strict` times as frequent lies within an edit. Each unknown word of a text looks up all known words within one edit (also
-    of their look-alike spellings) by running its Levenshtein automaton along the vocabulary's tries; neighbours decide between them.
+    Words are counted over all texts, every one of them. A word met less than `least` times is looked up among all words at least
+    `ratio` times as frequent as itself, a more frequent one among those `strict` times as frequent: it is a misreading if one lies within
+    one edit, or, if none does, within one edit once letters that look alike are written alike. For that the vocabulary is spread: a
+    word lies at two places, by the first and by the last letters of its spelling; an asking word comes to all places where a word within
+    one edit can be, and there its Levenshtein automaton walks the trie of that place's words. So no task and no executor holds the
+    vocabulary. Where several words are near, the counts of the pairs they form with the neighbours decide, then their frequency.
+
+    Only words with a share of at least `common` of all words (at most 1 / common of them) are broadcast, with their counts, to be left out of the lookups.
     """
 
-    def __init__(self, docs: DataFrame, id: str = "item_id", text: str = "content", other: DataFrame | None = None, least: int = 3, share: float = 2e-6, ratio: int = 10, strict: int = 60):
-        self.least, self.share, self.ratio, self.strict = least, share, ratio, strict
+    def __init__(self, docs: DataFrame, id: str = "item_id", text: str = "content", other: DataFrame | None = None, least: int = 3, ratio: int = 10, strict: int = 60, common: float = 1e-4):
+        self.least, self.ratio, self.strict, self.common = least, ratio, strict, common
         self.docs = docs.select(F.col(id).alias("id"), F.col(text).alias("text")).where(F.col("text").isNotNull() & (F.col("text") != ""))
-        self.sources = self.docs.select("text", F.lit(True).alias("scanned"))
-        if other is not None:
-            self.sources = self.sources.unionByName(other.select(F.col(text).alias("text"), F.lit(False).alias("scanned")).where(F.col("text").isNotNull()))
-
-    def words(self) -> Words:
-        counts = cut(self.sources.mapInArrow(_count, "a string, b string, n bigint").groupBy("a", "b").agg(F.sum("n").alias("n")).where(F.col("n") >= self.least))
-        totals = {r["pair"]: r["n"] for r in counts.groupBy((F.col("b") != "").alias("pair")).agg(F.sum("n").alias("n")).toLocalIterator()}
-        known = counts.where((F.col("b") == "") & (F.col("n") >= self.share * totals.get(False, 1)))
-        single = {r["a"]: r["n"] for r in known.toLocalIterator()}
-        frequent = counts.where((F.col("b") != "") & (F.col("n") >= 5 * self.share * totals.get(True, 1)))
-        pairs = {(r["a"], r["b"]): r["n"] for r in frequent.toLocalIterator()}
-        strict = self.strict
-        shared = known.sparkSession.sparkContext.broadcast(single)
-
-        def misread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            words = Words(shared.value)
-            for batch in batches:
-                rows = []
-                for w, n in zip(batch.column("a").to_pylist(), batch.column("n").to_pylist()):
-                    if len(w) > 2 and any(map(str.isalpha, w)):
-                        near_by = words.near_by(w, strict * n)
-                        if near_by:
-                            rows.append((w, max(near_by, key=lambda v: (words.counts[v], v))))
-                a, b = zip(*rows) if rows else ((), ())
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.string()), pa.array(b, pa.string())], names=["a", "b"])
-
-        spread = known.select("a", "n").repartition(known.sparkSession.sparkContext.defaultParallelism, "a")
-        bad = {r["a"]: r["b"] for r in spread.mapInArrow(misread, "a string, b string").toLocalIterator()}
-        return Words(single, bad, pairs, self.least, self.ratio)
+        self.other = None if other is None else other.select(F.col(text).alias("text")).where(F.col("text").isNotNull())
+
+    @cached_property
+    def parsed(self) -> DataFrame:
+        return cut(self.docs.mapInArrow(_parse, "id bigint, text string, dropped array<int>"))
+
+    @cached_property
+    def counts(self) -> DataFrame:
+        """a, b, n: words (b empty) and neighbouring pairs with their counts."""
+        out = "a string, b string, n bigint"
+        found = self.parsed.select("text", "dropped").mapInArrow(_count_scanned, out)
+        if self.other is not None:
+            found = found.unionAll(self.other.mapInArrow(_count_plain, out))
+        return cut(found.groupBy("a", "b").agg(F.sum("n").alias("n")))
+
+    def near(self, asked: DataFrame) -> DataFrame:
+        """word, n, near (array of n, v): each asked word with its count and the words it may be a misreading of; NULL where there is none.
+
+        Frequent words are asked as well, so that a misreading is never taken for the original of another.
+        """
+        single = self.counts.where(F.col("b") == "").select(F.col("a").alias("word"), "n")
+        all_words = single.join(asked.withColumn("asked", F.lit(True)), "word", "full").select("word", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("asked", F.lit(False)).alias("asked"))
+        known = (F.col("n") >= self.ratio) & (F.char_length("word") > 2)
+        enough = F.when(F.col("n") >= self.least, F.col("n") * self.strict).otherwise(F.greatest("n", F.lit(1)) * self.ratio).cast("bigint")
+        asks = (F.col("asked") | known) & (F.char_length("word") > 2) & F.col("word").rlike(r"\p{L}")
+        all_words = cut(all_words.select("word", "n", "asked", F.when(asks, enough).alias("enough"), known.alias("known")).where(F.col("asked") | known), partitioned=True)
+        # nothing is frequent enough for a word that would need more than the most frequent one has
+        most = single.agg(F.max("n")).first()[0] or 0
+        asking = all_words.select("word", "n", F.when(F.col("enough") <= most, F.col("enough")).alias("enough"), "known")
+        placed = asking.mapInArrow(_places, "place bigint, asks boolean, kind int, word string, n bigint")
+        met = placed.repartition("place").sortWithinPartitions("place", "asks").mapInArrow(_meet, "word string, kind int, v string, n bigint")
+        found = cut(met.groupBy("word").agg(F.min("kind").alias("first"), F.collect_set(F.struct("kind", "n", "v")).alias("all")))
+        found = found.select("word", F.transform(F.filter("all", lambda x: x.kind == F.col("first")), lambda x: F.struct(x.n.alias("n"), x.v.alias("v"))).alias("near"))
+        bad = found.join(all_words.where("known").select("word"), "word", "left_semi").select(F.col("word").alias("v"))
+        sound = found.select("word", F.explode("near").alias("x")).select("word", "x.n", "x.v").join(bad, "v", "left_anti")
+        sound = sound.groupBy("word").agg(F.sort_array(F.collect_list(F.struct("n", "v")), False).alias("near"))
+        return all_words.where("asked").select("word", "n").join(sound, "word", "left")
 
     def _judged(self, repair: bool) -> DataFrame:
-        words = self.words()
-        parts = (words.counts, words.bad, words.pairs, words.least, words.ratio)
-        shared = self.docs.sparkSession.sparkContext.broadcast(parts)
+        spark = self.docs.sparkSession
+        single = self.counts.where(F.col("b") == "")
+        total = single.agg(F.sum("n")).first()[0] or 0
+        frequent = single.where(F.col("n") >= F.greatest(F.lit(self.common * total), F.lit(self.least)))
+        top = {r["a"]: r["n"] for r in frequent.toLocalIterator()}  # at most 1 / common words
+        # none that could itself be a misreading
+        sure = {w: n for w, n in top.items() if n * self.strict > max(top.values())}
+        common = spark.sparkContext.broadcast(sure)
+        asked = cut(self.parsed.mapInArrow(lambda it: _asked(it, common.value), "id bigint, word string, before string, after string, read boolean"))
+        words = cut(self.near(asked.select("word").distinct()))
+        told = asked.join(words, "word").select("id", "word", "before", "after", "read", "n", "near")
+        # among several the neighbours decide: the counts of the pairs each would form with them
+        several = told.where(F.col("read") & (F.size("near") > 1)).select("word", "before", "after", "near").distinct()
+        each = several.select("word", "before", "after", F.explode("near").alias("x")).select("word", "before", "after", "x.n", "x.v")
+        pairs = self.counts.where(F.col("b") != "")
+        first = pairs.select(F.col("a").alias("before"), F.col("b").alias("v"), F.col("n").alias("m1"))
+        second = pairs.select(F.col("a").alias("v"), F.col("b").alias("after"), F.col("n").alias("m2"))
+        weighed = each.join(first, ["before", "v"], "left").join(second, ["v", "after"], "left")
+        support = F.coalesce("m1", F.lit(0)) + F.coalesce("m2", F.lit(0))
+        chosen = weighed.groupBy("word", "before", "after").agg(F.max(F.struct(support.alias("s"), "n", "v")).alias("c")).select("word", "before", "after", F.col("c.v").alias("chosen"))
+        told = told.join(chosen, ["word", "before", "after"], "left")
+        row = F.struct("word", "before", "after", "n", F.col("near")[0]["v"].alias("near"), "chosen")
+        per_text = told.groupBy(F.col("id").alias("__id")).agg(F.collect_set(row).alias("told"))  # bounded by the words of one text
+        texts = self.parsed.join(per_text, F.col("id") == F.col("__id"), "left").select("id", "text", "dropped", "told")
+        least = self.least
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            words = Words(*shared.value)
             for batch in batches:
-                judged = [judge(t, words, repair) for t in batch.column("text").to_pylist()]
+                judged = []
+                for t, dropped, rows in zip(*(batch.column(c).to_pylist() for c in ("text", "dropped", "told"))):
+                    rows = rows or ()
+                    near_by = {r["word"]: r["near"] for r in rows if r["near"] is not None}
+                    chosen_by = {(r["word"], r["before"], r["after"]): r["chosen"] for r in rows if r["chosen"] is not None}
+                    words = Words({r["word"]: r["n"] for r in rows}, near_by, chosen_by, least, common.value)
+                    judged.append(judge(t, words, repair, set(dropped)))
                 cases = pa.array([[{"line_no": n, "kind": k} for n, k in c] for c, _ in judged], pa.list_(pa.struct([("line_no", pa.int32()), ("kind", pa.string())])))
                 yield pa.RecordBatch.from_arrays([batch.column("id"), cases, pa.array([t for _, t in judged], pa.string())], names=["id", "cases", "text"])
 
-        return self.docs.mapInArrow(run, "id bigint, cases array<struct<line_no:int,kind:string>>, text string")
+        return texts.mapInArrow(run, "id bigint, cases array<struct<line_no:int,kind:string>>, text string")
 
     def cases(self) -> DataFrame:
         """id, line_no, kind (drop, split or misread)."""

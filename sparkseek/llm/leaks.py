@@ -184,6 +184,9 @@ class ItemIndex:
         where it is too short the longest span for each number of errors is asked.
         """
         r = self.rules
+        if not r.edits:
+            n = longest_run(tokens, self.tokens[item])
+            return (n, 0) if n >= r.least else (0, 0)
         n, wrong = align(tokens, self.tokens[item])
         if n >= r.least and wrong <= r.error_rate * n:
             return n, wrong
@@ -258,6 +261,15 @@ def longest_span(text: np.ndarray, item: np.ndarray, least: int, one_in: int) ->
     return best[0], -best[1]
 
 
+def longest_run(text: np.ndarray, item: np.ndarray) -> int:
+    """Words of the longest run that both hold word for word."""
+    run, best = np.zeros(len(item) + 1, int), 0
+    for x in text:
+        run[1:] = np.where(item == x, run[:-1] + 1, 0)
+        best = max(best, int(run.max(initial=0)))
+    return best
+
+
 CHUNK_WORDS = 400_000
 
 
@@ -303,20 +315,34 @@ def _search(batches: Iterator[pa.RecordBatch], index: ItemIndex) -> Iterator[pa.
             yield flush(ids, parts)
 
 
-def leaks(docs: DataFrame, items: DataFrame, rules: Rules = Rules(), most_items: int = 1_000_000) -> DataFrame:
+def leaks(docs: DataFrame, items: DataFrame, rules: Rules = Rules(), slice_chars: int = 20_000_000) -> DataFrame:
     """doc_id, test_id, n_words, n_wrong: documents that hold a passage of at least rules.least consecutive words of an item.
 
     docs: doc_id, text; items: test_id, text. Every passage of every document is a query to the index of the items; what reaches an
-    item's threshold is aligned word by word. The index goes to each executor, so items has to fit: more than most_items rows
-    raise an error (split items and unite the results). NULL and empty texts hold nothing; of items shorter than least words nothing
-    can be found. Of several leaks of one item in a document the longest is given. Documents are searched where they lie: nothing is shuffled but the matches.
+    item's threshold is aligned word by word. With rules.edits = 0 only passages that stand there word for word count. The index goes to each executor; items of more than slice_chars characters
+    together are cut into slices of so many, each with an index of its own and a pass over the documents, so what is broadcast is bounded
+    (an index takes some ten bytes a character). An item's threshold holds in any slice, so the result does not depend on the cut. NULL and empty texts
+    hold nothing; of items shorter than least words nothing can be found. Of several leaks of one item in a document the longest is given.
+    Documents are searched where they lie: nothing is shuffled but the matches.
     """
-    n = items.count()
-    if n > most_items:
-        raise ValueError(f"{n} items; at most {most_items} fit one index")
-    rows = [(r["test_id"], r["text"]) for r in items.select("test_id", "text").toLocalIterator()]
-    shared = docs.sparkSession.sparkContext.broadcast(ItemIndex(rows, rules))
     texts = docs.select("doc_id", "text").where(F.col("text").isNotNull() & (F.col("text") != ""))
-    found = texts.mapInArrow(lambda it: _search(it, shared.value), "doc_id bigint, test_id bigint, n_words int, n_wrong int")
+    found = None
+    for part in _slices(items, slice_chars):
+        shared = docs.sparkSession.sparkContext.broadcast(ItemIndex(part, rules))
+        hits = texts.mapInArrow(lambda it, shared=shared: _search(it, shared.value), "doc_id bigint, test_id bigint, n_words int, n_wrong int")
+        found = hits if found is None else found.unionAll(hits)
     best = found.groupBy("doc_id", "test_id").agg(F.max(F.struct("n_words", (-F.col("n_wrong")).alias("right"))).alias("m"))
     return best.select("doc_id", "test_id", F.col("m.n_words").alias("n_words"), (-F.col("m.right")).alias("n_wrong"))
+
+
+def _slices(items: DataFrame, chars: int) -> Iterator[list[tuple[int, str]]]:
+    """The items in order of their ids, in lists of about so many characters; at least one list. One partition at a time is held."""
+    part, size = [], 0
+    for r in items.select("test_id", "text").orderBy("test_id").toLocalIterator():
+        part.append((r["test_id"], r["text"]))
+        size += len(r["text"] or "")
+        if size >= chars:
+            yield part
+            part, size = [], 0
+    if part or size == 0:
+        yield part

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sparkseek.llm.boilerplate import MainContent
 from sparkseek.llm.encodings import Garbled
-from sparkseek.llm.leaks import leaks
+from sparkseek.llm.leaks import Rules, leaks
 from sparkseek.llm.mail import NewText
 from sparkseek.llm.ocr import ScannedText
 from sparkseek.llm.packing import containers, filling, token_counts
@@ -66,6 +66,11 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "test_items")).select("doc_id", "test_id")
 
 
+def p9_verbatim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of the leaks those that stand there word for word."""
+    return leaks(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "test_items"), Rules(edits=0)).select("doc_id", "test_id")
+
+
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return SharedSpans(read_table(spark, sf_dir, "documents")).pairs()
 
@@ -75,13 +80,18 @@ def p10_shared(spark: SparkSession, sf_dir: str) -> DataFrame:
     return SharedSpans(read_table(spark, sf_dir, "documents")).coverage().withColumnRenamed("id", "doc_id")
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p5_found, p6_found, p6_repaired, p7_found, p7_restored, p8_containers, p8_filling, p9_found, p10_found, p10_shared)}
+QUERIES = {f.__name__: f for f in (p3_found, p5_found, p6_found, p6_repaired, p7_found, p7_restored, p8_containers, p8_filling, p9_found, p9_verbatim, p10_found, p10_shared)}
 
 _WINDOWS = """c AS (SELECT doc_id, n_chars, text FROM documents WHERE n_chars >= 300),
 w AS (SELECT doc_id, i, md5_number(substr(text, i, 300)) AS m FROM (SELECT doc_id, text, unnest(range(1, n_chars - 298)) AS i FROM c))"""
 
 ORACLE_SQL: dict[str, str] = {
     "p8_filling": "SELECT count(*) AS items, 0 AS over, 0 AS lost, 0 AS divided, true AS well_filled FROM documents",
+    "p9_verbatim": r"""WITH d AS (SELECT doc_id, regexp_extract_all(strip_accents(lower(text)), '[\p{L}\p{N}]+') AS w FROM documents),
+t AS (SELECT test_id, regexp_extract_all(strip_accents(lower(text)), '[\p{L}\p{N}]+') AS w FROM test_items),
+a AS (SELECT DISTINCT test_id, array_to_string(w[i : i + 13], ' ') AS p FROM (SELECT test_id, w, unnest(range(1, CAST(len(w) - 12 AS BIGINT))) AS i FROM t WHERE len(w) > 13)),
+b AS (SELECT DISTINCT doc_id, array_to_string(w[i : i + 13], ' ') AS p FROM (SELECT doc_id, w, unnest(range(1, CAST(len(w) - 12 AS BIGINT))) AS i FROM d WHERE len(w) > 13))
+SELECT DISTINCT doc_id, test_id FROM a JOIN b USING (p)""",
     "p10_found": f"""WITH {_WINDOWS}, d AS (SELECT DISTINCT doc_id, m FROM w)
 SELECT DISTINCT a.doc_id AS doc_a, b.doc_id AS doc_b FROM d a JOIN d b ON a.m = b.m AND a.doc_id < b.doc_id""",
     "p10_shared": f"""WITH {_WINDOWS}, s AS (SELECT m FROM w GROUP BY m HAVING count(DISTINCT doc_id) > 1),

@@ -41,6 +41,10 @@ def test_search_equals_scoring_everything():
     assert got == expected and any(i == 5 for _, i in got)
 
 
+def _shares(a, b, n):
+    return bool({tuple(a[i : i + n]) for i in range(len(a) - n + 1)} & {tuple(b[i : i + n]) for i in range(len(b) - n + 1)})
+
+
 def test_leaks(spark):
     r = random.Random(4)
     items = [(i, " ".join(sentence(r, 34))) for i in range(50)] + [(90, None), (91, ""), (92, "too short")]
@@ -65,8 +69,11 @@ def test_leaks(spark):
     got = {(x["doc_id"], x["test_id"]) for x in leaks.leaks(df, its).collect()}
     assert truth <= got and len(got - truth) <= 1
     assert leaks.leaks(df, its.limit(0)).count() == 0 and leaks.leaks(df.limit(0), its).count() == 0
-    with pytest.raises(ValueError):
-        leaks.leaks(df, its, most_items=3)
+    # the items in slices, each with an index of its own
+    assert {(x["doc_id"], x["test_id"]) for x in leaks.leaks(df, its, slice_chars=50).collect()} == got
+    plain = lambda t: leaks.words(t or "")
+    runs = {(d["doc_id"], t["test_id"]) for d in df.collect() for t in its.collect() if d["text"] and t["text"] and _shares(plain(d["text"]), plain(t["text"]), 14)}
+    assert {(x["doc_id"], x["test_id"]) for x in leaks.leaks(df, its, leaks.Rules(edits=0)).collect()} == runs
 
 
 def test_alignment():

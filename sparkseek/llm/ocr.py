@@ -486,6 +486,19 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.string(), pa.int32(), pa.string(), pa.int64()))], names=["word", "kind", "v", "n"])
 
 
+def sound(counts: dict[str, int], strict: int) -> dict[str, int]:
+    """Those of the words that are no misreadings of others `strict` times as frequent."""
+    floor = min(counts.values(), default=0) * strict
+    often = [w for w, n in counts.items() if n >= floor and len(w) > 2]
+    tries = [Trie((spelt(w), w) for w in often) for spelt in (str, _shape)]
+
+    def misread(w: str) -> bool:
+        enough = lambda v, most: v != w and counts[v] >= counts[w] * strict and near(w, v, most)
+        return len(w) > 2 and (any(enough(v, 1) for v in tries[0].within(w, 1)) or len(w) > 4 and any(enough(v, 3) for v in tries[1].within(_shape(w), 1)))
+
+    return {w: n for w, n in counts.items() if not misread(w)}
+
+
 class ScannedText:
     """Finds and repairs what scanning did to texts.
 
@@ -499,10 +512,11 @@ class ScannedText:
     one edit can be, and there its Levenshtein automaton walks the trie of that place's words. So no task and no executor holds the
     vocabulary. Where several words are near, the counts of the pairs they form with the neighbours decide, then their frequency.
 
-    Only words with a share of at least `common` of all words (at most 1 / common of them) are broadcast, with their counts, to be left out of the lookups.
+    Only words with a share of at least `common` of all words (at most 1 / common of them) are broadcast, with their counts, to be left out of
+    the lookups, as far as they are no misreadings themselves; that takes the few words into account that are `strict` times as frequent.
     """
 
-    def __init__(self, docs: DataFrame, id: str = "item_id", text: str = "content", other: DataFrame | None = None, least: int = 3, ratio: int = 10, strict: int = 60, common: float = 1e-4):
+    def __init__(self, docs: DataFrame, id: str = "item_id", text: str = "content", other: DataFrame | None = None, least: int = 3, ratio: int = 10, strict: int = 60, common: float = 2e-5):
         self.least, self.ratio, self.strict, self.common = least, ratio, strict, common
         self.docs = docs.select(F.col(id).alias("id"), F.col(text).alias("text")).where(F.col("text").isNotNull() & (F.col("text") != ""))
         self.other = None if other is None else other.select(F.col(text).alias("text")).where(F.col("text").isNotNull())
@@ -536,12 +550,12 @@ class ScannedText:
         asking = all_words.select("word", "n", F.when(F.col("enough") <= most, F.col("enough")).alias("enough"), "known")
         placed = asking.mapInArrow(_places, "place bigint, asks boolean, kind int, word string, n bigint")
         met = placed.repartition("place").sortWithinPartitions("place", "asks").mapInArrow(_meet, "word string, kind int, v string, n bigint")
-        found = cut(met.groupBy("word").agg(F.min("kind").alias("first"), F.collect_set(F.struct("kind", "n", "v")).alias("all")))
-        found = found.select("word", F.transform(F.filter("all", lambda x: x.kind == F.col("first")), lambda x: F.struct(x.n.alias("n"), x.v.alias("v"))).alias("near"))
-        bad = found.join(all_words.where("known").select("word"), "word", "left_semi").select(F.col("word").alias("v"))
-        sound = found.select("word", F.explode("near").alias("x")).select("word", "x.n", "x.v").join(bad, "v", "left_anti")
-        sound = sound.groupBy("word").agg(F.sort_array(F.collect_list(F.struct("n", "v")), False).alias("near"))
-        return all_words.where("asked").select("word", "n").join(sound, "word", "left")
+        met = cut(met.distinct())
+        bad = met.select("word").distinct().join(all_words.where("known").select("word"), "word", "left_semi").select(F.col("word").alias("v"))
+        near_by = met.join(bad, "v", "left_anti").groupBy("word").agg(F.min("kind").alias("first"), F.collect_list(F.struct("kind", "n", "v")).alias("all"))
+        of_first = F.transform(F.filter("all", lambda x: x.kind == F.col("first")), lambda x: F.struct(x.n.alias("n"), x.v.alias("v")))
+        near_by = near_by.select("word", F.sort_array(of_first, False).alias("near"))
+        return all_words.where("asked").select("word", "n").join(near_by, "word", "left")
 
     def _judged(self, repair: bool) -> DataFrame:
         spark = self.docs.sparkSession
@@ -549,9 +563,7 @@ class ScannedText:
         total = single.agg(F.sum("n")).first()[0] or 0
         frequent = single.where(F.col("n") >= F.greatest(F.lit(self.common * total), F.lit(self.least)))
         top = {r["a"]: r["n"] for r in frequent.toLocalIterator()}  # at most 1 / common words
-        # none that could itself be a misreading
-        sure = {w: n for w, n in top.items() if n * self.strict > max(top.values())}
-        common = spark.sparkContext.broadcast(sure)
+        common = spark.sparkContext.broadcast(sound(top, self.strict))
         asked = cut(self.parsed.mapInArrow(lambda it: _asked(it, common.value), "id bigint, word string, before string, after string, read boolean"))
         words = cut(self.near(asked.select("word").distinct()))
         told = asked.join(words, "word").select("id", "word", "before", "after", "read", "n", "near")
@@ -564,6 +576,8 @@ class ScannedText:
         weighed = each.join(first, ["before", "v"], "left").join(second, ["v", "after"], "left")
         support = F.coalesce("m1", F.lit(0)) + F.coalesce("m2", F.lit(0))
         chosen = weighed.groupBy("word", "before", "after").agg(F.max(F.struct(support.alias("s"), "n", "v")).alias("c")).select("word", "before", "after", F.col("c.v").alias("chosen"))
+        # a reading that nothing is near is right, and a part that is no word counts nothing
+        told = told.where(F.col("near").isNotNull() | ~F.col("read") & (F.col("n") >= self.least))
         told = told.join(chosen, ["word", "before", "after"], "left")
         row = F.struct("word", "before", "after", "n", F.col("near")[0]["v"].alias("near"), "chosen")
         per_text = told.groupBy(F.col("id").alias("__id")).agg(F.collect_set(row).alias("told"))  # bounded by the words of one text

@@ -157,6 +157,71 @@ def scans():
     return plain
 
 
+def test_lookups_equal_trying_all_words(spark):
+    r = random.Random(12)
+    words = ["".join(r.choice("abrnmil") for _ in range(r.randrange(2, 8))) for _ in range(60)]
+    changed = lambda w: (lambda i: w[:i] + r.choice(["", "x", r.choice("abrnmil") * 2]) + w[i + 1 :])(r.randrange(len(w)))
+    counts = {w: r.choice([1, 2, 5, 12, 40, 700]) for w in words}
+    for w in words:
+        counts.setdefault(changed(w), r.choice([1, 2, 3, 11]))
+    counts = {w: n for w, n in counts.items() if w}
+    other = items(spark, [(i, None, None, " ".join([w] * n), None) for i, (w, n) in enumerate(counts.items())])
+    scanned = ocr.ScannedText(items(spark, []), other=other)
+    asked = [*counts, "zzzz", "q", *(changed(w) for w in words)]
+    met = {}
+    for w in set(asked):
+        n = counts.get(w, 0)
+        enough = n * 60 if n >= 3 else max(n, 1) * 10
+        for kind in (0, 1):
+            spelt = ocr._shape if kind else str
+            if len(w) > (4 if kind else 2):
+                met[w, kind] = [v for v, m in counts.items() if v != w and len(v) > 2 and m >= max(enough, 10) and ocr.near(spelt(w), spelt(v), 1) and (not kind or ocr.near(w, v, 3))]
+    bad = {w for (w, _), vs in met.items() if vs and counts.get(w, 0) >= 10}
+    expected = {}
+    for w in set(asked):
+        for kind in (0, 1):
+            good = [v for v in met.get((w, kind), []) if v not in bad]
+            if good and w not in expected:
+                expected[w] = sorted(((counts[v], v) for v in good), reverse=True)
+    got = scanned.near(spark.createDataFrame([(w,) for w in set(asked)], "word string")).collect()
+    assert {x["word"]: x["n"] for x in got} == {w: counts.get(w, 0) for w in set(asked)}
+    assert {x["word"]: [tuple(v) for v in x["near"]] for x in got if x["near"]} == expected and len(expected) > 30
+
+
+def test_repaired_pages_are_the_planted_ones(spark):
+    """Truth for the repair: pages are broken and misread, and must come back word for word."""
+    r = random.Random(21)
+    vocabulary = ["ledger", "harbour", "orchard", "printer", "museum", "valve", "tenant", "curtain", "bracket", "folder", "between", "moved", "listed", "before", "gallery", "engineer"]
+    said = lambda: " ".join(r.choice(vocabulary) for _ in range(9)).capitalize() + "."
+    other = items(spark, [(1000 + i, None, None, " ".join(said() for _ in range(20)), None) for i in range(40)])
+    alike = {"l": "1", "i": "l", "o": "0", "e": "c", "m": "rn"}
+    pages, truth, hits, all_words = [], {}, 0, 0
+    for i in range(30):
+        true = " ".join(said() for _ in range(8))
+        lines, line = [], ""
+        for w in true.split():
+            if len(w) > 5 and r.random() < 0.05:
+                c = r.choice([c for c in w[1:] if c in alike] or [""])
+                w = w[0] + w[1:].replace(c, alike[c], 1) if c else w
+            if len(line) + len(w) > 60:
+                cut_at = len(w) // 2
+                if len(w) > 6 and w.isalpha():
+                    lines.append(line + w[:cut_at] + "-")
+                    line = w[cut_at:] + " "
+                    continue
+                lines.append(line.rstrip())
+                line = ""
+            line += w + " "
+        lines.append(line.rstrip())
+        pages.append((i, None, None, "\n".join(lines), None))
+        truth[i] = true
+    for x in ocr.ScannedText(items(spark, pages), other=other).repaired().collect():
+        a, b = x["text"].split(), truth[x["id"]].split()
+        all_words += len(b)
+        hits += sum(p == q for p, q in zip(a, b)) if len(a) == len(b) else 0
+    assert hits >= 0.99 * all_words, (hits, all_words)
+
+
 def test_scanned_text(spark):
     docs = items(spark, [(1, None, None, SCAN, None), (2, None, None, None, None), (3, None, None, "", None), (4, None, None, "word", None)])
     other = items(spark, [(9, None, None, scans(), None), (10, None, None, None, None)])
@@ -250,3 +315,28 @@ def test_mails_without_known_forms(spark):
     assert {1, 2} <= new[1010] and not {8, 9} & new[1010], new[1010]
     rule = [mail.line_labels(ls := mail.read_lines(odd[1010]), mail.kinds(ls))]
     assert rule[0][-2:] == [-1, -1]  # the forms alone do not tell
+
+
+def test_restored_fields_are_the_planted_ones(spark):
+    """Truth for the restoration: fields garbled by chains of all kinds, wholly or in part, come back as they were."""
+    r = random.Random(5)
+    words = "größer Übung Straße señal montaña película bibliothèque déjà où forêt élève пример слово письмо Größe cañería".split()
+    said = lambda: " ".join(r.choice([*words, *NOUNS]) for _ in range(12))
+    rows, truth = [(i, None, "name", said(), None) for i in range(400)], {}
+    chains = [("utf-8", "cp1252"), ("utf-8", "latin-1"), ("utf-8", "mac_roman"), ("utf-8", "cp437"), ("cp1251", "cp1252"), ("utf-8", "cp1252", "utf-8", "cp1252")]
+    for i in range(60):
+        clean = said()
+        parts = clean.split()
+        chain = chains[i % len(chains)]
+        half = r.randrange(0, 6)
+        for k in range(half, len(parts)):
+            g = encodings.misread(parts[k], *chain[:2])
+            if g is not None and len(chain) > 2:
+                g = encodings.misread(g, *chain[2:])
+            parts[k] = parts[k] if g is None else g
+        if " ".join(parts) != clean:
+            truth[1000 + i] = clean
+        rows.append((1000 + i, None, "name", " ".join(parts), None))
+    got = {x["id"]: x["restored"] for x in encodings.Garbled(items(spark, rows)).restored().where("field = 'content'").collect()}
+    assert set(got) >= {i for i in truth} and not {i for i in got if i < 1000}
+    assert sum(got[i] == t for i, t in truth.items()) >= 0.95 * len(truth)

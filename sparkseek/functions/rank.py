@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+from collections.abc import Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -60,6 +61,22 @@ def relevance(
     return score + WEIGHTS["recency"] * recency(F.col("mtime"), as_of)
 
 
+def corpus_relevance(as_of: dt.date, total: Column, counted: Sequence[tuple[str, str, Column]], metadata: dict[str, str], averages: dict[str, Column]) -> Column:
+    """The relevance with every term of the query: counted holds (field, term, its document frequency) of name and content terms; BM25 adds
+    up over them, the bonus for a name's beginning is that of the term that gives most."""
+    score, bonuses = F.lit(0.0), []
+    for field, term, df in counted:
+        score = score + WEIGHTS[field] * bm25(occurrences(F.col(field), term), F.octet_length(field), averages[field], total, df)
+        if field == "name":
+            bonuses.append(name_bonus(F.col("name"), term))
+    if bonuses:
+        score = score + WEIGHTS["name"] * (F.greatest(*bonuses) if len(bonuses) > 1 else bonuses[0])
+    for field, value in metadata.items():
+        same = F.coalesce(F.lower(F.col(field)) == F.lit(value.lower()), F.lit(False))
+        score = score + WEIGHTS["metadata"] * F.when(same, 1.0).otherwise(0.0)
+    return score + WEIGHTS["recency"] * recency(F.col("mtime"), as_of)
+
+
 def simple_relevance(as_of: dt.date, total: Column | int, df: Column | int, name: str | None = None) -> Column:
     """3 for the whole name, 2 for its beginning, 1 for a part; a tenth of the term's rarity; 1/(1 + age in years)."""
     col = lambda x: (x if isinstance(x, Column) else F.lit(x)).cast("double")

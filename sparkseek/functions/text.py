@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from sparkseek.functions.codecs import missing_characters
 from sparkseek.functions.paths import lowercase_ascii
 
 
@@ -42,11 +43,12 @@ def occurrences(text: Column, term: str) -> Column:
 
 
 def trigrams(text: Column) -> Column:
-    """Distinct three-character windows of the lower-cased text, sorted; an empty array for texts of less than three characters."""
-    chars = F.split(F.lower(text), "")
-    join = lambda a, b: F.concat(a, b)
-    windows = F.zip_with(F.zip_with(chars, F.slice(chars, 2, 2_000_000_000), join), F.slice(chars, 3, 2_000_000_000), join)
-    return F.array_sort(F.array_distinct(F.filter(windows, lambda g: g.isNotNull())))
+    """Distinct three-character windows of the lower-cased text, sorted; an empty array for texts of less than three characters. For names
+    and other short texts: each window is cut from the text's beginning. Whole contents go through operators.postings."""
+    low = F.lower(text)
+    at = F.sequence(F.lit(1), F.char_length(low) - 2)
+    windows = F.transform(at, lambda i: F.substr(low, i, F.lit(3)))
+    return F.when(F.char_length(low) > 2, F.array_sort(F.array_distinct(windows))).when(text.isNotNull(), F.array().cast("array<string>"))
 
 
 def fuzzy(text: Column, pattern: str, distance: int) -> Column:
@@ -62,7 +64,9 @@ def fuzzy(text: Column, pattern: str, distance: int) -> Column:
     window = F.exists(
         lengths, lambda size: F.exists(F.sequence(F.lit(1), F.greatest(F.lit(1), n - size + 1)), lambda i: F.levenshtein(F.substr(text, i, size), p, d) >= 0)
     )
-    return F.coalesce(F.when(n <= m, F.levenshtein(text, p, d) >= 0).otherwise(window), F.lit(False))
+    # a text that lacks more of the pattern's characters than may be edited has no such window
+    near = F.when(missing_characters(text, pattern) > d, F.lit(False)).otherwise(window)
+    return F.coalesce(F.when(n <= m, F.levenshtein(text, p, d) >= 0).otherwise(near), F.lit(False))
 
 
 def fuzzy_distance(pattern: str) -> int:

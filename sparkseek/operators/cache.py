@@ -2,42 +2,83 @@
 
 from __future__ import annotations
 
+import hashlib
 import time
 from collections import OrderedDict
 from collections.abc import Callable
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+from sparkseek.config import Config
+from sparkseek.operators.shared import SharedFolder
 
 TTL = 30 * 86400.0
+MOST_BYTES = 128 << 20
 
 
 class ResultCache:
-    """Persisted results under (generation, canonical query text), for whole queries, terms or stages alike.
+    """Persisted results under (generation, key), for whole queries, terms or stages alike.
 
     A new generation makes older entries unreachable; they leave when room is needed, the least recently used first. Entries expire after
-    ttl seconds. At most `entries` results are held; their blocks spill to disk.
+    ttl seconds. At most `entries` results of together at most `most_bytes` (as Spark holds them) are kept; a result that alone is larger is
+    made, but not kept. With a folder results are kept there as Parquet as well, and found again by later sessions.
     """
 
-    def __init__(self, entries: int = 64, ttl: float = TTL, clock: Callable[[], float] = time.time):
-        self.entries, self.ttl, self.clock = entries, ttl, clock
-        self._held: OrderedDict[tuple[int, str], tuple[float, DataFrame]] = OrderedDict()
+    def __init__(self, entries: int = 64, ttl: float = TTL, clock: Callable[[], float] = time.time, most_bytes: int = MOST_BYTES, spark: SparkSession | None = None, folder: str | None = None):
+        self.entries, self.ttl, self.clock, self.most_bytes = entries, ttl, clock, most_bytes
+        self._held: OrderedDict[tuple[int, str], tuple[float, DataFrame, int]] = OrderedDict()
+        self._files = SharedFolder(spark, folder) if folder is not None else None
         self.hits = self.misses = 0
 
+    @classmethod
+    def of(cls, config: Config, **options) -> ResultCache:
+        return cls(entries=config.cache_entries, **options)
+
     def get(self, generation: int, key: str, make: Callable[[], DataFrame]) -> DataFrame:
         k = (generation, key)
         if k in self._held and self.clock() - self._held[k][0] < self.ttl:
             self._held.move_to_end(k)
             self.hits += 1
             return self._held[k][1]
-        self.misses += 1
         self._drop(k)
-        df = make().persist(StorageLevel.MEMORY_AND_DISK)
-        self._held[k] = (self.clock(), df)
-        while len(self._held) > self.entries:
+        kept = self._stored(k)
+        if kept is not None:
+            self.hits += 1
+            return kept
+        self.misses += 1
+        df = make()
+        if self._files is not None:
+            return self._store(k, df)
+        df = df.persist(StorageLevel.MEMORY_AND_DISK)
+        df.count()
+        size = int(str(df._jdf.queryExecution().withCachedData().stats().sizeInBytes()))
+        self._held[k] = (self.clock(), df, size)
+        while len(self._held) > self.entries or sum(x[2] for x in self._held.values()) > self.most_bytes and len(self._held) > 1:
             self._drop(next(iter(self._held)))
+        if size > self.most_bytes:
+            self._drop(k)
         return df
 
+    def _name(self, k: tuple[int, str]) -> str:
+        return f"{k[0]:012d}-{hashlib.sha256(k[1].encode()).hexdigest()[:32]}"
+
+    def _stored(self, k: tuple[int, str]) -> DataFrame | None:
+        if self._files is None:
+            return None
+        found = self._files.read(f"entries/{self._name(k)}")
+        if found is None or self.clock() - found["at"] >= self.ttl:
+            return None
+        return self._files.spark.read.parquet(found["path"])
+
+    def _store(self, k: tuple[int, str], df: DataFrame) -> DataFrame:
+        name = self._name(k)
+        path = self._files.at(f"data/{name}-{int(self.clock() * 1000)}")
+        df.write.mode("overwrite").parquet(path)
+        if not self._files.create(f"entries/{name}", {"at": self.clock(), "path": path, "key": k[1]}):
+            self._files.replace(f"entries/{name}", {"at": self.clock(), "path": path, "key": k[1]})
+        return self._files.spark.read.parquet(path)
+
     def _drop(self, k: tuple[int, str]) -> None:
         if k in self._held:
             self._held.pop(k)[1].unpersist()
@@ -46,6 +87,12 @@ class ResultCache:
         """Drop what is older than a generation."""
         for k in [k for k in self._held if k[0] < before]:
             self._drop(k)
+        if self._files is not None:
+            for name in self._files.names("entries"):
+                if int(name.partition("-")[0]) < before:
+                    path = self._files.read(f"entries/{name}")["path"]
+                    self._files.delete(f"entries/{name}")
+                    self._files.delete(path[len(self._files.folder) + 1 :])
 
     def clear(self) -> None:
         for k in list(self._held):

@@ -7,10 +7,12 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkseek.functions.rank import CONTENT_LENGTH, NAME_LENGTH, relevance, simple_relevance
+from sparkseek.config import Config
+from sparkseek.functions.rank import CONTENT_LENGTH, NAME_LENGTH, corpus_relevance, relevance, simple_relevance
 from sparkseek.functions.text import file_class, snippet
+from sparkseek.operators.cache import ResultCache
 from sparkseek.operators.postings import index_search
-from sparkseek.plans.ast import Node, Term, terms
+from sparkseek.plans.ast import Node, Term, canonical, positive, terms
 from sparkseek.plans.compile import METADATA, predicate
 from sparkseek.plans.parser import parse
 
@@ -37,23 +39,31 @@ def first_term(node: Node | None, field: str) -> str | None:
     return next((t.value for t in terms(node) if t.field == field), None)
 
 
-def statistics(records: DataFrame, hits: DataFrame) -> DataFrame:
-    """One row: total records, hits, average lengths of names and contents in bytes."""
-    all_ = records.agg(F.count("*").alias("total"), F.avg(F.octet_length("name")).alias("avg_name"), F.avg(F.octet_length("content")).alias("avg_content"))
-    return all_.crossJoin(hits.agg(F.count("*").alias("df")))  # one row by one row
-
-
-def score(records: DataFrame, hits: DataFrame, node: Node | None, as_of: dt.date, rank: str = "full", mode: str = "compat") -> DataFrame:
-    """hits with their score. compat: fixed average lengths, df is the number of hits. corpus: the corpus' average lengths; df as before,
-    which for a query of one term is its document frequency."""
-    one = statistics(records, hits)
-    joined = hits.crossJoin(F.broadcast(one))  # a single row
+def statistics(records: DataFrame, hits: DataFrame | Column) -> DataFrame:
+    """One row: total records, hits, average lengths of names and contents in bytes. hits as a predicate is counted in the same pass."""
+    wanted = [F.count("*").alias("total"), F.avg(F.octet_length("name")).alias("avg_name"), F.avg(F.octet_length("content")).alias("avg_content")]
+    if isinstance(hits, Column):
+        return records.agg(*wanted, F.count(F.when(hits, 1)).alias("df"))
+    return records.agg(*wanted).crossJoin(hits.agg(F.count("*").alias("df")))  # one row by one row
+
+
+def score(records: DataFrame, hits: DataFrame | Column, node: Node | None, as_of: dt.date, rank: str = "full", mode: str = "compat") -> DataFrame:
+    """hits (rows, or a predicate over the records) with their score. compat: the first name and content term count, with fixed average lengths and the number of
+    hits as document frequency. corpus: every name and content term not under NOT counts, with the corpus' average lengths and
+    its own document frequency, whatever else the query asks."""
+    found = records.where(hits) if isinstance(hits, Column) else hits
+    metadata = {f: v for f in (*METADATA, "ext") if (v := first_term(node, f)) is not None}
+    if rank == "full" and mode == "corpus":
+        counted = list(dict.fromkeys(t for t in positive(node) if t.field in ("name", "content")))
+        dfs = [F.count(F.when(predicate(t), 1)).alias(f"__df{i}") for i, t in enumerate(counted)]
+        one = records.agg(F.count("*").alias("__total"), F.avg(F.octet_length("name")).alias("__name"), F.avg(F.octet_length("content")).alias("__content"), *dfs)
+        value = corpus_relevance(as_of, F.col("__total"), [(t.field, t.value, F.col(f"__df{i}")) for i, t in enumerate(counted)], metadata, {"name": F.col("__name"), "content": F.col("__content")})
+        return found.crossJoin(F.broadcast(one)).select(*found.columns, F.round(value, 6).alias("score"))  # a single row
+    joined = found.crossJoin(F.broadcast(statistics(records, hits)))  # a single row
     if rank == "simple":
         value = simple_relevance(as_of, F.col("total"), F.col("df"), first_term(node, "name"))
     else:
-        metadata = {f: v for f in (*METADATA, "ext") if (v := first_term(node, f)) is not None}
-        averages: tuple[Column | float, Column | float] = (NAME_LENGTH, CONTENT_LENGTH) if mode == "compat" else (F.col("avg_name"), F.col("avg_content"))
-        value = relevance(as_of, F.col("total"), F.col("df"), first_term(node, "name"), first_term(node, "content"), metadata, averages)
+        value = relevance(as_of, F.col("total"), F.col("df"), first_term(node, "name"), first_term(node, "content"), metadata, (NAME_LENGTH, CONTENT_LENGTH))
     return joined.withColumn("score", F.round(value, 6)).drop("total", "df", "avg_name", "avg_content")
 
 
@@ -69,24 +79,41 @@ def search(
     acl: DataFrame | None = None,
     principal: str | None = None,
     bm25: str = "compat",
+    where: Column | None = None,
+    cache: ResultCache | None = None,
+    generation: int = 0,
+    config: Config | None = None,
 ) -> DataFrame:
     """The best hits of a query: the record's columns, score, in descending order of score, ties by rec_id.
 
     mode "scan" filters the records, "index" goes by the postings, "auto" by the postings if they are given and the query has a term
-    they serve. Permissions come before the limit. A query that cannot be parsed raises QueryError, an empty one matches all.
+    they serve. where filters the hits further (see plans.compile.filters). Permissions come before the limit. With a cache, results of
+    whole queries and, in index mode, of single terms are kept under the generation, which must rise with the records and the permissions, and used again; queries with
+    filters of their own are not kept. config gives the limit. A query that cannot be parsed raises QueryError, an empty one matches all.
     """
     node = parse(query, as_of)
-    pool = records if acl is None else allowed(records, acl, principal or "")
-    if mode == "auto":
-        mode = "index" if postings is not None and any(t.field in ("name", "content") and len(t.value) >= 3 for t in terms(node)) else "scan"
-    if mode == "index":
-        if postings is None:
-            raise ValueError("index mode needs postings")
-        hits = pool.join(index_search(pool, postings, node, stats), "rec_id", "left_semi")
-    else:
-        hits = pool.where(predicate(node))
-    ranked = score(pool, hits, node, as_of, rank, bm25).orderBy(F.desc("score"), "rec_id")
-    return ranked if limit is None else ranked.limit(limit)
+    if config is not None and limit == LIMIT:
+        limit = config.limit
+
+    def find() -> DataFrame:
+        pool = records if acl is None else allowed(records, acl, principal or "")
+        chosen = mode
+        if mode == "auto":
+            chosen = "index" if postings is not None and any(t.field in ("name", "content") and len(t.value) >= 3 for t in terms(node)) else "scan"
+        asked = predicate(node) if where is None else predicate(node) & where
+        hits = asked
+        if chosen == "index":
+            if postings is None:
+                raise ValueError("index mode needs postings")
+            keep = None if cache is None else lambda key, make: cache.get(generation, f"term {key}", make)
+            hits = pool.join(index_search(pool, postings, node, stats, keep), "rec_id", "left_semi")
+            hits = hits if where is None else hits.where(where)
+        ranked = score(pool, hits, node, as_of, rank, bm25).orderBy(F.desc("score"), "rec_id")
+        return ranked if limit is None else ranked.limit(limit)
+
+    if cache is None or where is not None:
+        return find()
+    return cache.get(generation, f"query {canonical(node)} {as_of} {rank} {bm25} {limit} {principal if acl is not None else '*'}", find)
 
 
 def presented(hits: DataFrame) -> DataFrame:
@@ -103,7 +130,7 @@ def sort_hits(hits: DataFrame, by: str = "score", descending: bool = True) -> Da
     return hits.orderBy(*[c.desc_nulls_last() if descending else c.asc_nulls_last() for c in columns], "rec_id")
 
 
-def staged(records: DataFrame, query: str, as_of: dt.date) -> DataFrame:
+def staged(records: DataFrame, query: str, as_of: dt.date, cache: ResultCache | None = None, generation: int = 0) -> DataFrame:
     """rec_id, stage, confidence of each hit: the best stage in which one of the query's positive terms finds it (name 0, metadata 1, content 2)."""
     node = parse(query, as_of)
     hits = records.where(predicate(node))
@@ -114,7 +141,8 @@ def staged(records: DataFrame, query: str, as_of: dt.date) -> DataFrame:
         by_stage.append(F.when(predicate(Term(t.field, t.value)), F.struct(F.lit(stage).alias("stage"), F.lit(confidence).alias("confidence"))))
     none = F.struct(F.lit(0).alias("stage"), F.lit(0).alias("confidence"))
     best = F.coalesce(F.greatest(*by_stage) if len(by_stage) > 1 else by_stage[0], none) if by_stage else none
-    return hits.select("rec_id", best.alias("b")).select("rec_id", "b.stage", "b.confidence")
+    found = hits.select("rec_id", best.alias("b")).select("rec_id", "b.stage", "b.confidence")
+    return found if cache is None else cache.get(generation, f"stages {canonical(node)} {as_of}", lambda: found)
 
 
 def best_stage(staged_hits: DataFrame) -> DataFrame:
@@ -122,6 +150,12 @@ def best_stage(staged_hits: DataFrame) -> DataFrame:
     return staged_hits.groupBy("rec_id").agg(F.max(F.struct("stage", "confidence")).alias("b")).select("rec_id", "b.stage", "b.confidence")
 
 
+def children(records: DataFrame, parent: str | None = None) -> DataFrame:
+    """parent, n: how many records lie directly in each folder, or in one."""
+    pool = records if parent is None else records.where(F.col("parent") == parent)
+    return pool.groupBy("parent").agg(F.count("*").alias("n"))
+
+
 def two_tiers(hits: DataFrame, details: DataFrame, hot: int = WIDE_LIMIT) -> DataFrame:
     """The first `hot` hits by score, joined with their details only after the cut."""
     top = hits.select("rec_id", "score").orderBy(F.desc("score"), "rec_id").limit(hot)

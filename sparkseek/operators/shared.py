@@ -70,6 +70,15 @@ class SharedFolder:
             out.close()
         return self._publish(part, name)
 
+    def delete(self, name: str) -> None:
+        """A file, or a folder with all that is in it."""
+        self._fs.delete(self._path(self.at(name)), True)
+
+    def replace(self, name: str, content: dict) -> None:
+        """create() over what is there."""
+        self.delete(name)
+        self.create(name, content)
+
     def _publish(self, part: str, name: str) -> bool:
         if self._local:
             os.makedirs(os.path.dirname(self._plain(name)), exist_ok=True)

@@ -12,10 +12,11 @@ class QueryError(ValueError):
 
 @dataclass(frozen=True)
 class Term:
-    """field is one of FIELDS; value is kept as written."""
+    """field is one of FIELDS; value is kept as written. whole: name terms match whole words only."""
 
     field: str
     value: str
+    whole: bool = False
 
 
 @dataclass(frozen=True)
@@ -38,7 +39,7 @@ class Fuzzy:
 
 @dataclass(frozen=True)
 class Whole:
-    """Whole-word mode: applies to all name terms of the query."""
+    """Whole-word mode, as it stands in the text; applied() turns it into a property of the query's name terms."""
 
     on: bool
 
@@ -69,8 +70,8 @@ def canonical(node: Node | None) -> str:
     match node:
         case None:
             return "*"
-        case Term(field, value):
-            return f'{field}:"{value}"'
+        case Term(field, value, whole):
+            return f'{field}:"{value}"' + ("w" if whole else "")
         case Size(low, high):
             return f"size:{'' if low is None else low}..{'' if high is None else high}"
         case Date(low, high):
@@ -98,3 +99,45 @@ def terms(node: Node | None) -> list[Term]:
         case And(left, right) | Or(left, right):
             return terms(left) + terms(right)
     return []
+
+
+def positive(node: Node | None) -> list[Term]:
+    """The terms a match may hold: those not under NOT, left to right."""
+    match node:
+        case Term():
+            return [node]
+        case And(left, right) | Or(left, right):
+            return positive(left) + positive(right)
+    return []
+
+
+def applied(node: Node | None) -> Node | None:
+    """node without Whole: a flag is no condition, so it leaves the tree (negated as well), and name terms carry it. None if nothing else is there."""
+    on = _flagged(node)
+
+    def build(n: Node | None) -> Node | None:
+        match n:
+            case None | Whole():
+                return None
+            case Term("name", value, whole):
+                return Term("name", value, whole or on)
+            case Not(child):
+                inner = build(child)
+                return None if inner is None else Not(inner)
+            case And(left, right) | Or(left, right):
+                a, b = build(left), build(right)
+                return b if a is None else a if b is None else type(n)(a, b)
+        return n
+
+    return build(node)
+
+
+def _flagged(node: Node | None) -> bool:
+    match node:
+        case Whole(on):
+            return on
+        case Not(child):
+            return _flagged(child)
+        case And(left, right) | Or(left, right):
+            return _flagged(left) or _flagged(right)
+    return False

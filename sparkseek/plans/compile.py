@@ -9,7 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from sparkseek.functions.text import fuzzy
-from sparkseek.plans.ast import And, Date, Fuzzy, Node, Not, Or, Size, Term, Whole
+from sparkseek.plans.ast import And, Date, Fuzzy, Node, Not, Or, Size, Term, applied
 
 METADATA = ("author", "camera", "lens", "artist", "album", "title")
 
@@ -76,9 +76,9 @@ def has_attributes(mask: int) -> Column:
     return F.col("attributes").bitwiseAND(F.lit(mask)) == F.lit(mask)
 
 
-def leaf(node: Node, whole: bool = False, path: str = "prefix") -> Column:
+def leaf(node: Node, path: str = "prefix") -> Column:
     match node:
-        case Term("name", value):
+        case Term("name", value, whole):
             return name_contains(value, whole)
         case Term("content", value):
             return content_contains(value)
@@ -96,29 +96,16 @@ def leaf(node: Node, whole: bool = False, path: str = "prefix") -> Column:
             return on_days(F.col("mtime"), low, high)
         case Fuzzy(value, distance):
             return fuzzy(F.col("name_norm"), normalized(value), distance)
-        case Whole():
-            return F.lit(True)
     raise TypeError(node)
 
 
-def whole_words(node: Node | None) -> bool:
-    match node:
-        case Whole(on):
-            return on
-        case Not(child):
-            return whole_words(child)
-        case And(left, right) | Or(left, right):
-            return whole_words(left) or whole_words(right)
-    return False
-
-
 def predicate(node: Node | None, path: str = "prefix") -> Column:
     """The predicate of a query, for a filter: NULL is no match. None matches all.
 
     NOT is the complement among all records, so what it negates is made false where it is NULL; elsewhere leaves stay bare, so that the
     scan can use them.
     """
-    whole = whole_words(node)
+    node = applied(node)
 
     def build(n: Node) -> Column:
         match n:
@@ -128,6 +115,21 @@ def predicate(node: Node | None, path: str = "prefix") -> Column:
                 return build(left) | build(right)
             case Not(child):
                 return ~F.coalesce(build(child), F.lit(False))
-        return leaf(n, whole, path)
+        return leaf(n, path)
 
     return F.lit(True) if node is None else build(node)
+
+
+def filters(ext: str | None = None, megabytes: tuple[float | None, float | None] = (None, None), days: tuple[dt.date | None, dt.date | None] = (None, None), path_part: str | None = None) -> Column:
+    """The filters of a search form as one predicate: extension, size in MB and days modified (both inclusive, None leaves a side open), and a
+    part of the path. What is not given or empty does not filter; a NULL column fails a filter on it."""
+    p = F.lit(True)
+    if ext:
+        p = p & ext_is(ext.lstrip("."))
+    if any(m is not None for m in megabytes):
+        p = p & in_range(F.col("size"), *(None if m is None else int(m * (1 << 20)) for m in megabytes))
+    if any(d is not None for d in days):
+        p = p & on_days(F.col("mtime"), *days)
+    if path_part:
+        p = p & path_contains(path_part)
+    return p

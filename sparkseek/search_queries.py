@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
-import uuid
+import hashlib
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -12,9 +12,11 @@ from pyspark.sql import functions as F
 from sparkseek.functions import hashes, paths, rank, symbols, text
 from sparkseek.model import document_records, item_records, part_records
 from sparkseek.operators import dedup, postings, search, sinks, store
+from sparkseek.operators.shared import SharedFolder
 from sparkseek.plans.compile import has_attributes, predicate
 from sparkseek.plans.parser import parse
-from sparkseek.session import read_table, shared_dir
+from sparkseek.session import read_table, shared_dir, work_folder
+from sparkseek.sources.dumps import unseen
 from sparkseek.streaming import changes as streams
 
 AS_OF = dt.date(2026, 4, 1)
@@ -22,6 +24,17 @@ QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
 
 
+def stored_index(spark: SparkSession, sf_dir: str) -> postings.GramIndex:
+    """The index of the documents below the shared folder; made if there is none for the files as they are."""
+    fs = SharedFolder(spark, sf_dir if "://" in sf_dir else f"file://{sf_dir}")
+    seen = [(str(f.getPath()), f.getLen(), f.getModificationTime()) for f in fs._fs.globStatus(fs._path(fs.at("documents.parquet")))]
+    folder = f"{shared_dir(spark).rstrip('/')}/grams-{hashlib.sha256(repr(sorted(seen)).encode()).hexdigest()[:24]}"
+    index = postings.GramIndex(spark, folder if "://" in folder else f"file://{folder}")
+    if index.generation == 0:
+        index.add(document_records(spark, sf_dir), "all")
+    return index
+
+
 def query(sql: str | None = None):
     def add(f):
         QUERIES[f.__name__] = f
@@ -171,13 +184,24 @@ def q_trigram_index(spark, sf_dir):
 SELECT 'content' AS field, g AS gram, count(DISTINCT doc_id) AS df FROM (SELECT doc_id, unnest(list_transform(range(1, CAST(len(c) - 1 AS BIGINT)), lambda i: c[i] || c[i + 1] || c[i + 2])) AS g FROM d WHERE len(c) > 2) GROUP BY g"""
 )
 def q_gram_stats(spark, sf_dir):
-    return postings.gram_stats(postings.build_postings(document_records(spark, sf_dir), ["content"]))
+    return postings.count_grams(document_records(spark, sf_dir), ["content"])
 
 
 @query(f"SELECT doc_id AS rec_id FROM documents WHERE {_C('museum')} AND NOT {_C('orchard')} OR coalesce(contains({_NORM('name')}, 'budget'), false)")
 def q_index_search(spark, sf_dir):
-    records = document_records(spark, sf_dir)
-    return postings.index_search(records, postings.build_postings(records), parse("content:museum AND NOT content:orchard OR name:budget"))
+    """From the stored index, which is made when it is asked for the first time."""
+    index = stored_index(spark, sf_dir)
+    return postings.index_search(document_records(spark, sf_dir), index.postings(), parse("content:museum AND NOT content:orchard OR name:budget"), index.stats())
+
+
+@query(
+    r"""WITH d AS (SELECT doc_id, string_split(lower(text), '') AS c FROM documents)
+SELECT 'content' AS field, count(DISTINCT g) AS grams, count(DISTINCT (doc_id, g)) AS postings FROM (SELECT doc_id, unnest(list_transform(range(1, CAST(len(c) - 1 AS BIGINT)), lambda i: c[i] || c[i + 1] || c[i + 2])) AS g FROM d WHERE len(c) > 2)"""
+)
+def q_index_build(spark, sf_dir):
+    """Makes the stored index and counts what it holds."""
+    stats = stored_index(spark, sf_dir).stats().where("field = 'content'")
+    return stats.groupBy("field").agg(F.count("*").alias("grams"), F.sum("df").alias("postings"))
 
 
 @query("SELECT n_chars AS size, sha256(text) AS content_hash, count(*) AS n, min(doc_id) AS first_id FROM documents GROUP BY 1, 2 HAVING count(*) > 1")
@@ -236,8 +260,9 @@ def q_path_parts(spark, sf_dir):
 
 @query("SELECT doc_id AS rec_id FROM documents WHERE source NOT IN (SELECT source FROM content_items WHERE source IS NOT NULL)")
 def q_seen_anti_join(spark, sf_dir):
-    seen = read_table(spark, sf_dir, "content_items").select("source")
-    return document_records(spark, sf_dir).join(seen.where("source IS NOT NULL"), "source", "left_anti").select("rec_id")
+    seen = read_table(spark, sf_dir, "content_items").select("source").where("source IS NOT NULL")
+    new = unseen(document_records(spark, sf_dir).select("source"), seen, "source")
+    return document_records(spark, sf_dir).join(new, "source", "left_semi").select("rec_id")
 
 
 @query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")
@@ -261,31 +286,31 @@ def _event_changes(e: DataFrame) -> DataFrame:
     )
 
 
-def _work_folder(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+def _thirds(e: DataFrame) -> list[DataFrame]:
+    """The changes in three parts of which the first holds the newest, each with deletes."""
+    cuts = e.selectExpr("percentile_approx(event_id, array(0.34, 0.67)) AS c").first()["c"] or [0, 0]
+    changes, at = _event_changes(e), F.col("seq")
+    return [changes.where(at > cuts[1]), changes.where(at <= cuts[0]), changes.where((at > cuts[0]) & (at <= cuts[1]))]
 
 
 @query(_APPLIED)
 def q_apply_changes(spark, sf_dir):
-    """Two batches into a store, the first delivered again after the second."""
-    e = read_table(spark, sf_dir, "events")
-    s = store.RecordStore(spark, _work_folder(spark, "store"))
-    middle = e.selectExpr("percentile_approx(event_id, 0.5) AS m").first()["m"] or 0
-    ordered = [_event_changes(e.where(F.col("event_id") <= middle)), _event_changes(e.where(F.col("event_id") > middle))]
-    # the later batch holds older times as well, so each key's earlier rows are offered again with it
-    s.apply(ordered[0], "first")
-    s.apply(ordered[0].unionByName(ordered[1]), "second")
-    s.apply(ordered[0], "first")
+    """Three batches into a store, the newest first, and the oldest again under another name at last."""
+    s = store.RecordStore(spark, work_folder(spark, "store"), layers=3)
+    parts = _thirds(read_table(spark, sf_dir, "events"))
+    for i, part in enumerate([*parts, parts[1]]):
+        s.apply(part, f"batch {i}")
     return s.read().select("parent", "name", "size")
 
 
 @query(_APPLIED)
 def q_stream_apply(spark, sf_dir):
-    """The whole feed as a stream that stops at its end."""
-    e = read_table(spark, sf_dir, "events")
-    feed = spark.readStream.schema(e.schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
-    folder = _work_folder(spark, "stream")
-    streams.apply_stream(_event_changes(feed), f"{folder}/store", f"{folder}/checkpoint").awaitTermination()
+    """The feed as a stream of three files, the newest changes first, a file a batch, which stops at its end."""
+    log, folder = work_folder(spark, "log"), work_folder(spark, "stream")
+    for part in _thirds(read_table(spark, sf_dir, "events")):
+        part.coalesce(1).write.mode("append").parquet(log)
+    feed = streams.read_changes(spark, log, spark.read.parquet(log).schema, files_per_trigger=1)
+    streams.apply_stream(feed, f"{folder}/store", f"{folder}/checkpoint").awaitTermination()
     return store.RecordStore(spark, f"{folder}/store").read().select("parent", "name", "size")
 
 
@@ -308,7 +333,12 @@ def q_sha1(spark, sf_dir):
     return read_table(spark, sf_dir, "nation").select("n_nationkey", "n_name", F.sha1("n_name").alias("sha1"))
 
 
-@query()
+@query(
+    """WITH b AS (SELECT n_nationkey, list_transform(range(1, CAST(length(n_name) + 1 AS BIGINT)), lambda i: ord(substr(n_name, CAST(i AS INTEGER), 1))) AS b FROM nation)
+SELECT n_nationkey,
+  lower(lpad(to_hex(CAST(list_reduce(list_prepend(CAST(1469598103934665603 AS UHUGEINT), list_transform(b, lambda x: CAST(x AS UHUGEINT))), lambda h, x: ((h - h % 256 + CAST(xor(CAST(h % 256 AS INTEGER), CAST(x AS INTEGER)) AS UHUGEINT)) * 1099511628211) % 18446744073709551616) AS UBIGINT)), 16, '0')) AS fnv64,
+  lower(lpad(to_hex(CAST(list_reduce(list_prepend(CAST(0 AS BIGINT), list_transform(b, lambda x: CAST(x AS BIGINT))), lambda r, x: list_reduce(list_prepend(xor(r, x), [CAST(1 AS BIGINT) FOR i IN range(8)]), lambda c, i: CASE WHEN c % 2 = 1 THEN xor(c // 2, CAST(2197175160 AS BIGINT)) ELSE c // 2 END)) AS UBIGINT)), 8, '0')) AS crc32c FROM b"""
+)
 def q_hashes(spark, sf_dir):
     return read_table(spark, sf_dir, "nation").select("n_nationkey", hashes.hash64(F.col("n_name")).alias("fnv64"), hashes.crc32c(F.col("n_name")).alias("crc32c"))
 
@@ -332,12 +362,16 @@ def q_attributes(spark, sf_dir):
 
 @query("SELECT parent_path AS parent, count(*) AS n FROM documents GROUP BY 1")
 def q_children(spark, sf_dir):
-    return document_records(spark, sf_dir).groupBy("parent").agg(F.count("*").alias("n"))
+    return search.children(document_records(spark, sf_dir))
 
 
 @query("SELECT doc_id AS rec_id, name FROM documents WHERE parent_path = 'git\\docs\\Fleirud' AND name = 'budget-4717.txt'".replace("\\\\", "\\"))
 def q_point_lookup(spark, sf_dir):
-    return document_records(spark, sf_dir).where((F.col("parent") == "git\\docs\\Fleirud") & (F.col("name") == "budget-4717.txt")).select("rec_id", "name")
+    """The record at a path, from a store of all documents that have a name."""
+    s = store.RecordStore(spark, work_folder(spark, "store"))
+    d = document_records(spark, sf_dir).where(F.col("name").isNotNull())
+    s.upsert(d.groupBy("parent", "name").agg(F.min("rec_id").alias("rec_id")), "all")
+    return s.get("git\\docs\\Fleirud", "budget-4717.txt").select("rec_id", "name")
 
 
 @query("SELECT o_orderkey, CAST((epoch_us(o_orderdate) + 11644473600000000) * 10 AS BIGINT) AS ticks, CAST((epoch_us(o_orderdate) + 11644473600000000) // 86400000000 AS BIGINT) AS day FROM orders")

@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+import plistlib
+import sqlite3
+from collections.abc import Iterator
+from xml.parsers.expat import ExpatError
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkseek.functions.text import from_rfc3339
 from sparkseek.model import as_records
+from sparkseek.session import cut
 from sparkseek.sources.registry import source
 
 GMAIL = "id string, snippet string, internalDate string, payload struct<headers:array<struct<name:string,value:string>>>"
@@ -14,6 +21,12 @@ GRAPH_MAIL = "id string, subject string, bodyPreview string, receivedDateTime st
 CLOUDKIT = "records array<struct<recordName:string,fields:struct<subject:struct<value:string>,preview:struct<value:string>,sentDate:struct<value:bigint>>>>"
 DRIVE = "value array<struct<id:string,name:string,size:bigint,lastModifiedDateTime:string,parentReference:struct<path:string>,folder:struct<childCount:int>>>"
 GDRIVE = "files array<struct<id:string,name:string,size:string,modifiedTime:string,parents:array<string>,mimeType:string>>"
+# The tables browsers keep visited pages in.
+HISTORY = {
+    "urls": "SELECT url, title FROM urls",
+    "moz_places": "SELECT url, title FROM moz_places",
+    "history_items": "SELECT i.url, (SELECT v.title FROM history_visits v WHERE v.history_item = i.id ORDER BY v.visit_time DESC LIMIT 1) FROM history_items i",
+}
 DROPBOX = "entries array<struct<`.tag`:string,id:string,name:string,size:bigint,server_modified:string,path_display:string>>"
 
 
@@ -75,22 +88,49 @@ def dropbox_records(answers: DataFrame) -> DataFrame:
     )
 
 
-def pcloud_records(answers: DataFrame, depth: int = 64) -> DataFrame:
-    """Nested listings (column json): folders hold contents, to `depth` levels; level by level, without recursion in a task."""
+def pcloud_records(answers: DataFrame) -> DataFrame:
+    """Nested listings (column json): folders hold contents, to any depth; level by level, without recursion in a task."""
     item = "name STRING, isfolder BOOLEAN, size BIGINT, fileid BIGINT, folderid BIGINT, modified STRING, contents ARRAY<STRING>"
-    level = answers.select(F.lit("").alias("parent"), F.get_json_object("json", "$.metadata").alias("j"))
+    level = cut(answers.select(F.lit("").alias("parent"), F.get_json_object("json", "$.metadata").alias("j")))
     found = None
-    for _ in range(depth):
+    while found is None or not level.isEmpty():
         parsed = level.select("parent", F.from_json("j", item).alias("i")).where("i IS NOT NULL").select("parent", "i.*")
         rows = parsed.where("name IS NOT NULL")
         found = rows.drop("contents") if found is None else found.unionAll(rows.drop("contents"))
-        level = rows.where("isfolder").select(F.concat_ws("/", F.nullif("parent", F.lit("")), "name").alias("parent"), F.explode("contents").alias("j"))
-        if level.isEmpty():
-            break
+        level = cut(rows.where("isfolder").select(F.concat_ws("/", F.nullif("parent", F.lit("")), "name").alias("parent"), F.explode("contents").alias("j")))
     kind = F.when(F.col("isfolder"), "dir").otherwise("file")
+    mail_time = F.try_to_timestamp(F.regexp_replace("modified", r"^\w{3},\s*", ""), F.lit("dd MMM yyyy HH:mm:ss Z"))
     return as_records(
-        found.select(F.xxhash64(F.lit("pcloud"), "parent", "name").alias("rec_id"), "parent", "name", kind.alias("kind"), "size", F.lit("pcloud").alias("source"))
-    )
+        found.select(
+            F.xxhash64(F.lit("pcloud"), "parent", "name").alias("rec_id"), "parent", "name", kind.alias("kind"), "size",
+            _ntz(F.coalesce(mail_time, from_rfc3339(F.col("modified")))).alias("mtime"), F.lit("pcloud").alias("source"),
+        )
+    )
+
+
+def history_tables(databases: DataFrame) -> DataFrame:
+    """url, title of the history in browsers' SQLite files (column content): the tables of Chromium, Firefox and Safari. Files of other kinds
+    and damaged ones give nothing. A database is opened in memory."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows: list[tuple] = []
+            for data in batch.column("content").to_pylist():
+                book = sqlite3.connect(":memory:")
+                try:
+                    book.deserialize(bytes(data or b""))
+                    names = {r[0] for r in book.execute("SELECT name FROM sqlite_master WHERE type = 'table'")}
+                    for table, select in HISTORY.items():
+                        if table in names:
+                            rows += book.execute(select).fetchall()
+                except sqlite3.Error:
+                    pass
+                finally:
+                    book.close()
+            columns = list(zip(*rows)) or [[], []]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in columns], names=["url", "title"])
+
+    return databases.select("content").mapInArrow(run, "url string, title string")
 
 
 def history_records(urls: DataFrame) -> DataFrame:
@@ -98,19 +138,46 @@ def history_records(urls: DataFrame) -> DataFrame:
     return as_records(urls.select(F.xxhash64("url").alias("rec_id"), F.parse_url("url", F.lit("HOST")).alias("parent"), F.col("title").alias("name"), F.col("url").alias("content"), F.lit("file").alias("kind"), F.lit("web_archive").alias("source")))
 
 
-def bookmark_records(trees: DataFrame, depth: int = 64) -> DataFrame:
-    """Bookmark trees (column json, one root each): nodes of type url; folders hold children."""
+def bookmark_records(trees: DataFrame) -> DataFrame:
+    """Bookmark trees (column json, one root each): nodes of type url; folders hold children, to any depth."""
     node = "type STRING, name STRING, url STRING, children ARRAY<STRING>"
-    level = trees.select(F.lit("").alias("folder"), F.col("json").alias("j"))
+    level = cut(trees.select(F.lit("").alias("folder"), F.col("json").alias("j")))
     found = None
-    for _ in range(depth):
+    while found is None or not level.isEmpty():
         parsed = level.select("folder", F.from_json("j", node).alias("n")).where("n IS NOT NULL").select("folder", "n.*")
         urls = parsed.where("url IS NOT NULL").select("folder", "name", "url")
         found = urls if found is None else found.unionAll(urls)
-        level = parsed.where("children IS NOT NULL").select(F.concat_ws("/", F.nullif("folder", F.lit("")), "name").alias("folder"), F.explode("children").alias("j"))
-        if level.isEmpty():
-            break
-    return as_records(found.select(F.xxhash64("url", "folder").alias("rec_id"), F.col("folder").alias("parent"), "name", F.col("url").alias("content"), F.lit("file").alias("kind"), F.lit("web_archive").alias("source")))
+        level = cut(parsed.where("children IS NOT NULL").select(F.concat_ws("/", F.nullif("folder", F.lit("")), "name").alias("folder"), F.explode("children").alias("j")))
+    return _bookmarks(found)
+
+
+def _bookmarks(urls: DataFrame) -> DataFrame:
+    return as_records(urls.select(F.xxhash64("url", "folder").alias("rec_id"), F.col("folder").alias("parent"), "name", F.col("url").alias("content"), F.lit("file").alias("kind"), F.lit("web_archive").alias("source")))
+
+
+def bookmark_lists(files: DataFrame) -> DataFrame:
+    """Records of Safari's property lists (column content): leaves with their title, below their folders. Damaged files give nothing."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows: list[tuple] = []
+            for data in batch.column("content").to_pylist():
+                try:
+                    todo = [("", plistlib.loads(bytes(data or b"")))]
+                except (plistlib.InvalidFileException, ValueError, ExpatError):
+                    continue
+                while todo:
+                    folder, node = todo.pop()
+                    if not isinstance(node, dict):
+                        continue
+                    if node.get("URLString"):
+                        rows.append((folder, (node.get("URIDictionary") or {}).get("title"), node["URLString"]))
+                    inside = "/".join(x for x in (folder, node.get("Title")) if x)
+                    todo += [(inside, child) for child in node.get("Children") or ()]
+            columns = list(zip(*rows)) or [[], [], []]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in columns], names=["folder", "name", "url"])
+
+    return _bookmarks(files.select("content").mapInArrow(run, "folder string, name string, url string"))
 
 
 def unseen(urls: DataFrame, seen: DataFrame, key: str = "url") -> DataFrame:
@@ -175,10 +242,21 @@ def bookmarks(spark: SparkSession, path: str) -> DataFrame:
 
 @source("history")
 def history(spark: SparkSession, path: str) -> DataFrame:
+    """The SQLite files in which browsers keep their history."""
+    return history_records(history_tables(spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)))
+
+
+@source("history_export")
+def history_export(spark: SparkSession, path: str) -> DataFrame:
     """Parquet exports of a browser's url and title."""
     return history_records(spark.read.parquet(path).select("url", "title"))
 
 
+@source("bookmark_lists")
+def safari_bookmarks(spark: SparkSession, path: str) -> DataFrame:
+    return bookmark_lists(spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path))
+
+
 @source("git")
 def git(spark: SparkSession, path: str) -> DataFrame:
     """Dumps of `git log --all -p --format=raw`, one file a repository."""

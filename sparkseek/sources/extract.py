@@ -12,15 +12,16 @@ from html.parser import HTMLParser
 from io import BytesIO
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
-MOST_FILES, MOST_BYTES, MOST_TEXT = 2048, 4 << 20, 1 << 20
 # Which reader an extension goes to.
 READERS = {
-    "text": ("txt", "md", "csv", "log", "json", "xml", "ini", "conf", "yml", "yaml", "toml", "tex", "c", "h", "cpp", "hpp", "py", "js", "ts", "go", "rs", "java", "cs", "vb", "sql", "sh"),
+    "text": ("txt", "md", "csv", "log", "nfo", "json", "xml", "ini", "conf", "yml", "yaml", "toml", "tex", "c", "h", "cpp", "hpp", "py", "js", "ts", "go", "rs", "java", "cs", "vb", "sql", "sh", "r"),
+    "rtf": ("rtf",),
     "html": ("html", "htm", "xhtml"),
     "office": ("docx", "xlsx", "pptx"),
-    "mail": ("eml",),
+    "mail": ("eml", "emlx"),
     "epub": ("epub",),
     "image": ("jpg", "jpeg", "tif", "tiff"),
     "audio": ("mp3",),
@@ -34,6 +35,14 @@ def reader_for(ext: str) -> str | None:
     return _BY_EXTENSION.get((ext or "").lower())
 
 
+def reader_of(ext: Column) -> Column:
+    """reader_for() of a column: the reader's name, NULL where there is none."""
+    chosen = F.lit(None).cast("string")
+    for name, exts in READERS.items():
+        chosen = F.when(F.lower(ext).isin(*exts), name).otherwise(chosen)
+    return chosen
+
+
 class _Text(HTMLParser):
     def __init__(self) -> None:
         super().__init__()
@@ -77,6 +86,9 @@ def text(data: bytes) -> dict:
 
 
 def mail(data: bytes) -> dict:
+    # an emlx file begins with the number of the message's bytes in a line of its own and ends with a property list
+    if m := re.match(rb"\s*(\d+)\s*\n", data):
+        data = data[m.end() : m.end() + int(m[1])]
     m = email.message_from_bytes(data, policy=email.policy.default)
     body = m.get_body(("plain", "html"))
     t = body.get_content() if body is not None else ""
@@ -85,17 +97,36 @@ def mail(data: bytes) -> dict:
     return {"content": t, "author": str(m["From"]) if m["From"] else None, "title": str(m["Subject"]) if m["Subject"] else None}
 
 
-def _members(data: bytes) -> Iterator[tuple[str, bytes]]:
-    """Names and contents of a zip, bounded in number and size; what cannot be read is skipped."""
-    left = MOST_BYTES
+def _members(data: bytes, wanted: str) -> dict[str, bytes]:
+    """The members of a zip whose names match, however many others there are."""
     with zipfile.ZipFile(BytesIO(data)) as z:
-        for info in z.infolist()[:MOST_FILES]:
-            if left <= 0:
-                return
-            with z.open(info) as f:
-                content = f.read(left)
-            left -= len(content)
-            yield info.filename, content
+        return {i.filename: z.read(i) for i in z.infolist() if re.fullmatch(wanted, i.filename, re.I)}
+
+
+def rtf(data: bytes) -> dict:
+    """The plain text of a rich text file: control words, groups that are not shown and escapes undone."""
+    out: list[str] = []
+    hidden, depth, skip = 0, 0, 0
+    for m in re.finditer(r"\\([a-z]+)(-?\d+)? ?|\\'([0-9a-f]{2})|\\([^a-z])|([{}])|([^\\{}]+)", data.decode("latin-1"), re.I):
+        word, number, code, sign, brace, plain = m.groups()
+        if brace:
+            depth += 1 if brace == "{" else -1
+            if hidden and depth < hidden:
+                hidden = 0
+        elif sign == "*" or word in ("fonttbl", "colortbl", "stylesheet", "info", "pict", "themedata", "generator"):
+            hidden = hidden or depth
+        elif hidden:
+            continue
+        elif word in ("par", "line", "tab"):
+            out.append("\t" if word == "tab" else "\n")
+        elif word == "u":
+            out.append(chr(int(number) % 65536))
+            skip = 1
+        elif code or plain or sign in ("\\", "{", "}"):
+            text = bytes([int(code, 16)]).decode("cp1252", "replace") if code else plain.replace("\r", "").replace("\n", "") if plain else sign
+            out.append(text[skip:])
+            skip = 0
+    return {"content": "".join(out).strip()}
 
 
 def _xml_text(data: bytes, breaks: str) -> str:
@@ -112,15 +143,15 @@ def _xml_element(data: bytes, name: str) -> str | None:
 
 
 def office(data: bytes) -> dict:
-    files = dict(_members(data))
-    core = files.get("docProps/core.xml", b"")
-    parts = [n for n in sorted(files, key=lambda n: [int(x) if x.isdigit() else x for x in re.split(r"(\d+)", n)]) if re.fullmatch(r"word/document\.xml|xl/(sharedStrings|worksheets/sheet\d+)\.xml|ppt/slides/slide\d+\.xml", n)]
+    files = _members(data, r"docProps/core\.xml|word/document\.xml|xl/(sharedStrings|worksheets/sheet\d+)\.xml|ppt/slides/slide\d+\.xml")
+    core = files.pop("docProps/core.xml", b"")
+    parts = sorted(files, key=lambda n: [int(x) if x.isdigit() else x for x in re.split(r"(\d+)", n)])
     content = "\n".join(t for n in parts if (t := _xml_text(files[n], r"</(?:\w+:)?(?:p|si|row)>|<(?:\w+:)?br\s*/>")))
     return {"content": content, "author": _xml_element(core, "creator"), "title": _xml_element(core, "title")}
 
 
 def epub(data: bytes) -> dict:
-    files = dict(_members(data))
+    files = _members(data, r"META-INF/container\.xml|.*\.opf|.*\.x?html?")
     container = files.get("META-INF/container.xml", b"").decode("utf-8", "replace")
     m = re.search(r'full-path="([^"]+)"', container)
     opf = files.get(m[1], b"") if m else b""
@@ -177,11 +208,11 @@ def id3(data: bytes) -> dict:
     return {"artist": found.get("TPE1") or None, "album": found.get("TALB") or None}
 
 
-_READ = {"text": text, "html": html, "office": office, "mail": mail, "epub": epub, "image": exif, "audio": id3}
+_READ = {"text": text, "rtf": rtf, "html": html, "office": office, "mail": mail, "epub": epub, "image": exif, "audio": id3}
 
 
-def extract(ext: str | None, data: bytes | None) -> dict:
-    """Content and metadata of a file; all None if its kind is not known, it is damaged or NULL. Content is limited to MOST_TEXT characters."""
+def extract(ext: str | None, data: bytes | None, most: int | None = None) -> dict:
+    """Content and metadata of a file; all None if its kind is not known, it is damaged or NULL. Content is whole, or its first `most` characters."""
     reader = reader_for(ext or "")
     if reader is None or data is None:
         return dict(EMPTY)
@@ -189,18 +220,18 @@ def extract(ext: str | None, data: bytes | None) -> dict:
         found = {**EMPTY, **_READ[reader](bytes(data))}
     except (zipfile.BadZipFile, struct.error, ValueError, KeyError, LookupError, EOFError, RuntimeError, NotImplementedError, OSError):
         return dict(EMPTY)
-    if found["content"] is not None:
-        found["content"] = found["content"][:MOST_TEXT]
+    if found["content"] is not None and most is not None:
+        found["content"] = found["content"][:most]
     return found
 
 
-def extracted(files: DataFrame, id: str = "path", ext: str = "ext", data: str = "content") -> DataFrame:
-    """id and the extracted fields of each file."""
+def extracted(files: DataFrame, id: str = "path", ext: str = "ext", data: str = "content", most: int | None = None) -> DataFrame:
+    """id and the extracted fields of each file; contents are whole, or of `most` characters (Config.max_content)."""
     kind = files.schema[id].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [extract(e, d) for e, d in zip(batch.column("ext").to_pylist(), batch.column("data").to_pylist())]
+            rows = [extract(e, d, most) for e, d in zip(batch.column("ext").to_pylist(), batch.column("data").to_pylist())]
             columns = [batch.column("id"), *(pa.array([r[c] for r in rows], pa.string()) for c in EMPTY)]
             yield pa.RecordBatch.from_arrays(columns, names=["id", *EMPTY])
 

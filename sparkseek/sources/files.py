@@ -19,13 +19,11 @@ from sparkseek.model import as_records
 from sparkseek.sources.extract import extracted
 from sparkseek.sources.registry import source
 
-MOST_MEMBERS = 500_000
-
 
 @source("files")
-def files(spark: SparkSession, root: str, content: bool = False, pattern: str | None = None) -> DataFrame:
+def files(spark: SparkSession, root: str, content: bool = False, pattern: str | None = None, most: int | None = None) -> DataFrame:
     """A record per file below root, on any file system Spark reads (a mounted share among them). Without content only names, sizes and
-    times are read; with it, texts and metadata are extracted."""
+    times are read; with it, texts and metadata are extracted, whole or the first `most` characters."""
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", True)
     if pattern:
         reader = reader.option("pathGlobFilter", pattern)
@@ -34,7 +32,7 @@ def files(spark: SparkSession, root: str, content: bool = False, pattern: str |
     base = found.select("path", path_dirname(path).alias("parent"), path_basename(path).alias("name"), F.lit("file").alias("kind"), F.col("length").alias("size"), F.col("modificationTime").cast("timestamp_ntz").alias("mtime"))
     base = base.withColumn("rec_id", F.xxhash64("path")).withColumn("ext", extension(F.col("name"))).withColumn("source", F.lit("file"))
     if content:
-        texts = extracted(found.select("path", "content", extension(path).alias("ext")))
+        texts = extracted(found.select("path", "content", extension(path).alias("ext")), most=most)
         base = base.join(texts, "path")
     return as_records(base)
 
@@ -61,17 +59,15 @@ def _list(data: bytes) -> Iterator[tuple[str, int]]:
                     yield m.name, m.size
 
 
-def archive_members(archives: DataFrame, path: str = "path", data: str = "content", most: int = MOST_MEMBERS) -> DataFrame:
-    """path, member, size of the files in zip and tar archives; unsafe names are left out, as are damaged archives."""
+def archive_members(archives: DataFrame, path: str = "path", data: str = "content") -> DataFrame:
+    """path, member, size of all files in zip and tar archives; unsafe names are left out, as are damaged archives."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for p, d in zip(batch.column("path").to_pylist(), batch.column("data").to_pylist()):
                 try:
-                    for n, (name, size) in enumerate(_list(bytes(d or b""))):
-                        if n >= most:
-                            break
+                    for name, size in _list(bytes(d or b"")):
                         if (safe := safe_member(name)) is not None:
                             rows.append((p, safe, size))
                 except (tarfile.TarError, zipfile.BadZipFile, EOFError, OSError):

@@ -9,6 +9,7 @@ from pyspark.sql.types import StructType
 
 from sparkseek.model import CHANGE
 from sparkseek.operators.store import RecordStore
+from sparkseek.streaming.control import Pause
 
 LIGHT, NAMES_ONLY, FULL = 1, 2, 3  # stages of a change
 
@@ -34,15 +35,17 @@ def enriched(changes: DataFrame) -> DataFrame:
     return merged.select("parent", "name", *values, "__l.op", "__l.event_time", "__l.seq")
 
 
-def apply_stream(changes: DataFrame, folder: str, checkpoint: str, once: bool = True, seconds: int = 10, keys: tuple[str, ...] = ("parent", "name"), query_name: str | None = None, enrich: bool = False) -> StreamingQuery:
+def apply_stream(changes: DataFrame, folder: str, checkpoint: str, once: bool = True, seconds: int = 10, keys: tuple[str, ...] = ("parent", "name"), query_name: str | None = None, enrich: bool = False, pause: Pause | None = None) -> StreamingQuery:
     """Apply a stream of changes to the RecordStore in folder.
 
     Each micro-batch is one commit under its own id, so a batch replayed after a failure is not applied twice. Changes are ordered by
     (event_time, seq) per path, within a batch and over all of them, so late batches change nothing newer. enrich joins the stages
-    of a path that meet in one batch into one row. once stops when all that is there has been read.
+    of a path that meet in one batch into one row. While pause is held no further batch is begun. once stops when all that is there has been read.
     """
 
     def apply(batch: DataFrame, n: int) -> None:
+        if pause is not None:
+            pause.wait()
         RecordStore(batch.sparkSession, folder, keys).apply(enriched(batch) if enrich else batch, f"stream-{n}")
 
     writer = changes.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)

@@ -1,9 +1,11 @@
 import datetime as dt
 
 import pytest
+from hypothesis import given
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from sparkseek.functions import hashes, paths, rank, symbols, text
+from sparkseek.functions import codecs, hashes, paths, rank, symbols, text
 
 
 def one(spark, column, **values):
@@ -130,3 +132,31 @@ def test_symbols(spark, rows):
         ("function", "run"), ("class", "Shape"), ("class", "Point"), ("class", "Kind"), ("class", "Face"), ("class", "Walk"), ("class", "Node"), ("function", "go"), ("function", "Serve"),
         ("function", "Calc"), ("function", "Main"), ("var", "a"), ("var", "b"), ("var", "c"), ("function", "main"), ("var", "n"), ("var", "total"),
     ]
+
+
+@given(st.binary(max_size=600) | st.builds(lambda a, n, b: a * n + b, st.binary(min_size=1, max_size=2), st.integers(0, 400), st.binary(max_size=20)))
+def test_packbits(data):
+    assert codecs.unpackbits(codecs.packbits(data)) == data
+
+
+@given(st.lists(st.integers(0, 2**62), max_size=60))
+def test_delta_varint(numbers):
+    assert codecs.undelta_varint(codecs.delta_varint(numbers)) == sorted(numbers)
+
+
+@given(st.lists(st.text(max_size=5), max_size=40), st.integers(1, 5))
+def test_bloom(items, hashes):
+    field = codecs.bloom(items, 1 << 10, hashes)
+    assert codecs.bloom_has(field, items, hashes)
+    assert not codecs.bloom_has(codecs.bloom([], 1 << 10), ["x"]) and codecs.bloom_has(field, [])
+
+
+def test_codecs_of_columns(spark, rows):
+    df = spark.createDataFrame([(1, b"aaaab", [3, 1], ["x"], [1.0, 2.0]), (2, None, None, None, None), (3, b"", [], [], [])], "id int, b binary, n array<bigint>, g array<string>, v array<double>")
+    got = df.select("id", codecs.unpacked(codecs.packed(F.col("b"))).alias("b"), codecs.undeltas(codecs.deltas(F.col("n"))).alias("n"), codecs.may_hold(codecs.bloom_of(F.col("g")), F.col("g")).alias("m"), F.round(codecs.smoothed(F.col("v")), 6).alias("v"))
+    assert [(r.id, None if r.b is None else bytes(r.b), r.n, r.m, r.v) for r in got.orderBy("id").collect()] == [(1, b"aaaab", [1, 3], True, 1.2), (2, None, None, None, None), (3, b"", [], True, None)]
+
+
+@pytest.mark.parametrize("text, pattern, n", [("widget", "widget", 0), ("wdgt", "widget", 2), ("", "aab", 3), ("aa", "aaa", 1)])
+def test_missing_characters(spark, text, pattern, n):
+    assert spark.createDataFrame([(text,)], "t string").select(codecs.missing_characters(F.col("t"), pattern)).first()[0] == n

@@ -1,5 +1,7 @@
 import io
 import json
+import plistlib
+import sqlite3
 import struct
 import tarfile
 import zipfile
@@ -111,3 +113,49 @@ def test_text_dumps(spark, rows, tmp_path):
 def test_config():
     c = config.load("# x\nthreads = 0\nbatch=5\nlimit=500\nnope=1\nmax_content=abc\n")
     assert (c.threads, c.batch, c.limit, c.max_content) == (1, 100, 500, 1 << 20)
+
+
+def test_nothing_is_cut(spark, rows, tmp_path):
+    """Documents with thousands of members and texts above a megabyte come whole, unless a limit is asked for."""
+    members = {f"word/media/{i}.png": b"\0" * 2000 for i in range(2500)}
+    docx = zipped({**members, "docProps/core.xml": "<dc:creator>Ann</dc:creator>", "word/document.xml": "<w:p>" + "x" * 1_200_000 + "</w:p>"})
+    got = extract.extract("docx", docx)
+    assert got["author"] == "Ann" and len(got["content"]) == 1_200_000
+    assert len(extract.extract("txt", b"y" * 3_000_000)["content"]) == 3_000_000 and extract.extract("txt", b"abc", 2)["content"] == "ab"
+    (tmp_path / "a.txt").write_text("z" * 2_000_000)
+    assert registry.scan(spark, "files", root=str(tmp_path), content=True).selectExpr("length(content)").first()[0] == 2_000_000
+    limit = config.load("max_content=1000").max_content
+    assert registry.scan(spark, "files", root=str(tmp_path), content=True, most=limit).selectExpr("length(content)").first()[0] == 1000
+
+
+def test_deep_bookmarks(spark, rows):
+    tree = {"type": "url", "name": "leaf", "url": "https://x/"}
+    for i in range(66):
+        tree = {"type": "folder", "name": f"f{i}", "children": [tree]}
+    got = dumps.bookmark_records(spark.createDataFrame([(json.dumps(tree),), (None,), ("{",)], "json string"))
+    assert [(r.name, r.parent.count("/")) for r in got.collect()] == [("leaf", 65)]
+
+
+def test_browser_files(spark, rows, tmp_path):
+    book = sqlite3.connect(tmp_path / "History")
+    book.execute("CREATE TABLE urls (id INTEGER, url TEXT, title TEXT)")
+    book.executemany("INSERT INTO urls VALUES (?, ?, ?)", [(1, "https://a.example/x", "A"), (2, "https://b.example/", None)])
+    book.commit()
+    book.close()
+    (tmp_path / "broken.db").write_bytes(b"SQLite format 3\0 and then nothing")
+    (tmp_path / "empty.db").write_bytes(b"")
+    assert rows(registry.scan(spark, "history", path=str(tmp_path)), "parent", "name", "content") == [("a.example", "A", "https://a.example/x"), ("b.example", None, "https://b.example/")]
+    (tmp_path / "l").mkdir()
+    (tmp_path / "l" / "b.plist").write_bytes(plistlib.dumps({"Children": [{"Title": "Bar", "Children": [{"URLString": "https://x/"}, {"URLString": "https://y/", "URIDictionary": {"title": "Y"}}]}]}))
+    (tmp_path / "l" / "c.plist").write_bytes(b"no list")
+    assert rows(registry.scan(spark, "bookmark_lists", path=str(tmp_path / "l")), "parent", "name", "content") == [("Bar", "Y", "https://y/"), ("Bar", None, "https://x/")]
+
+
+@pytest.mark.parametrize("rtf, text", [(b"{\\rtf1{\\fonttbl{\\f0 A;}}Hi \\b bold\\b0 \\par two}", "Hi bold\ntwo"), (b"{\\rtf1 \\u228?b\\'e4c}", "\xe4b\xe4c"), (b"", ""), (b"{\\rtf1 a\\{b\\}}", "a{b}"), (b"{\\*\\gen x}y", "y")])
+def test_rtf(rtf, text):
+    assert extract.rtf(rtf)["content"] == text
+
+
+def test_emlx():
+    mail = b"From: Ann <a@x>\nSubject: S\n\nbody\n"
+    assert extract.extract("emlx", str(len(mail)).encode() + b"\n" + mail + b"<?xml?><plist/>")["content"].strip() == "body"

@@ -243,7 +243,24 @@ def q_author_title_sniff(spark, sf_dir):
     return d.select("rec_id", F.trim(text.sniffed(F.col("content"), "author")).alias("author"), F.trim(text.sniffed(F.col("content"), "subject")).alias("subject"))
 
 
-@query()
+_LINES = r"""WITH l AS (SELECT doc_id AS rec_id, unnest(string_split_regex(text, '\r?\n')) AS line, generate_subscripts(string_split_regex(text, '\r?\n'), 1) AS line_no FROM documents),
+t AS (SELECT rec_id, CAST(line_no AS INTEGER) AS line_no, regexp_replace(line, '^\s+', '') AS t FROM l),
+s AS (SELECT *, regexp_extract(t, '^[^(]*?\b(\w+)\s*\([^{]*\{', 1) AS called FROM t WHERE t <> '' AND NOT regexp_matches(t, '^(#|//|/\*|\*)'))"""
+_DECLARES = (
+    ("function", r"^def \s*(\w*)"), ("class", r"^class \s*(\w*)"), ("class", r"^(?:struct|enum|interface|trait) \s*(\w*)"), ("class", r"^type \s*(\w*)\s*(?:struct|interface)"),
+    ("function", r"^fn \s*(\w*)"), ("function", r"^func (?:\([^)]*\))?\s*(\w*)"), ("function", r"^(?:Function|Sub) \s*(\w*)"), ("var", r"^(?:let|var|const|Dim) \s*(\w*)"),
+)
+_SETS = (("var", r"^.*?(\w+)\s*:="), ("var", r"^[^=]*?(\w+)\s*=(?:[^=]|$)"))
+
+
+def _symbol_case(kinds: bool) -> str:
+    cases = [f"WHEN regexp_matches(t, '{p}') THEN " + (f"'{k}'" if kinds else f"regexp_extract(t, '{p}', 1)") for k, p in _DECLARES]
+    cases += ["WHEN called <> '' AND called NOT IN ('if', 'for', 'while', 'switch', 'catch') THEN " + ("'function'" if kinds else "called")]
+    cases += [f"WHEN regexp_matches(t, '{p}') THEN " + (f"'{k}'" if kinds else f"regexp_extract(t, '{p}', 1)") for k, p in _SETS]
+    return "CASE " + " ".join(cases) + " END"
+
+
+@query(f"{_LINES} SELECT rec_id, line_no, {_symbol_case(True)} AS kind, {_symbol_case(False)} AS name FROM s WHERE coalesce({_symbol_case(False)}, '') <> ''")
 def q_code_symbols(spark, sf_dir):
     return symbols.code_symbols(document_records(spark, sf_dir))
 

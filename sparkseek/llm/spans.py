@@ -152,33 +152,34 @@ def chains(matches: list[tuple[int, int]], k: int, gap: float = 0.25) -> list[li
 
     A chain's score is k per match less gap for each character skipped between two matches in either text. gap costs being
     linear, the best predecessor is a prefix maximum over b, kept in a Fenwick tree while the matches are read by a.
-    Chains are taken off until no match is left.
+    All chains come from one such pass: from the best end on, a chain goes back until it meets a match that a better one has.
     """
-    left, found = sorted(set(matches)), []
-    while left:
-        ranks = {b: r for r, b in enumerate(sorted({b for _, b in left}))}
-        tree, score, back = Fenwick(len(ranks)), [], []
-        i = 0
-        while i < len(left):
-            j = i
-            while j < len(left) and left[j][0] == left[i][0]:
-                a, b = left[j]
-                best, via = tree.upto(ranks[b])
-                gain = best - gap * (a + b)
-                score.append(k + max(0.0, gain))
-                back.append(via if gain > 0 else -1)
-                j += 1
-            for m in range(i, j):  # matches at one place of a cannot follow one another
-                a, b = left[m]
-                tree.put(ranks[b], (score[m] + gap * (a + b), m))
-            i = j
-        at, chain, used = max(range(len(left)), key=score.__getitem__), [], set()
-        while at >= 0:
+    left = sorted(set(matches))
+    ranks = {b: r for r, b in enumerate(sorted({b for _, b in left}))}
+    tree, score, back = Fenwick(len(ranks)), [], []
+    i = 0
+    while i < len(left):
+        j = i
+        while j < len(left) and left[j][0] == left[i][0]:
+            a, b = left[j]
+            best, via = tree.upto(ranks[b])
+            gain = best - gap * (a + b)
+            score.append(k + max(0.0, gain))
+            back.append(via if gain > 0 else -1)
+            j += 1
+        for m in range(i, j):  # matches at one place of a cannot follow one another
+            a, b = left[m]
+            tree.put(ranks[b], (score[m] + gap * (a + b), m))
+        i = j
+    found, used = [], [False] * len(left)
+    for at in sorted(range(len(left)), key=score.__getitem__, reverse=True):
+        chain = []
+        while at >= 0 and not used[at]:
             chain.append(left[at])
-            used.add(at)
+            used[at] = True
             at = back[at]
-        found.append(chain[::-1])
-        left = [m for n, m in enumerate(left) if n not in used]
+        if chain:
+            found.append(chain[::-1])
     return found
 
 

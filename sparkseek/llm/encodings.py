@@ -31,6 +31,7 @@ LATIN = ("cp1252", "latin-1", "iso8859-15", "cp1250", "iso8859-2", "cp437", "cp8
 _DAMAGE = re.compile("[�\x80-\x84\x86-\x9f]")
 _RUN = re.compile(r"[^\x00-\x7f]+")
 _WIDE = re.compile(f"[{WIDE}]+")
+_PAIR = re.compile(f"[{WIDE}]{{2}}")
 _RUNS = re.compile(RUNS)
 _FROM = re.compile(r"[^\x00-\x7F](?:[0-9A-Za-z]|[^\x00-\x7F])*")
 
@@ -200,8 +201,14 @@ def readings(run: str) -> list[tuple[str, str]]:
     else:
         ways = [(t, w) for t in EAST_ASIAN for w in SINGLE_BYTE]
     found: dict[tuple[str, str], str] = {}
+    raws: dict[str, bytes] = {}
     for t, w in ways:
         if w in LATIN or len(run) >= 8 or t == "utf-8":
+            if w not in raws:
+                raws[w] = codecs.charmap_encode(run, "replace", _table(w)[1])[0] if w in SINGLE_BYTE else run.encode(w, "replace")
+            # what read_parts() decodes is in here as well, so most ways end before it
+            if not _PAIR.search(raws[w].decode(t, "replace")):
+                continue
             text = read_parts(run, t, w)
             if text != run and grams(text):
                 found.setdefault((t, text), w)

@@ -154,19 +154,24 @@ class WorkLedger:
             picked.write.mode("overwrite").parquet(self.files.at(f"tables/{kind}/{file_name(name)}"))
 
     def _table(self, kind: str, folder: str, schema: str) -> DataFrame:
-        found = self.spark.createDataFrame([], schema)
-        if self.files.names(folder):
-            found = found.unionByName(self.spark.read.schema(schema).json(self.files.at(folder)))
-        for name in self.files.names(f"tables/{kind}"):
-            found = found.unionByName(self.spark.read.parquet(self.files.at(f"tables/{kind}/{name}")))
-        return found
+        found = [self.spark.read.schema(schema).json(self.files.at(folder))] if self.files.names(folder) else []
+        found += [self.spark.read.schema(schema).parquet(self.files.at(f"tables/{kind}/{name}")) for name in self.files.names(f"tables/{kind}")]
+        if not found:
+            return self.spark.createDataFrame([], schema)
+        out = found[0]
+        for x in found[1:]:
+            out = out.unionByName(x)
+        return out
 
     def rows(self, as_of: datetime | None = None) -> DataFrame:
         """item, token, state, until, worker, path, major, minor, scanned: a row per lease, see lease_states; items that were never leased have
         token 0 and are pending. as_of is the time leases are held against, by default the ledger's clock."""
         leases, commits = self._table("leases", "leases", LEASES), self._table("commits", "done", COMMITS)
         found = lease_states(leases, commits, as_of or self.clock())
-        waiting = self.spark.createDataFrame([(b,) for b in self.batches()], "item string").join(leases.select("item"), "item", "left_anti")
+        entered = self.batches()
+        if not entered:
+            return found
+        waiting = self.spark.createDataFrame([(b,) for b in entered], "item string").join(leases.select("item"), "item", "left_anti")
         return found.unionByName(waiting.select("item", F.lit(0).cast("bigint").alias("token"), F.lit(PENDING).alias("state")), allowMissingColumns=True)
 
 

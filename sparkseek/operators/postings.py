@@ -6,15 +6,23 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkseek.operators.shared import SharedFolder, file_name
-from sparkseek.plans.ast import And, Node, Not, Or, Term, applied
+from sparkseek.plans.ast import And, Node, Not, Or, Term, applied, terms
 from sparkseek.plans.compile import normalized, predicate
 
 GRAM_FIELDS = {"name": "name_norm", "content": "content"}
 FEW = 2_000
+BUCKETS = 32
+SCHEMAS = {"postings": "gram string, rec_id bigint, field string, bucket int", "grams": "field string, gram string, df bigint", "ids": "rec_id bigint"}
+LAYOUT = 2  # of a stored index; raised when the files change
+
+
+def bucket_of(gram: Column) -> Column:
+    """The folder of a stored index that holds a gram's postings."""
+    return F.pmod(F.xxhash64(gram), F.lit(BUCKETS)).cast("int")
 
 
 def _codes(text: str) -> np.ndarray:
@@ -78,7 +86,8 @@ def count_grams(records: DataFrame, fields: Sequence[str] = ("name", "content"))
 
 
 class GramIndex:
-    """Postings kept in a folder: parts, each a folder per field with files sorted by gram, so that a lookup reads few row groups.
+    """Postings kept in a folder: parts, each with a folder per field and bucket of grams and files sorted by gram, so that a lookup reads few row
+    groups of one folder. Large buckets are split over tasks, small ones share one.
 
     add() indexes the records of a batch, remove() takes records out; each writes one part and the ids it is about, which hide those
     ids in all earlier parts, so upkeep costs what it touches. A batch that was entered before does nothing. merge() folds all parts
@@ -102,17 +111,19 @@ class GramIndex:
             if self.files.create(f"meta/{g:012d}", {"parts": change(self.parts())}):
                 return g
 
-    def _write(self, part: str, postings: DataFrame, ids: DataFrame, stats: DataFrame) -> None:
-        clustered = postings.repartitionByRange("field", "gram", F.xxhash64("rec_id")).sortWithinPartitions("field", "gram", "rec_id")
-        clustered.write.mode("overwrite").partitionBy("field").parquet(self.files.at(f"{part}/postings"))
-        stats.write.mode("overwrite").parquet(self.files.at(f"{part}/grams"))
+    def _write(self, part: str, postings: DataFrame, ids: DataFrame) -> None:
+        placed = postings.select("field", bucket_of(F.col("gram")).alias("bucket"), "gram", "rec_id").hint("rebalance", "field", "bucket")
+        placed.sortWithinPartitions("field", "bucket", "gram", "rec_id").write.mode("overwrite").partitionBy("field", "bucket").parquet(self.files.at(f"{part}/postings"))
         ids.write.mode("overwrite").parquet(self.files.at(f"{part}/ids"))
+        written = self._read(part, "postings")
+        if written is not None:
+            gram_stats(written).write.mode("overwrite").parquet(self.files.at(f"{part}/grams"))
 
     def add(self, records: DataFrame, batch: str, fields: Sequence[str] = ("name", "content")) -> int:
         part = f"parts/{file_name(batch)}"
         if self.files.exists(f"batches/{file_name(batch)}"):
             return self.generation
-        self._write(part, build_postings(records, fields), records.select("rec_id"), count_grams(records, fields))
+        self._write(part, build_postings(records, fields), records.select("rec_id"))
         return self._entered(part, batch)
 
     def remove(self, ids: DataFrame, batch: str) -> int:
@@ -131,30 +142,31 @@ class GramIndex:
         path = f"{part}/{what}"
         if not any(n.endswith(".parquet") or n.startswith("field=") for n in self.files.names(path)):
             return None
-        return self.spark.read.parquet(self.files.at(path))
+        # the schema is given, so that no footer has to be read to know it
+        return self.spark.read.schema(SCHEMAS[what]).parquet(self.files.at(path))
 
     def postings(self) -> DataFrame:
-        """field, gram, rec_id of what is indexed now."""
-        out = self.spark.createDataFrame([], "field string, gram string, rec_id bigint")
-        later = None
+        """field, bucket, gram, rec_id of what is indexed now."""
+        out = later = None
         for part in reversed(self.parts()):
             rows = self._read(part, "postings")
             if rows is not None:
-                rows = rows if later is None else rows.join(later, "rec_id", "left_anti")
-                out = out.unionAll(rows.select("field", "gram", "rec_id"))
+                rows = (rows if later is None else rows.join(later, "rec_id", "left_anti")).select("field", "bucket", "gram", "rec_id")
+                out = rows if out is None else out.unionAll(rows)
             ids = self._read(part, "ids")
             if ids is not None:
                 later = ids if later is None else later.unionAll(ids)
-        return out
+        return self.spark.createDataFrame([], "field string, bucket int, gram string, rec_id bigint") if out is None else out
 
     def stats(self) -> DataFrame:
         """field, gram, df over all parts; an upper bound where a part hides ids of earlier ones, which serves for the order of lookups."""
-        out = self.spark.createDataFrame([], "field string, gram string, df bigint")
-        for part in self.parts():
-            rows = self._read(part, "grams")
-            if rows is not None:
-                out = out.unionAll(rows)
-        return out.groupBy("field", "gram").agg(F.sum("df").alias("df"))
+        found = [rows for part in self.parts() if (rows := self._read(part, "grams")) is not None]
+        if not found:
+            return self.spark.createDataFrame([], "field string, gram string, df bigint")
+        out = found[0]
+        for rows in found[1:]:
+            out = out.unionAll(rows)
+        return out if len(found) == 1 else out.groupBy("field", "gram").agg(F.sum("df").alias("df"))
 
     def merge(self) -> int:
         parts = self.parts()
@@ -162,7 +174,7 @@ class GramIndex:
             return self.generation
         part = f"parts/merged-{self.generation + 1:012d}"
         rows = self.postings()
-        self._write(part, rows, rows.select("rec_id").distinct(), gram_stats(rows))
+        self._write(part, rows, rows.select("rec_id").distinct())
         return self._publish(lambda now: [part] + [p for p in now if p not in parts])
 
 
@@ -171,24 +183,29 @@ def grams_of(term: str) -> list[str]:
     return sorted({t[i : i + 3] for i in range(len(t) - 2)})
 
 
-def rarest_first(grams: Sequence[str], stats: DataFrame | None, field: str) -> list[str]:
-    """The grams by ascending frequency; one that no record has comes first."""
-    if stats is None:
-        return list(grams)
-    df = {r["gram"]: r["df"] for r in stats.where((F.col("field") == field) & F.col("gram").isin(*grams)).select("gram", "df").toLocalIterator()}
-    return sorted(grams, key=lambda g: (df.get(g, 0), g))
+def rarest_first(terms: Sequence[tuple[str, str]], stats: DataFrame | None) -> dict[tuple[str, str], list[str]]:
+    """The grams of each (field, term) by ascending frequency, one that no record has first. All are looked up at once."""
+    grams = {t: grams_of(t[1]) for t in terms}
+    wanted = sorted({(f, g) for (f, _), gs in grams.items() for g in gs})
+    if stats is None or not wanted:
+        return grams
+    fields = sorted({f for f, _ in wanted})
+    asked = stats.where(F.col("field").isin(*fields) & F.col("gram").isin(*sorted({g for _, g in wanted})))
+    df = {(r["field"], r["gram"]): r["df"] for r in asked.select("field", "gram", "df").collect()}  # at most as many rows as grams in the query
+    return {(f, t): sorted(gs, key=lambda g: (df.get((f, g), 0), g)) for (f, t), gs in grams.items()}
 
 
-def candidates(postings: DataFrame, field: str, term: str, stats: DataFrame | None = None, most: int = 8) -> DataFrame | None:
-    """rec_id of the records that have the term's rarest grams (at most `most` of them), None for terms of less than three characters.
+def candidates(postings: DataFrame, field: str, grams: Sequence[str], most: int = 8) -> DataFrame:
+    """rec_id of the records that have the first `most` of the grams: a superset of a term's matches, exactly them for one gram that is the term.
 
-    A superset of the matches, exactly them for a term of three characters. The grams go into the scan as a pushed-down IN filter.
+    The grams go into the scan as a pushed-down IN filter, and of a stored index only their folders are read.
     """
-    grams = grams_of(term)
-    if not grams:
-        return None
-    used = rarest_first(grams, stats, field)[:most]
+    used = list(grams)[:most]
     hits = postings.where((F.col("field") == field) & F.col("gram").isin(*used))
+    if "bucket" in postings.columns:
+        hits = hits.where(F.col("bucket").isin(*[bucket_of(F.lit(g)) for g in used]))
+    if len(used) == 1:
+        return hits.select("rec_id")
     return hits.groupBy("rec_id").agg(F.count("*").alias("n")).where(F.col("n") == len(used)).select("rec_id")
 
 
@@ -206,6 +223,8 @@ def index_search(
     node = applied(node)
     ids = records.select("rec_id")
     keep = keep or (lambda _, make: make())
+    as_stored = lambda t: normalized(t.value) if t.field == "name" else t.value
+    grams = rarest_first(list(dict.fromkeys((t.field, as_stored(t)) for t in terms(node) if t.field in GRAM_FIELDS and len(as_stored(t).lower()) >= 3)), stats)
 
     def run(n: Node) -> tuple[DataFrame | None, bool]:
         """(ids that may match, None for any; whether they all do)"""
@@ -226,11 +245,10 @@ def index_search(
             case Not(child):
                 a, sure = run(child)
                 return (ids.join(a, "rec_id", "left_anti"), True) if a is not None and sure else (None, False)
-            case Term(field, value, whole) if field in GRAM_FIELDS:
-                term = normalized(value) if field == "name" else value
-                if len(term.lower()) >= 3:
-                    found = keep(f"{field}:{term}", lambda: candidates(postings, field, term, stats))
-                    return found, len(term.lower()) == 3 and not whole
+            case Term(field, _, whole) if (field, as_stored(n)) in grams:
+                term = as_stored(n)
+                found = keep(f"{field}:{term}", lambda: candidates(postings, field, grams[field, term]))
+                return found, len(term.lower()) == 3 and not whole
         return None, False
 
     if node is None:

@@ -203,11 +203,10 @@ def hierarchy(links: DataFrame, with_path: bool = False, max_rounds: int = 500,
     most_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     parts_for = lambda n: max(1, min(most_parts, -(-n // PER_PARTITION)))
     nodes = links.select(F.col("frn").alias("id"), F.col("parent").alias("up"), F.coalesce("name", F.lit("")).alias("name") if with_path else F.lit("").alias("name"))
-    nodes = cut(nodes.repartition(most_parts, "id"), partitioned=True)
+    # grouped, not repartitioned, by id: what latest_entries() left in place stays there
+    nodes = cut(nodes.groupBy("id").agg(F.first("up").alias("up"), F.first("name").alias("name")), partitioned=True)
     n = nodes.count()
-    parts = parts_for(n)
-    if parts < most_parts:
-        nodes = nodes.repartition(parts, "id")
+    parts = most_parts
     kids = nodes.where(F.col("up").isNotNull()).groupBy(F.col("up").alias("id")).agg(F.count("*").alias("kids"), F.bit_xor("id").alias("x"))
     kids = cut(kids, partitioned=True, parts=parts)
     hot = cut(kids.where(F.col("kids") > max(busy, n // 10_000)).select(F.col("id").alias("up")))
@@ -235,7 +234,7 @@ def hierarchy(links: DataFrame, with_path: bool = False, max_rounds: int = 500,
     while more and left > small:
         if len(rounds) >= max_rounds:
             raise RuntimeError(f"not contracted after {max_rounds} rounds")
-        if parts_for(left) < parts:
+        if 4 * parts_for(left) <= parts:
             parts = parts_for(left)
             state = state.repartition(parts, "id")
         done = cut(_contract(state, with_path), partitioned=True, parts=parts)

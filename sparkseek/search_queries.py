@@ -26,10 +26,10 @@ ORACLE_SQL: dict[str, str] = {}
 
 def stored_index(spark: SparkSession, sf_dir: str) -> postings.GramIndex:
     """The index of the documents below the shared folder; made if there is none for the files as they are."""
-    fs = SharedFolder(spark, sf_dir if "://" in sf_dir else f"file://{sf_dir}")
+    fs = SharedFolder(spark, sf_dir)
     seen = [(str(f.getPath()), f.getLen(), f.getModificationTime()) for f in fs._fs.globStatus(fs._path(fs.at("documents.parquet")))]
     folder = f"{shared_dir(spark).rstrip('/')}/grams-{postings.LAYOUT}-{hashlib.sha256(repr(sorted(seen)).encode()).hexdigest()[:24]}"
-    index = postings.GramIndex(spark, folder if "://" in folder else f"file://{folder}")
+    index = postings.GramIndex(spark, folder)
     if index.generation == 0:
         index.add(document_records(spark, sf_dir), "all")
     return index

@@ -70,8 +70,12 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def work_folder(spark: SparkSession, name: str) -> str:
-    """A new folder below the shared one."""
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """The path of a new folder below the shared one, which goes when the application ends; the folder itself is not there yet."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}")
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.mkdirs(path)
+    fs.deleteOnExit(path)
+    return f"{path}/{name}"
 
 
 def cut(df: DataFrame, partitioned: bool = False, parts: int | None = None) -> DataFrame:

@@ -9,6 +9,7 @@ from collections.abc import Callable
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from sparkseek.config import Config
 from sparkseek.operators.shared import SharedFolder
@@ -21,13 +22,15 @@ class ResultCache:
     """Persisted results under (generation, key), for whole queries, terms or stages alike.
 
     A new generation makes older entries unreachable; they leave when room is needed, the least recently used first. Entries expire after
-    ttl seconds. At most `entries` results of together at most `most_bytes` (as Spark holds them) are kept; a result that alone is larger is
-    made, but not kept. With a folder results are kept there as Parquet as well, and found again by later sessions.
+    ttl seconds. At most `entries` results of together at most `most_bytes` (as Spark holds them) are kept in memory. A result that alone is larger
+    goes to the executors' disks and pushes no other out of memory; there at most `entries` results of together at most `entries` times `most_bytes` are
+    kept, the newest whatever its size. With a folder results are kept there as Parquet instead, and found again by later sessions.
     """
 
     def __init__(self, entries: int = 64, ttl: float = TTL, clock: Callable[[], float] = time.time, most_bytes: int = MOST_BYTES, spark: SparkSession | None = None, folder: str | None = None):
         self.entries, self.ttl, self.clock, self.most_bytes = entries, ttl, clock, most_bytes
         self._held: OrderedDict[tuple[int, str], tuple[float, DataFrame, int]] = OrderedDict()
+        self._large: OrderedDict[tuple[int, str], tuple[float, DataFrame, int]] = OrderedDict()  # on disk
         self._files = SharedFolder(spark, folder) if folder is not None else None
         self.hits = self.misses = 0
 
@@ -37,10 +40,11 @@ class ResultCache:
 
     def get(self, generation: int, key: str, make: Callable[[], DataFrame]) -> DataFrame:
         k = (generation, key)
-        if k in self._held and self.clock() - self._held[k][0] < self.ttl:
-            self._held.move_to_end(k)
-            self.hits += 1
-            return self._held[k][1]
+        for among in (self._held, self._large):
+            if k in among and self.clock() - among[k][0] < self.ttl:
+                among.move_to_end(k)
+                self.hits += 1
+                return among[k][1]
         self._drop(k)
         kept = self._stored(k)
         if kept is not None:
@@ -53,12 +57,19 @@ class ResultCache:
         df = df.persist(StorageLevel.MEMORY_AND_DISK)
         df.count()
         size = int(str(df._jdf.queryExecution().withCachedData().stats().sizeInBytes()))
-        self._held[k] = (self.clock(), df, size)
-        while len(self._held) > self.entries or sum(x[2] for x in self._held.values()) > self.most_bytes and len(self._held) > 1:
-            self._drop(next(iter(self._held)))
-        if size > self.most_bytes:
-            self._drop(k)
-        return df
+        if size <= self.most_bytes:
+            self._keep(self._held, k, df, size, self.most_bytes)
+            return df
+        large = df.where(F.lit(True)).persist(StorageLevel.DISK_ONLY)  # to Spark another plan than df, copied from its blocks in their order
+        large.count()
+        df.unpersist()
+        self._keep(self._large, k, large, size, self.entries * self.most_bytes)
+        return large
+
+    def _keep(self, among: OrderedDict, k: tuple[int, str], df: DataFrame, size: int, most: int) -> None:
+        among[k] = (self.clock(), df, size)
+        while len(among) > self.entries or sum(x[2] for x in among.values()) > most and len(among) > 1:
+            self._drop(next(iter(among)))
 
     def _name(self, k: tuple[int, str]) -> str:
         return f"{k[0]:012d}-{hashlib.sha256(k[1].encode()).hexdigest()[:32]}"
@@ -80,12 +91,13 @@ class ResultCache:
         return self._files.spark.read.parquet(path)
 
     def _drop(self, k: tuple[int, str]) -> None:
-        if k in self._held:
-            self._held.pop(k)[1].unpersist()
+        for among in (self._held, self._large):
+            if k in among:
+                among.pop(k)[1].unpersist()
 
     def invalidate(self, before: int) -> None:
         """Drop what is older than a generation."""
-        for k in [k for k in self._held if k[0] < before]:
+        for k in [k for k in (*self._held, *self._large) if k[0] < before]:
             self._drop(k)
         if self._files is not None:
             for name in self._files.names("entries"):
@@ -95,8 +107,8 @@ class ResultCache:
                     self._files.delete(path[len(self._files.folder) + 1 :])
 
     def clear(self) -> None:
-        for k in list(self._held):
+        for k in (*self._held, *self._large):
             self._drop(k)
 
     def __len__(self) -> int:
-        return len(self._held)
+        return len(self._held) + len(self._large)

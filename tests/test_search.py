@@ -243,6 +243,29 @@ def test_cache_holds_no_more_bytes_than_it_may(spark):
     assert cache.get(1, "big", lambda: spark.range(200_000).withColumn("x", F.rand(1))).count() == 200_000 and (1, "big") not in cache._held
 
 
+def test_results_larger_than_memory_allows_are_kept_on_disk(spark, records):
+    cache = ResultCache(entries=2, most_bytes=200_000)
+    held = lambda: sum(x.memSize() for x in spark.sparkContext._jsc.sc().getRDDStorageInfo())
+    make = lambda: spark.range(200_000).withColumn("x", F.rand(1)).orderBy("x", "id")
+    small = cache.get(1, "small", lambda: spark.range(3))
+    before = held()
+    first = cache.get(1, "big", make)
+    assert cache.get(1, "big", make) is first and cache.get(1, "small", lambda: spark.range(3)) is small and (cache.hits, cache.misses) == (2, 2)
+    assert first.storageLevel.useDisk and not first.storageLevel.useMemory and held() == before
+    assert [r.id for r in first.collect()] == [r.id for r in make().collect()]
+    cache.get(1, "bigger", lambda: spark.range(400_000).withColumn("x", F.rand(1)))
+    assert len(cache) == 2 and not first.storageLevel.useDisk  # more than twice most_bytes together: only the newest stays
+    assert first.count() == 200_000
+    cache.invalidate(2)
+    assert len(cache) == 0
+    tiny, posts = ResultCache(most_bytes=0), postings.build_postings(records)
+    ask = lambda kept: search.search(records, "content:garden", DAY, limit=None, mode="index", postings=posts, cache=kept, generation=1).collect()
+    plain = ask(None)
+    assert plain and ask(tiny) == plain and ask(tiny) == plain and tiny.hits == 1  # whole rows in their order, the second time from the cache
+    tiny.clear()
+    assert len(tiny) == 0
+
+
 def test_cached_search(spark, records, tmp_path):
     cache = ResultCache()
     ask = lambda q, g=1, **o: [r.rec_id for r in search.search(records, q, DAY, cache=cache, generation=g, **o).collect()]
